@@ -169,11 +169,11 @@ WITH RECURSIVE kind(kind, pattern, k) AS (VALUES
   ('card', '[0-9]([\x20-]?[0-9])+', 3), ('phone', '\+[0-9][\x20().0-9-]+[0-9]', 4)),
 doc AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 raw AS (SELECT rid, kind, k, t, regexp_extract_all(t, pattern) AS m FROM doc, kind),
-at(rid, kind, k, t, m, i, start, finish) AS (
+step(rid, kind, k, t, m, i, start, finish) AS (
   SELECT rid, kind, k, t, m, 0, 0, 0 FROM raw WHERE len(m) > 0
   UNION ALL
-  SELECT rid, kind, k, t, m, i + 1, finish + instr(substr(t, finish + 1), m[i + 1]) - 1, finish + instr(substr(t, finish + 1), m[i + 1]) - 1 + length(m[i + 1]) FROM at WHERE i < len(m)),
-span AS (SELECT rid, kind, k, start, finish, m[i] AS x, regexp_replace(m[i], '[^0-9]', '', 'g') AS d FROM at WHERE i > 0),
+  SELECT rid, kind, k, t, m, i + 1, finish + instr(substr(t, finish + 1), m[i + 1]) - 1, finish + instr(substr(t, finish + 1), m[i + 1]) - 1 + length(m[i + 1]) FROM step WHERE i < len(m)),
+span AS (SELECT rid, kind, k, start, finish, m[i] AS x, regexp_replace(m[i], '[^0-9]', '', 'g') AS d FROM step WHERE i > 0),
 luhn AS (
   SELECT *, list_sum(list_transform(range(0, length(d)), lambda j: CASE WHEN j % 2 = 0 THEN CAST(substr(d, length(d) - j, 1) AS INT)
     WHEN CAST(substr(d, length(d) - j, 1) AS INT) > 4 THEN 2 * CAST(substr(d, length(d) - j, 1) AS INT) - 9 ELSE 2 * CAST(substr(d, length(d) - j, 1) AS INT) END)) AS s FROM span),

@@ -189,7 +189,7 @@ def window_ids(words: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.nda
     return np.where(inside, padded[np.minimum(at, len(padded) - 1)], -1)
 
 
-def train(texts: list[str], labels: np.ndarray, share: float | None = None, epochs: tuple[int, int] = (2, 5), batch: int = 128, rate: float = 0.02, seed: int = 5) -> Network:
+def train(texts: list[str], labels: np.ndarray, share: float | None = None, epochs: tuple[int, int] = (2, 5), batch: int = 128, rate: float = 0.02, decay: float = 0.02, seed: int = 5) -> Network:
     """Of documents with labels 0 and 1; ``share``: of label 1 where scores are to hold (default: as given).
 
     One document in five doesn't train the network but fits the score's curve.
@@ -206,6 +206,10 @@ def train(texts: list[str], labels: np.ndarray, share: float | None = None, epoc
         owner, bucket, weight = owner[order], bucket[order], weight[order]
         starts = np.searchsorted(owner[n_words:], np.arange(n_words + 1))
     doc, begin, size = windows(tokens)
+    aside = rng.random(len(texts)) < 0.2
+    if len(set(labels[aside])) < 2 or len(set(labels[~aside])) < 2:
+        aside[:] = False
+    training = ~aside[doc]
     mean, square = {k: np.zeros_like(v) for k, v in net.p.items()}, {k: np.zeros_like(v) for k, v in net.p.items()}
     steps = 0
 
@@ -231,6 +235,7 @@ def train(texts: list[str], labels: np.ndarray, share: float | None = None, epoc
             gx = g.pop("x")
             g["E"] = np.stack([np.bincount(b, w * gx[own, d], BUCKETS) for d in range(DIM)], 1).astype(np.float32)
             steps += 1
+            net.p["E"] *= 1 - decay
             for k, v in g.items():
                 mean[k] += 0.1 * (v - mean[k])
                 square[k] += 0.01 * (v * v - square[k])
@@ -243,22 +248,26 @@ def train(texts: list[str], labels: np.ndarray, share: float | None = None, epoc
     per_doc = np.diff(np.append(first, len(doc)))
     most = max(1, 400_000 // max(1, len(doc)))
     for _ in range(min(epochs[0], most)):
-        learn(np.arange(len(doc)))
+        learn(np.flatnonzero(training))
     for _ in range(epochs[1]):
         now = logits()
         rank = np.empty(len(doc), np.int64)
         rank[np.lexsort((-now, doc))] = np.arange(len(doc)) - np.repeat(first, per_doc)
         positive = labels[doc] > 0
-        top = np.flatnonzero(positive & ((rank == 0) | ((now > 0) & (rank < 4))))
-        hard = np.flatnonzero(~positive & (rank < 2))
-        easy = rng.choice(np.flatnonzero(~positive), min(len(hard), int((~positive).sum())), replace=False)
+        top = np.flatnonzero(training & positive & ((rank == 0) | ((now > 0) & (rank < 4))))
+        hard = np.flatnonzero(training & ~positive & (rank < 2))
+        easy = rng.choice(np.flatnonzero(training & ~positive), len(hard), replace=False)
         learn(np.concatenate([top, hard, easy]))
-    top = np.maximum.reduceat(logits(), first).astype(np.float64)
-    balance = np.where(labels > 0, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
-    scale, shift = 1.0, 0.0
-    for _ in range(300):  # a logistic curve over the highest windows; few parameters, plain descent
-        err = (sigmoid(scale * top + shift) - labels) * balance
-        scale, shift = max(0.05, scale - 0.05 * float((err * top).mean())), shift - 0.2 * float(err.mean())
+    judged = aside if aside.any() else np.ones(len(texts), bool)
+    top, y = np.maximum.reduceat(logits(), first).astype(np.float64)[judged], labels[judged]
+    share = y.mean() if share is None else min(max(share, 0.01), 0.99)
+    balance = np.where(y > 0, share / y.mean(), (1 - share) / (1 - y.mean()))
+    center, spread = top.mean(), top.std() + 1e-6
+    x, scale, shift = (top - center) / spread, 1.0, 0.0
+    for _ in range(500):  # a logistic curve over the highest windows: two parameters, plain descent
+        err = (sigmoid(scale * x + shift) - y) * balance
+        scale, shift = max(0.05, scale - 0.5 * float((err * x).mean())), shift - 0.5 * float(err.mean())
+    scale, shift = scale / spread, shift - scale * center / spread
     net.p["scale"], net.p["shift"] = np.array([scale], np.float32), np.array([shift], np.float32)
     return net
 
