@@ -14,9 +14,11 @@ at most (mean shingles a text) / RARE entries at any corpus size.
    pairs are verified by exact weighted Jaccard similarity, and links of
    ``threshold`` or more join nodes into classes.
 4. Buckets whose members are still in different classes get another leader (the
-   member with most links), and at last every pair of members of different
-   classes that hasn't been compared yet is.  So no linked pair that shares a
-   bucket is left apart, and no bucket of copies makes all pairs.
+   member with most links).  At last the members outside a bucket's largest
+   class are compared with all members of other classes, in blocks of BLOCK by
+   BLOCK texts; a pair is compared in the first bucket it shares.  Blocks hold
+   texts, not pairs, and only links come out.  So no linked pair that shares a
+   bucket is left apart.
 
 Defined results: a null text is never a copy, its row is its own class; texts
 without words are copies only of equal texts; repeated rows share their class;
@@ -26,6 +28,7 @@ the class id is the smallest doc_id in the class.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,11 +42,13 @@ SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 3
 #: Shingles in fewer than this share of documents count as equally rare.
-RARE = 0.005
+RARE = 0.05
 #: Documents that are searched for frequent shingles together.
 CHUNK_DOCS = 2000
 #: Shingles whose samples are drawn together: their arrays stay in cache.
 DRAWN = 1 << 14
+#: Texts on each side of a block.
+BLOCK = 128
 
 
 # --- document frequencies -------------------------------------------------
@@ -193,26 +198,65 @@ def similarity(weights: Weights, left: pa.Array, right: pa.Array) -> np.ndarray:
 
 # --- the job --------------------------------------------------------------
 
+LINK = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("similarity", T.DoubleType())])
+
 
 def _verified(pairs: DataFrame, texts: DataFrame, weights, threshold: float) -> DataFrame:
     """``pairs`` (a, b) with their similarity, those of ``threshold`` or more."""
     both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
-    schema = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("similarity", T.DoubleType())])
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 s = similarity(weights.value, part.column(2), part.column(3))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s)], names=schema.names).filter(pa.array(s >= threshold - 1e-9))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s)], names=LINK.names).filter(pa.array(s >= threshold - 1e-9))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, schema)
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, LINK)
 
 
 def _pairs(x: DataFrame, left: str, right: str) -> DataFrame:
     return x.filter(F.col(left) != F.col(right)).select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b")).distinct()
 
 
+def _compare_blocks(open_: DataFrame, keys: DataFrame, texts: DataFrame, weights, threshold: float) -> DataFrame:
+    """Links between members of one bucket in different classes; ``open_``: bucket, node, label."""
+    counts = open_.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.sum("n").alias("size"))
+    sized = open_.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    sized = sized.withColumn("mine", F.pmod(F.xxhash64("node", "bucket"), "blocks").cast("int")).join(keys, "node")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    common = ["bucket", "node", "label", "keys"]
+    minor = sized.filter("label != major").select(*common, F.lit(True).alias("minor"), F.col("mine").alias("i"), every.alias("j"), F.lit(0).alias("side"))
+    rows = sized.select(*common, (F.col("label") != F.col("major")).alias("minor"), every.alias("i"), F.col("mine").alias("j"), F.lit(1).alias("side"))
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        left, right = group[group["side"] == 0], group[group["side"] == 1]
+        found = []
+        if len(left) and len(right):
+            (dl, hl, wl), (dr, hr, wr) = (weights.value.features(pa.array(x["text"], pa.string())) for x in (left, right))
+            starts = np.searchsorted(dl, np.arange(len(left) + 1))
+            total = np.bincount(dr, wr, len(right))
+            keys_l, keys_r = np.stack(left["keys"]), np.stack(right["keys"])
+            band = int(np.flatnonzero(keys_l[0] == left["bucket"].iloc[0])[0])
+            names, labels, minor = right["node"].to_numpy(), right["label"].to_numpy(), right["minor"].to_numpy()
+            for i, (node, label) in enumerate(zip(left["node"], left["label"], strict=True)):
+                here = (keys_r == keys_l[i]).argmax(1) == band
+                here &= (labels != label) & (~minor | (names > node))
+                if not here.any():
+                    continue
+                h, w = hl[starts[i] : starts[i + 1]], wl[starts[i] : starts[i + 1]]
+                at = np.minimum(np.searchsorted(h, hr), len(h) - 1)
+                same = h[at] == hr
+                shared = np.bincount(dr[same], np.minimum(w[at[same]], wr[same]), len(right))
+                s = shared / (total + w.sum(dtype=np.float64) - shared)
+                found += [(min(node, names[j]), max(node, names[j]), float(s[j])) for j in np.flatnonzero(here & (s >= threshold - 1e-9))]
+        return pd.DataFrame(found, columns=LINK.names)
+
+    blocks = minor.unionByName(rows).join(texts, "node").groupBy("bucket", "i", "j")
+    return blocks.applyInPandas(compare, LINK)  # 2 BLOCK texts a group, about
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, rare: float = RARE) -> tuple[DataFrame, DataFrame]:
     """(nodes, links) of ``docs`` (doc_id, text).
 
@@ -241,13 +285,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     hashed = docs.select("doc_id", "text", F.sha2("text", 256).alias("node"))
     signed = map_texts(hashed, [T.StructField("keys", T.ArrayType(T.LongType()))], make, keep=["doc_id", "node"])
     nodes = cut(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"), F.max(F.array_join("keys", ",")).alias("keys")))
-    members = nodes.select("node", F.explode(F.transform(F.split("keys", ","), lambda k: k.cast("long"))).alias("bucket"))
+    keys = nodes.select("node", F.transform(F.split("keys", ","), lambda k: k.cast("long")).alias("keys"))
+    members = keys.select("node", F.explode("keys").alias("bucket"))
     order = [F.struct(F.xxhash64("node", F.lit(i)), "node") for i in range(2)]
     leaders = members.groupBy("bucket").agg(F.count("*").alias("size"), *[F.min(o).getField("node").alias(f"leader{i}") for i, o in enumerate(order)]).filter("size > 1")
     shared = cut(members.join(leaders, "bucket"))
     pairs = cut(_pairs(shared.select("node", F.explode(F.array("leader0", "leader1")).alias("leader")), "node", "leader"))
     wanted = shared.select("node").distinct()
-    texts = cut(hashed.join(nodes.join(wanted, "node").select("node", "doc_id"), ["node", "doc_id"]).groupBy("node").agg(F.first("text").alias("text")))
+    one = nodes.join(wanted, "node").select("node", F.col("doc_id").alias("node_doc"))
+    chosen = hashed.join(one, "node").filter(F.col("doc_id").eqNullSafe(F.col("node_doc")))  # one row of a hot text, not all its copies
+    texts = cut(chosen.groupBy("node").agg(F.first("text").alias("text")))
     links = cut(_verified(pairs, texts, weights, threshold))
     classes = connected(links)
     buckets = shared.select("bucket", "node")
@@ -258,21 +305,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
         if open_.isEmpty():
             break
         if last:
-            other = open_.select("bucket", F.col("node").alias("other"), F.col("label").alias("other_label"))
-            found = _pairs(open_.join(other, "bucket").filter(F.col("label") < F.col("other_label")), "node", "other")
+            more = cut(_compare_blocks(open_, keys, texts, weights, threshold))
         else:
             degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
             best = open_.join(degree, "node", "left").groupBy("bucket").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)), "node", "label")).alias("best"))
             lead = best.select("bucket", F.col("best.node").alias("other"), F.col("best.label").alias("other_label"))
             found = _pairs(open_.join(lead, "bucket").filter(F.col("label") != F.col("other_label")), "node", "other")
-        new = cut(found.join(pairs, ["a", "b"], "left_anti"))
-        more = cut(_verified(new, texts, weights, threshold))
-        pairs = pairs.unionByName(new)
+            more = cut(_verified(found.join(pairs, ["a", "b"], "left_anti"), texts, weights, threshold))
         if not more.isEmpty():
             links = links.unionByName(more)
             classes = connected(links)
-        elif not last:
-            continue
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     labelled = nodes.join(classes, "node", "left").select("node", "doc_id", "n_copies", F.coalesce("label", "node").alias("label"))
     least = labelled.groupBy("label").agg(F.min("doc_id").alias("class_id"))
