@@ -8,11 +8,12 @@ split between slices, so a single very long text makes one large slice.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +42,14 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         yield start, len(lengths)
 
 
+def fresh(taken: Sequence[str], name: str) -> str:
+    """``name``, with underscores after it until no column has it."""
+    folded = {c.lower() for c in taken}
+    while name.lower() in folded:
+        name += "_"
+    return name
+
+
 def map_texts(
     df: DataFrame,
     fields: Sequence[T.StructField],
@@ -58,7 +67,7 @@ def map_texts(
     bounded_batches(df.sparkSession)
     new = {f.name.lower() for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
-    work = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
+    work = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias(fresh(kept, "__text")))
     schema = T.StructType([*[work.schema[c] for c in kept], *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,10 +122,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df``, computed now and read again from the shared folder: lost executors don't lose it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(f"`{name}`"), F.lit(""))
+    """``df``, computed now and read again as Parquet from the shared folder: lost executors don't lose it."""
+    path = f"{shared_dir(df.sparkSession)}/loomlog-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ exact counts over all documents for every shingle in at least RARE of them, and
 rarer shingles share the largest weight.  So the table sent to executors holds
 at most (mean shingles a text) / RARE entries at any corpus size.
 
-1. Texts that are equal become one node (SHA-256).
+1. Texts that are equal become one node (128 bits of SHA-256).
 2. Each node gets ``bands * rows`` consistent weighted samples; a band of equal
    samples makes a bucket.
 3. In each bucket, members are paired with two leaders, not with each other;
@@ -30,7 +30,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,7 +71,7 @@ def frequent_shingles(docs: DataFrame, rare: float = RARE) -> tuple[np.ndarray,
         def flush():
             nonlocal held, size
             found, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= max(2, rare / 2 * size)
+            often = counts >= rare / 2 * size
             held, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(found[often].astype(np.int64)), pa.array(counts[often])], names=pair.names)
 
@@ -86,7 +86,7 @@ def frequent_shingles(docs: DataFrame, rare: float = RARE) -> tuple[np.ndarray,
         return add, lambda: flush() if held else iter(())
 
     least = rare / 2 * n_docs
-    first = gather_texts(texts, pair, candidates).groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(2.0, least)).select("shingle")
+    first = gather_texts(texts, pair, candidates).groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("shingle")
     wanted = np.sort(np.array([r[0] for r in first.toLocalIterator()], np.int64)).astype(U)
     if not len(wanted):
         return wanted, np.zeros(0, np.int64), n_docs
@@ -201,6 +201,11 @@ def similarity(weights: Weights, left: pa.Array, right: pa.Array) -> np.ndarray:
 LINK = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("similarity", T.DoubleType())])
 
 
+def node_of(text: Column) -> Column:
+    """128 bits of a text's SHA-256."""
+    return F.substring(F.sha2(text.cast("string"), 256), 1, 32)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, weights, threshold: float) -> DataFrame:
     """``pairs`` (a, b) with their similarity, those of ``threshold`` or more."""
     both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
@@ -223,44 +228,51 @@ def _compare_blocks(open_: DataFrame, keys: DataFrame, texts: DataFrame, weights
     """Links between members of one bucket in different classes; ``open_``: bucket, node, label."""
     counts = open_.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     sizes = counts.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.sum("n").alias("size"))
+    groups = max(1, open_.count() // BLOCK)  # buckets of one block share a group with others
     sized = open_.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     sized = sized.withColumn("mine", F.pmod(F.xxhash64("node", "bucket"), "blocks").cast("int")).join(keys, "node")
+    sized = sized.withColumn("group", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("bucket"), F.lit(groups))).otherwise(F.col("bucket")))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    common = ["bucket", "node", "label", "keys"]
+    common = ["group", "blocks", "bucket", "node", "label", "keys"]
     minor = sized.filter("label != major").select(*common, F.lit(True).alias("minor"), F.col("mine").alias("i"), every.alias("j"), F.lit(0).alias("side"))
     rows = sized.select(*common, (F.col("label") != F.col("major")).alias("minor"), every.alias("i"), F.col("mine").alias("j"), F.lit(1).alias("side"))
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        left, right = group[group["side"] == 0], group[group["side"] == 1]
+    def compare(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("bucket", kind="stable")
+        left, right = block[block["side"] == 0], block[block["side"] == 1]
         found = []
         if len(left) and len(right):
             (dl, hl, wl), (dr, hr, wr) = (weights.value.features(pa.array(x["text"], pa.string())) for x in (left, right))
-            starts = np.searchsorted(dl, np.arange(len(left) + 1))
+            from_l, from_r = np.searchsorted(dl, np.arange(len(left) + 1)), np.searchsorted(dr, np.arange(len(right) + 1))
             total = np.bincount(dr, wr, len(right))
             keys_l, keys_r = np.stack(left["keys"]), np.stack(right["keys"])
-            band = int(np.flatnonzero(keys_l[0] == left["bucket"].iloc[0])[0])
             names, labels, minor = right["node"].to_numpy(), right["label"].to_numpy(), right["minor"].to_numpy()
-            for i, (node, label) in enumerate(zip(left["node"], left["label"], strict=True)):
-                here = (keys_r == keys_l[i]).argmax(1) == band
-                here &= (labels != label) & (~minor | (names > node))
-                if not here.any():
+            buckets = left["bucket"].to_numpy()
+            bands = (keys_l == buckets[:, None]).argmax(1)
+            lows, highs = (np.searchsorted(right["bucket"].to_numpy(), buckets, side) for side in ("left", "right"))
+            for i, (node, label, band, lo, hi) in enumerate(zip(left["node"], left["label"], bands, lows, highs, strict=True)):
+                first = (keys_r[lo:hi] == keys_l[i]).argmax(1) == band
+                here = lo + np.flatnonzero(first & (labels[lo:hi] != label) & (~minor[lo:hi] | (names[lo:hi] > node)))
+                if not len(here):
                     continue
-                h, w = hl[starts[i] : starts[i + 1]], wl[starts[i] : starts[i + 1]]
-                at = np.minimum(np.searchsorted(h, hr), len(h) - 1)
-                same = h[at] == hr
-                shared = np.bincount(dr[same], np.minimum(w[at[same]], wr[same]), len(right))
-                s = shared / (total + w.sum(dtype=np.float64) - shared)
-                found += [(min(node, names[j]), max(node, names[j]), float(s[j])) for j in np.flatnonzero(here & (s >= threshold - 1e-9))]
+                h, w = hl[from_l[i] : from_l[i + 1]], wl[from_l[i] : from_l[i + 1]]
+                n = from_r[here + 1] - from_r[here]
+                spot = np.repeat(from_r[here] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                at = np.minimum(np.searchsorted(h, hr[spot]), len(h) - 1)
+                least = np.where(h[at] == hr[spot], np.minimum(w[at], wr[spot]), 0)
+                shared = np.add.reduceat(least.astype(np.float64), np.cumsum(n) - n)
+                s = shared / (total[here] + w.sum(dtype=np.float64) - shared)
+                found += [(min(node, names[here[k]]), max(node, names[here[k]]), float(s[k])) for k in np.flatnonzero(s >= threshold - 1e-9)]
         return pd.DataFrame(found, columns=LINK.names)
 
-    blocks = minor.unionByName(rows).join(texts, "node").groupBy("bucket", "i", "j")
-    return blocks.applyInPandas(compare, LINK)  # 2 BLOCK texts a group, about
+    blocks = minor.unionByName(rows).join(texts, "node").groupBy("blocks", "group", "i", "j")
+    return blocks.applyInPandas(compare, LINK)  # a few times BLOCK texts a group
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, rare: float = RARE) -> tuple[DataFrame, DataFrame]:
     """(nodes, links) of ``docs`` (doc_id, text).
 
-    nodes: node (SHA-256 of a text), n_copies, doc_id (the smallest of its
+    nodes: node (of equal texts), n_copies, doc_id (the smallest of its
     copies), class_id (the smallest doc_id of its class), n_links.
     links: a, b, similarity of different texts that were compared and pass.
     """
@@ -282,7 +294,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
 
         return fn
 
-    hashed = docs.select("doc_id", "text", F.sha2("text", 256).alias("node"))
+    hashed = docs.select("doc_id", "text", node_of(F.col("text")).alias("node"))
     signed = map_texts(hashed, [T.StructField("keys", T.ArrayType(T.LongType()))], make, keep=["doc_id", "node"])
     nodes = cut(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"), F.max(F.array_join("keys", ",")).alias("keys")))
     keys = nodes.select("node", F.transform(F.split("keys", ","), lambda k: k.cast("long")).alias("keys"))
@@ -329,7 +341,7 @@ def classify(docs: DataFrame) -> DataFrame:
     doc_id is repeated).  Rows with a null text are kept.
     """
     nodes, _ = near_duplicates(docs)
-    rows = docs.select("doc_id", F.sha2(F.col("text").cast("string"), 256).alias("node"))
+    rows = docs.select("doc_id", node_of(F.col("text")).alias("node"))
     out = rows.join(nodes.withColumnRenamed("doc_id", "node_doc"), "node", "left")
     mine = F.col("node").isNull() | F.col("doc_id").eqNullSafe(F.col("class_id"))
     return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), mine.alias("kept"))
@@ -338,7 +350,7 @@ def classify(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each class, the one with the smallest doc_id."""
     nodes, _ = near_duplicates(docs)
-    keep = nodes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("node").alias("__node"))
-    tagged = docs.withColumn("__node", F.sha2(F.col("text").cast("string"), 256))
-    one = tagged.join(keep, "__node").filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).dropDuplicates(["__node"])
-    return one.select(*docs.columns).unionByName(docs.filter(F.col("text").isNull()))
+    keep = nodes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("node").alias("node"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), node_of(F.col("text")).alias("node"))
+    one = packed.join(keep, "node").filter(F.col("doc.doc_id").eqNullSafe(F.col("class_id"))).dropDuplicates(["node"])
+    return one.select("doc.*").unionByName(docs.filter(F.col("text").isNull()))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomlog.llm.batches import cut, gather_texts, map_texts
+from loomlog.llm.batches import cut, fresh, gather_texts, map_texts
 from loomlog.llm.words import U, WORD_PUNCT, mix, tokenize
 
 BUCKETS = 1 << 15
@@ -89,9 +89,10 @@ def log_weights(docs: DataFrame, ratios: np.ndarray, keep: list[str] | None = No
 
         return fn
 
-    noisy = docs.withColumn("__gumbel", -F.log(-F.log((bits + 0.5) / (1 << 52))))
-    out = map_texts(noisy, [T.StructField("log_weight", T.DoubleType())], make, keep=[*(docs.columns if keep is None else keep), "__gumbel"])
-    return out.withColumn("key", F.col("log_weight") + F.col("__gumbel")).drop("__gumbel")
+    noise = fresh(docs.columns, "__gumbel")
+    noisy = docs.withColumn(noise, -F.log(-F.log((bits + 0.5) / (1 << 52))))
+    out = map_texts(noisy, [T.StructField("log_weight", T.DoubleType())], make, keep=[*(docs.columns if keep is None else keep), noise])
+    return out.withColumn("key", F.col("log_weight") + F.col(noise)).drop(noise)
 
 
 def kth_largest(values: DataFrame, name: str, k: int, bins: int = 1000, few: int = 10_000) -> float:
@@ -132,5 +133,5 @@ def resample(docs: DataFrame, good: DataFrame, k: int | None = None, max_target:
 def keep_good(docs: DataFrame, good: DataFrame) -> DataFrame:
     """The documents that importance resampling keeps, all their columns."""
     _, ratios, least = resample(docs, good)
-    scored = log_weights(docs.withColumn("__text", F.col("text")), ratios, [*[c for c in docs.columns if c.lower() not in ("log_weight", "key")]])
-    return scored.filter(F.col("key") >= least).select(*[c for c in docs.columns if c in scored.columns])
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    return log_weights(packed, ratios, ["doc"]).filter(F.col("key") >= least).select("doc.*")

@@ -13,7 +13,8 @@ each document's highest windows.  Training takes a bounded sample of labelled
 documents (``MAX_ROWS`` of each label, none longer than ``MAX_TRAIN_CHARS``).
 
 Defined results: null, empty and wordless texts are one window without words;
-repeated rows score equally; with only one label, or none, every score is the
+repeated rows score equally up to the
+last of four decimals (sums in matrix products depend on neighbours); with only one label, or none, every score is the
 share of toxic training rows (0 without rows).
 """
 
@@ -291,7 +292,7 @@ def score_texts(docs: DataFrame, network: Network, keep: list[str] | None = None
     def make():
         def fn(texts: pa.Array) -> list[pa.Array]:
             score, n, at = sent.value.score(texts)
-            return [pa.array(np.asarray(score, np.float64)), pa.array(np.asarray(n, np.int64)), pa.array(np.asarray(at, np.int64))]
+            return [pa.array(np.round(np.asarray(score, np.float64), 4)), pa.array(np.asarray(n, np.int64)), pa.array(np.asarray(at, np.int64))]
 
         return fn
 
