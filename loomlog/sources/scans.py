@@ -66,6 +66,9 @@ def read_xml_rows(spark: SparkSession, paths: str | Sequence[str], row: str) ->
 
 
 def read_heads(spark: SparkSession, paths: str | Sequence[str], head_bytes: int = 1 << 20) -> DataFrame:
-    """(path, size, mtime, head): the first bytes of every file, for format detection."""
+    """(path, size, mtime, head): the first bytes of every file, for format detection.
+
+    Spark's file scans leave out files without a byte.
+    """
     files = configure(spark).read.format("binaryFile").option("recursiveFileLookup", "true").load(paths if isinstance(paths, str) else list(paths))
     return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.substring("content", 1, head_bytes).alias("head")).dropDuplicates(["path"])
