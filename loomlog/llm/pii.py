@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomlog.llm.batches import let
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban")
 
@@ -81,37 +83,37 @@ def _score(kind: str, text: Column, start: Column, end: Column) -> Column:
     return F.when(near.rlike(rf"(?<![\p{{L}}])(?:{CONTEXT[kind]})(?![\p{{L}}])"), F.lit(SCORES[kind] + RAISE)).otherwise(F.lit(SCORES[kind]))
 
 
-def _fold(kind: str):
-    """Goes over the matches in ``__m`` and the pieces between them in ``__g``."""
+def _spans(kind: str, text: Column) -> Column:
+    """The confirmed spans of a kind in a text, as one expression.
+
+    Matches and the pieces between them are bound by ``let``, so that a filter
+    which Spark moves below this expression doesn't find them anew for each match.
+    """
+    empty = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
+    pattern = PATTERNS[kind]
 
-    def step(acc: Column, i: Column) -> Column:
-        m = F.get("__m", i)
-        start = acc["at"] + F.length(F.get("__g", i))
-        end = start + F.length(m)
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), _score(kind, F.col("__t"), start, end).alias("score"))
-        return F.struct(end.alias("at"), F.when(_confirmed(kind, m), F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    def folded(m: Column, g: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            match = F.get(m, i)
+            start = acc["at"] + F.length(F.get(g, i))
+            end = start + F.length(match)
+            span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), _score(kind, text, start, end).alias("score"))
+            return F.struct(end.alias("at"), F.when(_confirmed(kind, match), F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    return step
+        return F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
+
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    if kind in NEEDS:
+        found = F.when(F.contains(text, F.lit(NEEDS[kind])), found)
+    some = let(found, lambda m: F.when(F.size(m) > 0, let(F.split(text, pattern), lambda g: folded(m, g))))
+    return F.coalesce(some, empty)
 
 
 def find_pii(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns (under ``__keep``), the text (``__t``) and ``spans``: an array of
     (kind, start, end, score), by kind in the order of KINDS, then by start."""
     out = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__keep"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__t"))
-    t = F.col("__t")
-    empty = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
-    for kind in KINDS:
-        pattern = PATTERNS[kind]
-        found = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-        if kind in NEEDS:
-            found = F.when(F.contains(t, F.lit(NEEDS[kind])), found)
-        out = out.withColumn("__m", found)
-        out = out.withColumn("__g", F.when(F.size("__m") > 0, F.split(t, pattern)))
-        gaps = F.col("__g")
-        first = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-        folded = F.when(F.size(gaps) > 1, F.aggregate(F.sequence(F.lit(0), F.size(gaps) - 2), first, _fold(kind), lambda acc: acc["spans"]))
-        out = out.withColumn(f"__{kind}", F.coalesce(folded, empty)).drop("__m", "__g")
-    return out.select("__keep", "__t", F.concat(*[F.col(f"__{k}") for k in KINDS]).alias("spans"))
+    return out.select("__keep", "__t", F.concat(*[_spans(k, F.col("__t")) for k in KINDS]).alias("spans"))
 
 
 def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:

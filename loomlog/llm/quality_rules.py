@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomlog.llm.batches import let
+
 # Frequent function words of English, French, German and Spanish.
 STOP_WORDS = (
     "the a and of to in is it that for on with as was at by be this from or an are "
@@ -63,6 +65,20 @@ def _ratio(a: str, b: str) -> Column:
     return F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
 
 
+def _repeated(words: Column) -> Column:
+    """How many words stand in a window of three that is found twice or more; null under three words."""
+
+    def starts(s: Column) -> Column:
+        twice = F.filter(s, lambda x, j: F.coalesce(F.get(s, j - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, j + 1)["h"] == x["h"], F.lit(False)))
+        return F.array_sort(F.transform(twice, lambda x: x["i"]))
+
+    def covered(p: Column) -> Column:
+        return F.aggregate(F.transform(p, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(p, j + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
+
+    window = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")))
+    return F.when(F.size(words) >= 3, let(F.array_sort(window), lambda s: let(starts(s), covered)))
+
+
 def measures(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns (under ``__keep``) and all measures of each row."""
     out = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__keep"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__t"))
@@ -70,13 +86,6 @@ def measures(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     out = out.withColumn("__w", F.filter(F.split(t, _SPACE + "+"), lambda w: w != ""))
     out = out.withColumn("__l", F.filter(F.split(t, "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]")))
     w, n = F.col("__w"), F.size("__w")
-    window = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
-    out = out.withColumn("__s", F.when(n >= 3, F.array_sort(window)))
-    s = F.col("__s")
-    twice = F.filter(s, lambda x, j: F.coalesce(F.get(s, j - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, j + 1)["h"] == x["h"], F.lit(False)))
-    out = out.withColumn("__p", F.array_sort(F.transform(twice, lambda x: x["i"])))
-    p = F.col("__p")
-    covered = F.aggregate(F.transform(p, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(p, j + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
     out = out.select(
         "__keep",
         n.cast("long").alias("n_words"),
@@ -88,7 +97,7 @@ def measures(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter("__l", lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…"))).alias("n_ellipsis_lines"),
         F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))).alias("n_stop_words"),
-        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.coalesce(let(w, _repeated), F.lit(0)).cast("long").alias("n_repeat_words"),
     )
     return out.select(
         "*",
