@@ -225,7 +225,8 @@ def _pairs(x: DataFrame, left: str, right: str) -> DataFrame:
 
 
 def _compare_blocks(open_: DataFrame, keys: DataFrame, texts: DataFrame, weights, threshold: float) -> DataFrame:
-    """Links between members of one bucket in different classes; ``open_``: bucket, node, label."""
+    """Links between members of one bucket in different classes, of each node the best one to
+    each other class; ``open_``: bucket, node, label."""
     counts = open_.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     sizes = counts.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.sum("n").alias("size"))
     groups = max(1, open_.count() // BLOCK)  # buckets of one block share a group with others
@@ -262,7 +263,8 @@ def _compare_blocks(open_: DataFrame, keys: DataFrame, texts: DataFrame, weights
                 least = np.where(h[at] == hr[spot], np.minimum(w[at], wr[spot]), 0)
                 shared = np.add.reduceat(least.astype(np.float64), np.cumsum(n) - n)
                 s = shared / (total[here] + w.sum(dtype=np.float64) - shared)
-                found += [(min(node, names[here[k]]), max(node, names[here[k]]), float(s[k])) for k in np.flatnonzero(s >= threshold - 1e-9)]
+                best = {labels[here[k]]: k for k in np.argsort(s, kind="stable") if s[k] >= threshold - 1e-9}  # one link joins two classes
+                found += [(min(node, names[here[k]]), max(node, names[here[k]]), float(s[k])) for k in best.values()]
         return pd.DataFrame(found, columns=LINK.names)
 
     blocks = minor.unionByName(rows).join(texts, "node").groupBy("blocks", "group", "i", "j")
