@@ -9,6 +9,8 @@ from loomlog.operators.lines import is_blank
 from loomlog.operators.rules import ALL_RULES, BlockRule, LineRule, XmlRule
 
 SNIFF_BYTES, LINE_BYTES, SAMPLE_LINES, FIRST_LINE_BYTES = 512, 16 << 10, 200, 300
+#: A first line that is an object is looked for in as much of a file.
+HEAD_BYTES = 1 << 20
 
 # File signatures and extensions.
 PARQUET_MAGIC, EVENT_MAGIC = b"PAR1", b"ElfFile\x00"
@@ -28,7 +30,8 @@ def with_samples(heads: DataFrame) -> DataFrame:
     out = out.withColumn("sniffed", _text(F.col("head"), SNIFF_BYTES))
     lines = F.filter(F.split(_text(F.col("head"), LINE_BYTES), "\n"), lambda line: ~is_blank(line))
     out = out.withColumn("sample", F.slice(lines, 1, SAMPLE_LINES))
-    return out.withColumn("first_line", F.get("sample", F.lit(0)))
+    whole = F.substring_index(F.regexp_replace(_text(F.col("head"), HEAD_BYTES), r"^\s+", ""), "\n", 1)
+    return out.withColumn("first_line", F.get("sample", F.lit(0))).withColumn("whole_line", whole)
 
 
 def _object(line: Column) -> Column:
@@ -43,7 +46,7 @@ def _scores(rules) -> list[Column]:
         return F.struct(adapter.alias("adapter"), score.cast("int").alias("score"), reason.alias("reason"))
 
     brace = F.coalesce(F.ltrim(sniffed).startswith("{"), F.lit(False))
-    whole = _object(first)
+    whole = _object(F.col("whole_line"))
     ndjson = F.when(ext == ".ndjson", 90).when(~brace, 0).when(whole & (ext == ".json"), 70).when(whole, 90).otherwise(0)
     why = F.when(ext == ".ndjson", F.lit("extension .ndjson")).when(F.coalesce(first, F.lit("")) == "", F.lit("file is empty")).when(~brace, F.lit("first character is not an opening brace")).when(whole, F.lit("first line is a JSON object")).otherwise(F.lit("first line is not a whole JSON object"))
     out = [entry(F.lit("ndjson"), ndjson, why)]
