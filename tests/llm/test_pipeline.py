@@ -11,7 +11,7 @@ def test_stages_take_effect(spark, sf_dir):
     from loomlog.llm import decontaminate, near_dup, pii, quality_model
 
     for name, stage in corpus_pipeline.STAGES:
-        before, docs = docs, stage(spark, docs, sf_dir).localCheckpoint()
+        before, docs = docs, stage(spark, docs, sf_dir).cache()
         counts.append(docs.count())
         if name == "quality_model":
             kept = quality_model.resample(before, queries.good_ids(spark, sf_dir))[0].filter("kept")
