@@ -22,7 +22,8 @@ at most (mean shingles a text) / RARE entries at any corpus size.
 
 Defined results: a null text is never a copy, its row is its own class; texts
 without words are copies only of equal texts; repeated rows share their class;
-the class id is the smallest doc_id in the class.
+the class id is the smallest doc_id in the class, null where all are null.
+Classes may share it where doc_ids are repeated or null; class_node they don't.
 """
 
 from __future__ import annotations
@@ -275,7 +276,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     """(nodes, links) of ``docs`` (doc_id, text).
 
     nodes: node (of equal texts), n_copies, doc_id (the smallest of its
-    copies), class_id (the smallest doc_id of its class), n_links.
+    copies), class_id (the smallest doc_id of its class), class_node (the
+    smallest node of its class, which no other class has), chosen (the node
+    that stands for its class: one a class), n_links.
     links: a, b, similarity of different texts that were compared and pass.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
@@ -331,28 +334,32 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
             classes = connected(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     labelled = nodes.join(classes, "node", "left").select("node", "doc_id", "n_copies", F.coalesce("label", "node").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    out = labelled.join(least, "label").join(degree, "node", "left").select("node", "n_copies", "doc_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).getField("node")
+    least = labelled.groupBy("label").agg(F.min("doc_id").alias("class_id"), first.alias("first"))
+    out = labelled.join(least, "label").join(degree, "node", "left")
+    out = out.select("node", "n_copies", "doc_id", "class_id", F.col("label").alias("class_node"), (F.col("node") == F.col("first")).alias("chosen"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return out, links
 
 
 def classify(docs: DataFrame) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, class_id, n_copies, n_links, kept.
+    """One row for each row of ``docs``: doc_id, class_id, class_node, n_copies, n_links, kept.
 
-    kept: the row with the smallest doc_id of its class (all of them where a
-    doc_id is repeated).  Rows with a null text are kept.
+    class_node tells classes apart whose doc_ids are repeated or null.
+    kept: the row that ``one_of_each`` leaves (and rows equal to it in doc_id
+    and text).  Rows with a null text are kept.
     """
     nodes, _ = near_duplicates(docs)
     rows = docs.select("doc_id", node_of(F.col("text")).alias("node"))
     out = rows.join(nodes.withColumnRenamed("doc_id", "node_doc"), "node", "left")
-    mine = F.col("node").isNull() | F.col("doc_id").eqNullSafe(F.col("class_id"))
-    return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), mine.alias("kept"))
+    mine = F.col("node").isNull() | (F.col("chosen") & F.col("doc_id").eqNullSafe(F.col("node_doc")))
+    class_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")
+    return out.select("doc_id", class_id, "class_node", F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), mine.alias("kept"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each class, the one with the smallest doc_id."""
     nodes, _ = near_duplicates(docs)
-    keep = nodes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("node").alias("node"))
+    keep = nodes.filter("chosen").select("node", F.col("doc_id").alias("node_doc"))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), node_of(F.col("text")).alias("node"))
-    one = packed.join(keep, "node").filter(F.col("doc.doc_id").eqNullSafe(F.col("class_id"))).dropDuplicates(["node"])
+    one = packed.join(keep, "node").filter(F.col("doc.doc_id").eqNullSafe(F.col("node_doc"))).dropDuplicates(["node"])
     return one.select("doc.*").unionByName(docs.filter(F.col("text").isNull()))

@@ -114,3 +114,16 @@ def test_edges(spark, edge, empty):
     texts = [r.text for r in one.collect()]
     assert texts.count(None) == 2 and len({t for t in texts if t is not None}) == len(texts) - 2
     assert near_dup.classify(empty).count() == 0 and near_dup.one_of_each(empty).count() == 0
+
+
+def test_classes_without_own_ids_stay_apart(spark):
+    """Different texts under null ids or under one id are classes of their own; so are their copies."""
+    rng = random.Random(5)
+    texts = [words(rng, 60, 10**6) for _ in range(6)]
+    ids = [None, None, None, 7, 7, 8]
+    rows = [*zip(ids, texts, strict=True), (None, texts[0]), (9, texts[3]), (None, texts[5])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.text for r in near_dup.one_of_each(d).collect()) == sorted(texts)
+    got = near_dup.classify(d)
+    assert got.select("class_node").distinct().count() == 6
+    assert sorted(str(r.doc_id) for r in got.filter("kept").collect()) == ["7", "7", "8", "None", "None", "None", "None"]
