@@ -2,10 +2,9 @@
 
 A text's features are its distinct shingles of five normalised words (a text of
 one to four words has one shingle of all of them), weighted by occurrences
-times idf.  idf(s) = ln(1 + 1 / max(df(s) / N, RARE)): document frequencies are
-exact counts over all documents for every shingle in at least RARE of them, and
-rarer shingles share the largest weight.  So the table sent to executors holds
-at most (mean shingles a text) / RARE entries at any corpus size.
+times idf.  idf(s) = ln(1 + N / df(s)): document frequencies are exact counts
+over all documents, of every shingle.  They are added up by ranges of the hash
+and go back to the texts; no table of shingles is sent to all.
 
 1. Texts that are equal become one node (128 bits of SHA-256).
 2. Each node gets ``bands * rows`` consistent weighted samples; a band of equal
@@ -34,18 +33,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from loomlog.llm.batches import cut, gather_texts, map_texts
+from loomlog.llm.batches import bounded_batches, cut, slices
 from loomlog.llm.components import connected
 from loomlog.llm.words import U, mix, shingles, tokenize
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 3
-#: Shingles in fewer than this share of documents count as equally rare.
-RARE = 0.05
-#: Documents that are searched for frequent shingles together.
-CHUNK_DOCS = 2000
+#: Bytes of text that ask for document frequencies together, and whose shingles a part counts.
+GROUP_BYTES, PART_BYTES = 4 << 20, 16 << 20
 #: Shingles whose samples are drawn together: their arrays stay in cache.
 DRAWN = 1 << 14
 #: Texts on each side of a block.
@@ -53,81 +51,113 @@ BLOCK = 128
 
 
 # --- document frequencies -------------------------------------------------
+#
+# Texts are dealt into groups of about GROUP_BYTES.  A group asks for its distinct
+# shingles, cut by ranges of the hash into parts; a part adds up all groups' counts
+# and answers each group in the order it asked.  What a group asks depends on its
+# texts alone, so a task that runs again asks the same.
 
+ASKED = T.StructType([T.StructField("group", T.LongType()), T.StructField("part", T.LongType()), T.StructField("shingles", T.BinaryType()), T.StructField("counts", T.BinaryType())])
+ANSWER = T.StructType([T.StructField("group", T.LongType()), T.StructField("part", T.LongType()), T.StructField("df", T.BinaryType())])
 
-def frequent_shingles(docs: DataFrame, rare: float = RARE) -> tuple[np.ndarray, np.ndarray, int]:
-    """(sorted hashes of shingles in at least ``rare`` of all documents, their counts, documents).
+ASKED_ARROW = to_arrow_schema(ASKED)
 
-    A shingle that frequent is in ``rare / 2`` of some chunk of documents, or
-    chunks that pass it over hold under ``rare / 2`` of all documents with it.
-    Pass 1 adds up what chunks find; pass 2 counts the candidates exactly.
+
+def pack(x: np.ndarray) -> bytes:
+    """64-bit integers as eight planes of bytes: those of small numbers compress to nothing."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel()
+
+
+def _distinct(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct shingles of all texts, texts that have each)."""
+    held = [shingles(tokenize(texts.slice(lo, hi - lo)), SHINGLE_WORDS)[1] for lo, hi in slices(texts)]
+    return np.unique(np.concatenate(held) if held else np.zeros(0, U), return_counts=True)
+
+
+def _totals(asked: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(sorted distinct shingles of a part, documents that have each, each row's places in them)."""
+    lists = [np.cumsum(unpack(x.as_py())) for x in asked.column("shingles")]
+    found, place = np.unique(np.concatenate(lists), return_inverse=True)
+    total = np.zeros(len(found), np.int64)
+    places = np.split(place.ravel(), np.cumsum([len(x) for x in lists])[:-1])
+    for at, counts in zip(places, asked.column("counts"), strict=True):
+        total[at] += unpack(counts.as_py()).astype(np.int64)  # a row has no shingle twice
+    return found, total, places
+
+
+def dealt(hashed: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(``hashed`` (doc_id, text, node) with its group, what groups ask, documents)."""
+    n_docs, size = hashed.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    groups, parts = (int(1 + size // most) for most in (GROUP_BYTES, PART_BYTES))
+    placed = hashed.select("doc_id", "text", "node", F.pmod(F.xxhash64("node", "doc_id"), F.lit(groups)).alias("group"))
+
+    def ask(key, table):
+        found, counts = _distinct(table.column("text").combine_chunks())
+        part = (found >> U(20)) * U(parts) >> U(32)  # of the 52 bits the first 32
+        at = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+        ends = np.append(at[1:], len(part))
+        rows = [(key[0].as_py(), int(part[lo]), pack(np.diff(found[lo:hi], prepend=U(0))), pack(counts[lo:hi])) for lo, hi in zip(at, ends, strict=True)]
+        return pa.Table.from_pylist([dict(zip(ASKED.names, r, strict=True)) for r in rows], ASKED_ARROW)
+
+    return placed, placed.groupBy("group").applyInArrow(ask, ASKED), n_docs
+
+
+def answers(asked: DataFrame) -> DataFrame:
+    """For each group and part, the document frequencies of the shingles in the order asked."""
+
+    def answer(table):
+        _, total, places = _totals(table)
+        return pa.table([table.column("group"), table.column("part"), pa.array([pack(total[at]) for at in places], pa.binary())], names=ANSWER.names)
+
+    return asked.groupBy("part").applyInArrow(answer, ANSWER)
+
+
+def frequent_shingles(docs: DataFrame, rare: float = 0.0) -> tuple[np.ndarray, np.ndarray, int]:
+    """(sorted hashes of shingles in at least ``rare`` of all documents, their counts, documents), on the driver.
+
+    For looking at a corpus: no job needs this table.
     """
-    texts = docs.select("text")
-    n_docs = texts.count()
-    pair = T.StructType([T.StructField("shingle", T.LongType()), T.StructField("n", T.LongType())])
-
-    def candidates():
-        held, size = [], 0
-
-        def flush():
-            nonlocal held, size
-            found, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= rare / 2 * size
-            held, size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(found[often].astype(np.int64)), pa.array(counts[often])], names=pair.names)
-
-        def add(batch):
-            nonlocal size
-            if size >= CHUNK_DOCS:
-                yield from flush()
-            _, h, _ = shingles(tokenize(batch.column(0)), SHINGLE_WORDS)
-            held.append(h)
-            size += batch.num_rows
-
-        return add, lambda: flush() if held else iter(())
-
-    least = rare / 2 * n_docs
-    first = gather_texts(texts, pair, candidates).groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("shingle")
-    wanted = np.sort(np.array([r[0] for r in first.toLocalIterator()], np.int64)).astype(U)
-    if not len(wanted):
-        return wanted, np.zeros(0, np.int64), n_docs
-    sent = docs.sparkSession.sparkContext.broadcast(wanted)
-
-    def exact():
-        total = np.zeros(len(sent.value), np.int64)
-
-        def add(batch):
-            _, h, _ = shingles(tokenize(batch.column(0)), SHINGLE_WORDS)
-            at = np.minimum(np.searchsorted(sent.value, h), len(sent.value) - 1)
-            np.add(total, np.bincount(at[sent.value[at] == h], minlength=len(total)), out=total)
-            return iter(())
-
-        def finish():
-            some = total > 0
-            yield pa.RecordBatch.from_arrays([pa.array(sent.value[some].astype(np.int64)), pa.array(total[some])], names=pair.names)
-
-        return add, finish
-
-    second = gather_texts(texts, pair, exact).groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= rare * n_docs)
-    found = sorted((r[0], r[1]) for r in second.toLocalIterator())
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
+    _, asked, n_docs = dealt(docs.select("doc_id", "text", node_of(F.col("text")).alias("node")))
+
+    def often(table):
+        found, total, _ = _totals(table)
+        some = total >= rare * n_docs
+        return pa.table([pa.array(found[some].astype(np.int64)), pa.array(total[some])], names=["shingle", "n"])
+
+    found = sorted((r[0], r[1]) for r in asked.groupBy("part").applyInArrow(often, "shingle long, n long").toLocalIterator())
     return np.array([s for s, _ in found], U), np.array([n for _, n in found], np.int64), n_docs
 
 
+def idf_of(df: np.ndarray, n_docs: int) -> np.ndarray:
+    return np.log1p(max(n_docs, 1) / df).astype(np.float32)
+
+
+def weighted(texts: pa.Array, df: pa.Array, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text's place, shingle, weight), sorted by place and shingle; ``df``: each text's packed frequencies."""
+    doc, h, times = shingles(tokenize(texts), SHINGLE_WORDS)
+    known = [unpack(x.as_py()) for x in df]
+    return doc, h, times.astype(np.float32) * idf_of(np.concatenate([np.zeros(0, U), *known]), n_docs)
+
+
 class Weights:
-    """Weighted features of texts, from a table of frequent shingles."""
+    """Weighted features of texts, from a table of shingles; those it lacks are in one document."""
 
-    def __init__(self, table: np.ndarray, counts: np.ndarray, n_docs: int, rare: float = RARE):
-        self.table, self.rarest = table, np.float32(np.log1p(1 / rare))
-        self.idf = np.log1p(1 / np.maximum(counts / max(n_docs, 1), rare)).astype(np.float32)
+    def __init__(self, table: np.ndarray, counts: np.ndarray, n_docs: int):
+        self.table, self.counts, self.n_docs = table, counts, n_docs
 
     def features(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text's place, shingle, weight), sorted by place and shingle."""
         doc, h, times = shingles(tokenize(texts), SHINGLE_WORDS)
-        idf = np.full(len(h), self.rarest)
+        df = np.ones(len(h), np.int64)
         if len(self.table):
             at = np.minimum(np.searchsorted(self.table, h), len(self.table) - 1)
-            idf = np.where(self.table[at] == h, self.idf[at], idf)
-        return doc, h, times.astype(np.float32) * idf
+            df = np.where(self.table[at] == h, self.counts[at], df)
+        return doc, h, times.astype(np.float32) * idf_of(df, self.n_docs)
 
 
 # --- samples --------------------------------------------------------------
@@ -185,8 +215,12 @@ def draw(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n_docs: int, sample
 
 def similarity(weights: Weights, left: pa.Array, right: pa.Array) -> np.ndarray:
     """Weighted Jaccard similarity of each pair of texts; 0 where neither has words."""
-    n = len(left)
-    (da, ha, wa), (db, hb, wb) = weights.features(left), weights.features(right)
+    return overlap(weights.features(left), weights.features(right), len(left))
+
+
+def overlap(left: tuple, right: tuple, n: int) -> np.ndarray:
+    """Weighted Jaccard similarity of ``n`` pairs of texts by their features."""
+    (da, ha, wa), (db, hb, wb) = left, right
     keys = np.concatenate([da.astype(U) << U(52) | ha, db.astype(U) << U(52) | hb])
     w = np.concatenate([wa, wb]).astype(np.float64)
     order = np.argsort(keys, kind="stable")
@@ -207,25 +241,25 @@ def node_of(text: Column) -> Column:
     return F.substring(F.sha2(text.cast("string"), 256), 1, 32)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, weights, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, n_docs: int, threshold: float) -> DataFrame:
     """``pairs`` (a, b) with their similarity, those of ``threshold`` or more."""
-    both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
+    both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "text_a", "df": "df_a"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "text_b", "df": "df_b"}), "b")
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                s = similarity(weights.value, part.column(2), part.column(3))
+                s = overlap(weighted(part.column(2), part.column(3), n_docs), weighted(part.column(4), part.column(5), n_docs), part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s)], names=LINK.names).filter(pa.array(s >= threshold - 1e-9))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, LINK)
+    return both.select("a", "b", "text_a", "df_a", "text_b", "df_b").mapInArrow(run, LINK)
 
 
 def _pairs(x: DataFrame, left: str, right: str) -> DataFrame:
     return x.filter(F.col(left) != F.col(right)).select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b")).distinct()
 
 
-def _compare_blocks(open_: DataFrame, keys: DataFrame, texts: DataFrame, weights, threshold: float) -> DataFrame:
+def _compare_blocks(open_: DataFrame, keys: DataFrame, texts: DataFrame, n_docs: int, threshold: float) -> DataFrame:
     """Links between members of one bucket in different classes, of each node the best one to
     each other class; ``open_``: bucket, node, label."""
     counts = open_.groupBy("bucket", "label").agg(F.count("*").alias("n"))
@@ -244,7 +278,7 @@ def _compare_blocks(open_: DataFrame, keys: DataFrame, texts: DataFrame, weights
         left, right = block[block["side"] == 0], block[block["side"] == 1]
         found = []
         if len(left) and len(right):
-            (dl, hl, wl), (dr, hr, wr) = (weights.value.features(pa.array(x["text"], pa.string())) for x in (left, right))
+            (dl, hl, wl), (dr, hr, wr) = (weighted(pa.array(x["text"], pa.string()), pa.array(x["df"], pa.binary()), n_docs) for x in (left, right))
             from_l, from_r = np.searchsorted(dl, np.arange(len(left) + 1)), np.searchsorted(dr, np.arange(len(right) + 1))
             total = np.bincount(dr, wr, len(right))
             keys_l, keys_r = np.stack(left["keys"]), np.stack(right["keys"])
@@ -272,7 +306,7 @@ def _compare_blocks(open_: DataFrame, keys: DataFrame, texts: DataFrame, weights
     return blocks.applyInPandas(compare, LINK)  # a few times BLOCK texts a group
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, rare: float = RARE) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """(nodes, links) of ``docs`` (doc_id, text).
 
     nodes: node (of equal texts), n_copies, doc_id (the smallest of its
@@ -282,25 +316,37 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     links: a, b, similarity of different texts that were compared and pass.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
-    weights = docs.sparkSession.sparkContext.broadcast(Weights(*frequent_shingles(docs, rare), rare))
-
-    def make():
-        def fn(texts: pa.Array) -> list[pa.Array]:
-            doc, h, w = weights.value.features(texts)
-            drawn = draw(doc, h, w, len(texts), bands * rows)
-            keys = np.zeros((len(texts), bands), U)
-            for i in range(rows):
-                keys = mix(keys * U(0x9E3779B97F4A7C15) + drawn[:, i::rows])
-            keys += np.arange(bands, dtype=U)
-            some = np.zeros(len(texts), bool)
-            some[doc] = True
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * bands, pa.int32()), pa.array(keys.astype(np.int64).ravel()))
-            return [pa.compute.if_else(pa.array(some), flat, None)]
-
-        return fn
-
+    bounded_batches(docs.sparkSession)
     hashed = docs.select("doc_id", "text", node_of(F.col("text")).alias("node"))
-    signed = map_texts(hashed, [T.StructField("keys", T.ArrayType(T.LongType()))], make, keep=["doc_id", "node"])
+    placed, asked, n_docs = dealt(hashed)
+    signature = T.StructType([placed.schema["doc_id"], T.StructField("node", T.StringType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("df", T.BinaryType())])
+    signature_arrow = to_arrow_schema(signature)
+
+    def sign(table, answered):
+        texts = table.column("text").combine_chunks()
+        found, _ = _distinct(texts)
+        order = np.argsort(answered.column("part").to_numpy(), kind="stable")
+        frequency = np.concatenate([np.zeros(0, U), *[unpack(answered.column("df")[int(i)].as_py()) for i in order]])
+        if len(found) != len(frequency):
+            raise ValueError("a group of texts has other shingles than it asked for")
+        keys, dfs = [], []
+        for lo, hi in slices(texts):
+            n = hi - lo
+            doc, h, times = shingles(tokenize(texts.slice(lo, n)), SHINGLE_WORDS)
+            df = frequency[np.searchsorted(found, h)]
+            drawn = draw(doc, h, times.astype(np.float32) * idf_of(df, n_docs), n, bands * rows)
+            key = np.zeros((n, bands), U)
+            for i in range(rows):
+                key = mix(key * U(0x9E3779B97F4A7C15) + drawn[:, i::rows])
+            key += np.arange(bands, dtype=U)
+            some = np.bincount(doc, minlength=n)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(key.astype(np.int64).ravel()))
+            keys.append(pa.compute.if_else(pa.array(some > 0), flat, None))
+            dfs += [pack(x) for x in np.split(df, np.cumsum(some)[:-1])]
+        columns = [table.column("doc_id"), table.column("node"), pa.chunked_array(keys, signature_arrow.field("keys").type), pa.array(dfs, pa.binary())]
+        return pa.table([c.cast(f.type) for c, f in zip(columns, signature_arrow, strict=True)], signature_arrow)
+
+    signed = cut(placed.groupBy("group").cogroup(answers(asked).groupBy("group")).applyInArrow(sign, signature))
     nodes = cut(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"), F.max(F.array_join("keys", ",")).alias("keys")))
     keys = nodes.select("node", F.transform(F.split("keys", ","), lambda k: k.cast("long")).alias("keys"))
     members = keys.select("node", F.explode("keys").alias("bucket"))
@@ -310,9 +356,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     pairs = cut(_pairs(shared.select("node", F.explode(F.array("leader0", "leader1")).alias("leader")), "node", "leader"))
     wanted = shared.select("node").distinct()
     one = nodes.join(wanted, "node").select("node", F.col("doc_id").alias("node_doc"))
-    chosen = hashed.join(one, "node").filter(F.col("doc_id").eqNullSafe(F.col("node_doc")))  # one row of a hot text, not all its copies
-    texts = cut(chosen.groupBy("node").agg(F.first("text").alias("text")))
-    links = cut(_verified(pairs, texts, weights, threshold))
+    # one row of a hot text, not all its copies
+    text, df = (x.join(one, "node").filter(F.col("doc_id").eqNullSafe(F.col("node_doc"))).groupBy("node").agg(F.first(c).alias(c)) for x, c in ((hashed, "text"), (signed, "df")))
+    texts = cut(text.join(df, "node"))
+    links = cut(_verified(pairs, texts, n_docs, threshold))
     classes = connected(links)
     buckets = shared.select("bucket", "node")
     for last in (False, True):
@@ -322,13 +369,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
         if open_.isEmpty():
             break
         if last:
-            more = cut(_compare_blocks(open_, keys, texts, weights, threshold))
+            more = cut(_compare_blocks(open_, keys, texts, n_docs, threshold))
         else:
             degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
             best = open_.join(degree, "node", "left").groupBy("bucket").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)), "node", "label")).alias("best"))
             lead = best.select("bucket", F.col("best.node").alias("other"), F.col("best.label").alias("other_label"))
             found = _pairs(open_.join(lead, "bucket").filter(F.col("label") != F.col("other_label")), "node", "other")
-            more = cut(_verified(found.join(pairs, ["a", "b"], "left_anti"), texts, weights, threshold))
+            more = cut(_verified(found.join(pairs, ["a", "b"], "left_anti"), texts, n_docs, threshold))
         if not more.isEmpty():
             links = links.unionByName(more)
             classes = connected(links)

@@ -127,3 +127,31 @@ def test_classes_without_own_ids_stay_apart(spark):
     got = near_dup.classify(d)
     assert got.select("class_node").distinct().count() == 6
     assert sorted(str(r.doc_id) for r in got.filter("kept").collect()) == ["7", "7", "8", "None", "None", "None", "None"]
+
+
+def test_weights_tell_rare_from_common(spark):
+    """A passage in 3 % of the documents weighs less than what one document has alone."""
+    rng = random.Random(9)
+    passage, alone = words(rng, 200, 10**6), [words(rng, 40, 10**6) for _ in range(6)]
+    docs = [a + "\n" + passage for a in alone] + [words(rng, 30, 10**6) for _ in range(194)]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    table, counts, n = near_dup.frequent_shingles(d)
+    df = dict(zip(table.tolist(), counts.tolist(), strict=True))
+    (doc, h, weight), times = near_dup.Weights(table, counts, n).features(pa.array(docs)), 1
+    assert np.allclose(weight, [times * np.log1p(200 / df[x]) for x in h.tolist()]) and set(counts.tolist()) == {1, 6}
+    flat = near_dup.overlap((doc[doc == 0], h[doc == 0], np.ones((doc == 0).sum())), (doc[doc == 1] - 1, h[doc == 1], np.ones((doc == 1).sum())), 1)
+    weighed = near_dup.similarity(near_dup.Weights(table, counts, n), pa.array(docs[:1]), pa.array(docs[1:2]))
+    assert weighed[0] < 0.65 < flat[0]
+
+
+def test_pairs_are_linked_by_full_weights(spark, monkeypatch):
+    """Copies that differ only in a passage of 3 % of the documents, over several groups and parts."""
+    monkeypatch.setattr(near_dup, "GROUP_BYTES", 5000)
+    monkeypatch.setattr(near_dup, "PART_BYTES", 5000)
+    rng = random.Random(10)
+    passage = words(rng, 27, 10**6)
+    same = words(rng, 84, 10**6)
+    docs = [same, same + "\n" + passage] + [words(rng, 30, 10**6) + "\n" + passage for _ in range(30)] + [words(rng, 60, 10**6) for _ in range(200)]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.class_id for r in near_dup.classify(d).collect()}
+    assert got == {i: 0 if i < 2 else i for i in range(len(docs))}
