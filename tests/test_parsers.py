@@ -3,7 +3,7 @@ import json
 import pytest
 from loomlog import formats
 from loomlog.functions.times import WIDTHS, parse_layout, pick_width, spark_pattern
-from loomlog.operators import blocks, detect, histogram, infer, lines, rules, xmlrows
+from loomlog.operators import blocks, detect, event_records, histogram, infer, lines, rules, xmlrows
 from loomlog.operators.export import export, stage
 from loomlog.operators.ordered import with_parts
 from loomlog.operators.predicates import predicate
@@ -202,3 +202,14 @@ def test_streams(spark, tmp_path):
     assert sorted((r.level, r.n) for r in spark.table("tail_counts").collect()) == [("INF", 3)] * 3
     with pytest.raises(ValueError):
         tail.parse_stream(rows, BY_NAME["time-pidtid"])
+
+
+def test_event_lists_keep_every_item(spark):
+    """Lists longer than four, in lists, and of records."""
+    rows = [((1.0, list(range(7)), [([1, 2], [[1], [2, 3]]), (list(range(6)), None)]), None), ((2.0, [], None), None), ((3.0, None, []), None)]
+    d = spark.createDataFrame(rows, "E struct<t: double, a: array<int>, r: array<struct<b: array<int>, m: array<array<int>>>>>, mtime timestamp")
+    got = event_records.flatten_events(d, "E.t")
+    want = {f"E.a.{i}": i for i in range(7)} | {f"E.r.1.b.{i}": i for i in range(6)} | {"E.r.0.b.1": 2, "E.r.0.m.1.1": 3, "E.r.0.m.0.0": 1, "E.r.0.m.0.1": None, "E.r.0.b.5": None}
+    r = got.filter("`E.t` = 1").first().asDict()
+    assert {k: r[k] for k in want} == want
+    assert got.filter("`E.t` = 2").first()["E.a.0"] is None and got.count() == 3
