@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,18 +61,25 @@ def flatten(column: Column, schema: T.StructType, prefix: str = "") -> list[tupl
     return [(p, F.nullif(F.trim(c), F.lit("")) if isinstance(k, T.StringType) else c, k) for p, c, k in out]
 
 
+def infer_schema(rows: DataFrame, options: dict[str, str]) -> T.StructType:
+    """Every element and attribute of all ``rows`` (one column of XML): schemas of rows, merged on the executors."""
+    spark = rows.sparkSession
+    known = rows.select(F.col(rows.columns[0]).cast("string").alias("value")).filter("value IS NOT NULL")
+    texts = getattr(known._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    read = spark.read.options(**options, samplingRatio="1.0", columnNameOfCorruptRecord="__corrupt")._jreader.xml(texts)
+    schema = T.StructType.fromJson(json.loads(read.schema().json()))
+    return T.StructType([f for f in schema if f.name != "__corrupt"])
+
+
 def parse_xml_rows(rows: DataFrame, row: str, schema: T.StructType | str | None = None, xml: str = "xml", rule: XmlRule = XML_RULES[0]) -> DataFrame:
     """``rows`` parsed and flattened, with timestamp and format.
 
-    Without a schema it is inferred from up to a thousand rows.  Entities are
+    Without a schema it is inferred from all rows, by a pass of its own.  Entities are
     decoded once; markup inside them stays text.
     """
     options = {"attributePrefix": "@", "valueTag": TEXT, "inferSchema": "false", "rowTag": row}
     if schema is None:
-        sample = [r[0] for r in rows.select(xml).filter(F.col(xml).isNotNull()).limit(1000).collect()]
-        inferred = rows.sparkSession.range(1).select(F.schema_of_xml(F.lit(f"<r>{''.join(sample)}</r>"), options | {"rowTag": "r"}).alias("s")).first().s
-        inner = rows.sparkSession.range(0).select(F.from_xml(F.lit(""), F.lit(inferred), options).alias("x")).schema["x"].dataType[row].dataType
-        schema = inner.elementType if isinstance(inner, T.ArrayType) else inner
+        schema = infer_schema(rows.select(xml), options)
     parsed = rows.withColumn("__row", F.from_xml(xml, schema if isinstance(schema, str) else _ddl(schema), options))
     kind = parsed.schema["__row"].dataType
     flat = flatten(F.col("__row"), kind)

@@ -289,12 +289,9 @@ def parse_block(spark, sf_dir):
     return wide.select(F.col("Conv").alias("conv"), F.col("Turn").alias("turn"), F.col("Role").alias("role"), F.col("Text").alias("text"), F.col("`@timestamp`").alias("ts"), F.col("_source_format").alias("format"))
 
 
-_XML_SCHEMA = "`@type` string, `@time` string, Id string, User string, Value struct<_VALUE: string, `@unit`: string>, Detail string, Info struct<Tag: array<string>>"
-
-
 @query("parse_xml_rows", f"SELECT event_id AS id, event_type AS type, CAST(user_id AS VARCHAR) AS \"user\", CAST(value AS VARCHAR) AS value, 'x' AS unit, '<b> & more' AS detail, array_to_string(list_transform(range(1, event_id % 3 + 2), lambda i: 't' || i), ',') AS tags, {_ISO.format("date_trunc('second', ts)")} AS ts, 'xml:Event' AS format FROM events")
 def parse_xml_rows(spark, sf_dir):
-    rows = xmlrows.parse_xml_rows(R.xml_rows(spark, sf_dir), "Event", _XML_SCHEMA)
+    rows = xmlrows.parse_xml_rows(R.xml_rows(spark, sf_dir), "Event")
     return rows.select(
         F.col("Id").cast("long").alias("id"), F.col("`@type`").alias("type"), F.col("User").alias("user"), F.col("Value").alias("value"), F.col("`Value.@unit`").alias("unit"),
         F.col("Detail").alias("detail"), F.array_join("`Info.Tag`", ",").alias("tags"), F.col("`@timestamp`").alias("ts"), F.col("_source_format").alias("format"),

@@ -204,6 +204,17 @@ def test_streams(spark, tmp_path):
         tail.parse_stream(rows, BY_NAME["time-pidtid"])
 
 
+def test_xml_paths_of_late_rows(spark):
+    """An attribute, an element and a list that one row in three thousand has."""
+    xml = ["<E><Id>%d</Id><Tag>a</Tag></E>" % i for i in range(3000)] + ['<E k="v"><Id>3000</Id><Tag>a</Tag><Tag>b</Tag><New><In>z</In></New></E>', None]
+    rows = spark.createDataFrame([(x,) for x in xml], "xml string").repartition(1).sortWithinPartitions(F.length("xml"))
+    got = xmlrows.parse_xml_rows(rows, "E")
+    assert {"Id", "Tag", "@k", "New.In"} <= set(got.columns) and got.count() == 3002
+    r = got.filter("Id = '3000'").first()
+    assert (r["@k"], r["New.In"], r["Tag"]) == ("v", "z", ["a", "b"])
+    assert got.filter("Id = '7'").first()["Tag"] == ["a"]
+
+
 def test_event_lists_keep_every_item(spark):
     """Lists longer than four, in lists, and of records."""
     rows = [((1.0, list(range(7)), [([1, 2], [[1], [2, 3]]), (list(range(6)), None)]), None), ((2.0, [], None), None), ((3.0, None, []), None)]
