@@ -1,7 +1,8 @@
 """Personal data: regular expressions propose spans, checksums confirm, context scores.
 
 Kinds email, ip, card (16 to 19 digits passing Luhn), phone (8 to 15 digits)
-and iban (mod 97 leaves 1).  Offsets are code points, end exclusive.  Matches
+and iban (mod 97 leaves 1; of the length of its country, or of any length where
+that finds none).  Offsets are code points, end exclusive.  Matches
 are leftmost and do not overlap within a kind; one that fails its check is
 dropped and its characters are not searched again.  Everything is built-in
 functions over one row: no shuffle, no user function.
@@ -31,6 +32,15 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
 }
+#: Length of an account number by country.
+IBAN_LENGTHS = dict(
+    AD=24, AE=23, AL=28, AT=20, AZ=28, BA=20, BE=16, BG=22, BH=22, BI=27, BR=29, BY=28, CH=21, CR=22, CY=28, CZ=24, DE=22, DJ=27, DK=18, DO=28, EE=20, EG=29, ES=24, FI=18, FK=18, FO=18, FR=27, GB=22, GE=22, GI=23,
+    GL=18, GR=27, GT=28, HN=28, HR=21, HU=28, IE=22, IL=23, IQ=23, IS=26, IT=27, JO=30, KW=30, KZ=20, LB=28, LC=32, LI=21, LT=20, LU=20, LV=21, LY=25, MC=27, MD=24, ME=22, MK=19, MN=20, MR=27, MT=31, MU=30, NI=28,
+    NL=18, NO=15, OM=23, PK=24, PL=28, PS=29, PT=25, QA=29, RO=24, RS=22, RU=33, SA=24, SC=31, SD=18, SE=24, SI=19, SK=24, SM=27, SO=23, ST=25, SV=28, TL=23, TN=24, TR=26, UA=29, VA=22, VG=24, XK=20, YE=30,
+)
+_BY_LENGTH = {n: "|".join(c for c, m in IBAN_LENGTHS.items() if m == n) for n in sorted(set(IBAN_LENGTHS.values()))}
+#: An account number of its country's length: what follows after a space is left alone.
+IBAN_OF_LENGTH = r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(rf"(?:{c})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in _BY_LENGTH.items()) + r")(?![A-Za-z0-9])"
 #: A text without these can't match: a cheap test before the pattern.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 
@@ -83,14 +93,14 @@ def _score(kind: str, text: Column, start: Column, end: Column) -> Column:
     return F.when(near.rlike(rf"(?<![\p{{L}}])(?:{CONTEXT[kind]})(?![\p{{L}}])"), F.lit(SCORES[kind] + RAISE)).otherwise(F.lit(SCORES[kind]))
 
 
-def _spans(kind: str, text: Column) -> Column:
+def _spans(kind: str, text: Column, pattern: str | None = None) -> Column:
     """The confirmed spans of a kind in a text, as one expression.
 
     Matches and the pieces between them are bound by ``let``, so that a filter
     which Spark moves below this expression doesn't find them anew for each match.
     """
     empty = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
-    pattern = PATTERNS[kind]
+    pattern = pattern or PATTERNS[kind]
 
     def folded(m: Column, g: Column) -> Column:
         def step(acc: Column, i: Column) -> Column:
@@ -109,11 +119,25 @@ def _spans(kind: str, text: Column) -> Column:
     return F.coalesce(some, empty)
 
 
-def find_pii(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+def _accounts(text: Column) -> Column:
+    """Numbers of their country's length, and those of the open pattern that overlap none of these."""
+
+    def both(sure: Column) -> Column:
+        apart = lambda g: ~F.exists(sure, lambda s: (s["start"] < g["end"]) & (g["start"] < s["end"]))
+        return F.array_sort(F.concat(sure, F.filter(_spans("iban", text), apart)))
+
+    return let(_spans("iban", text, IBAN_OF_LENGTH), both)
+
+
+def find_pii(docs: DataFrame, keep: list[str], text: str = "text", by_length: bool = True) -> DataFrame:
     """``keep`` columns (under ``__keep``), the text (``__t``) and ``spans``: an array of
-    (kind, start, end, score), by kind in the order of KINDS, then by start."""
+    (kind, start, end, score), by kind in the order of KINDS, then by start.
+
+    Without ``by_length`` account numbers are those of the open pattern alone,
+    which takes in upper-case words after a number and then fails.
+    """
     out = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__keep"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__t"))
-    return out.select("__keep", "__t", F.concat(*[_spans(k, F.col("__t")) for k in KINDS]).alias("spans"))
+    return out.select("__keep", "__t", F.concat(*[_accounts(F.col("__t")) if k == "iban" and by_length else _spans(k, F.col("__t")) for k in KINDS]).alias("spans"))
 
 
 def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:

@@ -196,3 +196,17 @@ def test_digest_columns(spark, sf_dir, reference):
         ids = reference.encode_ordinary(texts[r.doc_id])
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_account_numbers_before_capitals_and_digits(spark):
+    """What follows a valid number after a space neither hides it nor goes with it."""
+    texts = {
+        "pay DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX": "pay <IBAN> BIC COBADEFFXXX",
+        "GB82 WEST 1234 5698 7654 32 2024 invoice": "<IBAN> 2024 invoice",
+        "GB82WEST12345698765432 EUR 100": "<IBAN> EUR 100",
+        "GB82WEST12345698765432 DE89370400440532013000": "<IBAN> <IBAN>",
+        "GB82WEST12345698765432, DE89370400440532013001 A": "<IBAN>, DE89370400440532013001 A",
+        "GB82WEST12345698765432EUR": "GB82WEST12345698765432EUR",
+    }
+    d = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert {r.clean for r in pii.redact(d.select("text")).withColumnRenamed("text", "clean").collect()} == set(texts.values())
