@@ -53,16 +53,18 @@ def fresh(taken: Sequence[str], name: str) -> str:
 def map_texts(
     df: DataFrame,
     fields: Sequence[T.StructField],
-    make: Callable[[], Callable[[pa.Array], list[pa.Array]]],
+    make: Callable[[], Callable[..., list[pa.Array]]],
     text: str = "text",
     keep: Sequence[str] | None = None,
     slice_bytes: int = SLICE_BYTES,
+    beside: str | None = None,
 ) -> DataFrame:
     """Adds ``fields``, computed from the text column, to the columns ``keep`` (default: all).
 
     ``make`` is called once a task and returns the function from a slice of
-    texts (nulls are empty strings) to one Arrow array a field.  A kept column
-    that has the name of a new field is replaced.
+    texts (nulls are empty strings), and of the kept column ``beside`` if there
+    is one, to one Arrow array a field.  A kept column that has the name of a
+    new field is replaced.
     """
     bounded_batches(df.sparkSession)
     new = {f.name.lower() for f in fields}
@@ -77,7 +79,8 @@ def map_texts(
             for lo, hi in slices(texts, slice_bytes):
                 part = batch.slice(lo, hi - lo)
                 columns = [part.column(i) for i in range(len(kept))]
-                yield pa.RecordBatch.from_arrays([*columns, *fn(texts.slice(lo, hi - lo))], names=schema.names)
+                more = [] if beside is None else [columns[kept.index(beside)]]
+                yield pa.RecordBatch.from_arrays([*columns, *fn(texts.slice(lo, hi - lo), *more)], names=schema.names)
 
     return work.mapInArrow(run, schema)
 

@@ -41,7 +41,7 @@ def good_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_model.resample(table(spark, sf_dir, "documents"), good_ids(spark, sf_dir))[0]
+    return quality_model.resample(table(spark, sf_dir, "documents"), good_ids(spark, sf_dir)).drop("target")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ def test_stages_take_effect(spark, sf_dir):
         before, docs = docs, stage(spark, docs, sf_dir).cache()
         counts.append(docs.count())
         if name == "quality_model":
-            kept = quality_model.resample(before, queries.good_ids(spark, sf_dir))[0].filter("kept")
+            kept = quality_model.resample(before, queries.good_ids(spark, sf_dir)).filter("kept")
             assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in docs.select("doc_id").collect())
         if name == "near_dup":
             kept = near_dup.classify(before).filter("kept")

@@ -1,7 +1,9 @@
+import math
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from loomlog.llm import quality_model, quality_rules
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ def labelled(spark, n=300):
 def test_resampling_keeps_the_good(spark):
     d = labelled(spark)
     good = d.filter("quality = 1 AND doc_id % 2 = 1").select("doc_id")
-    got = quality_model.resample(d.drop("quality"), good)[0].join(d.select("doc_id", "quality"), "doc_id")
+    got = quality_model.resample(d.drop("quality"), good).join(d.select("doc_id", "quality"), "doc_id")
     assert got.filter("quality = 0 AND kept").count() == 0
     assert got.filter("quality = 1 AND kept").count() >= 0.97 * d.filter("quality = 1").count()
     kept = quality_model.keep_good(d.drop("quality"), good)
@@ -40,21 +42,66 @@ def test_top_k_is_exact(spark):
 def test_sampling_follows_weights(spark):
     """Without a model all weights are equal, and the noise alone decides: k rows, the same each time."""
     d = labelled(spark)
-    got, _, _ = quality_model.resample(d, d.select("doc_id").limit(0), k=100)
+    got = quality_model.resample(d, d.select("doc_id").limit(0), k=100)
     assert got.filter("kept").count() == 100
-    again, _, _ = quality_model.resample(d, d.select("doc_id").limit(0), k=100)
+    again = quality_model.resample(d, d.select("doc_id").limit(0), k=100)
     assert got.filter("kept").join(again.filter("kept"), "doc_id").count() == 100
 
 
 def test_model_edges(spark, edge, empty):
     good = edge.select("doc_id")
-    got = quality_model.resample(edge, good)[0]
+    got = quality_model.resample(edge, good)
     assert got.count() == edge.count()
     assert got.filter("doc_id IN (2, 3)").select("log_weight").distinct().collect() == [(0.0,)]
     assert quality_model.keep_good(edge, good).columns == edge.columns
-    assert quality_model.resample(empty, good)[0].count() == 0
+    assert quality_model.resample(empty, good).count() == 0
     assert quality_model.keep_good(empty, good.limit(0)).count() == 0
-    assert np.all(quality_model.fit(edge, good.limit(0)) == 0)
+    assert not quality_model.fit(edge, good.limit(0)).target.any()
+
+
+def plain_weights(texts, shown):
+    """Log weights of texts by dictionaries of tokens, each shown text left out of its own target model."""
+    from collections import Counter
+
+    def grams(text):
+        tokens = re.findall("[0-9a-z\x80-\U0010ffff]+|[!-/:-@\\[-`{-~]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        out = [int(g) for g in quality_model.ngrams(pa.array([text]))[1]]
+        assert len(out) == max(0, 2 * len(tokens) - 1)
+        return Counter(out)
+
+    each = [grams(t) for t in texts]
+    raw, target = Counter(), Counter()
+    for g, s in zip(each, shown, strict=True):
+        raw += g
+        target += g if s else Counter()
+    n_raw, n_target, prior = sum(raw.values()) + quality_model.BUCKETS, sum(target.values()), quality_model.PRIOR
+    out = []
+    for g, s in zip(each, shown, strict=True):
+        held, size, total = (g if s else {}), sum(g.values()), 0.0
+        for b, times in g.items():
+            p = (raw[b] + 1) / n_raw
+            total += times * math.log((target[b] - held.get(b, 0) + prior * p) / (n_target - sum(held.values() if s else []) + prior) / p)
+        out.append(total * min(1, quality_model.LENGTH / max(size, 1)))
+    return out
+
+
+def test_log_weights_against_plain_python(spark):
+    rng = random.Random(12)
+    texts = [words(rng, rng.randrange(0, 160), 90) + rng.choice(["", ", A-b. ###", " x x x x"]) for _ in range(80)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    good = d.filter("doc_id % 3 = 0").select("doc_id")
+    got = {r.doc_id: r for r in quality_model.resample(d, good).collect()}
+    assert np.allclose([got[i].log_weight for i in range(80)], plain_weights(texts, [i % 3 == 0 for i in range(80)]))
+    assert [got[i].target for i in range(80)] == [i % 3 == 0 for i in range(80)]
+
+
+def test_unseen_good_documents_are_kept_like_shown_ones(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    half = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    got = quality_model.resample(docs, labels.filter("quality = 1").filter(half).select("doc_id")).join(labels, "doc_id", "left")
+    share = {(r.quality, r.target): r.share for r in got.groupBy("quality", "target").agg(F.avg(F.col("kept").cast("int")).alias("share")).collect()}
+    assert share[1, True] >= 0.9 and abs(share[1, True] - share[1, False]) <= 0.05 and share[0, False] <= 0.2
 
 
 def base(text):
