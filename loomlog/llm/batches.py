@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute
@@ -129,8 +130,41 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Folders that ``cut`` has written and nothing has deleted.
+_written: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df``, computed now and read again as Parquet from the shared folder: lost executors don't lose it."""
     path = f"{shared_dir(df.sparkSession)}/loomlog-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it is; a missing one is no error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop(*cuts: DataFrame) -> None:
+    """Deletes the files of frames made by ``cut`` that nothing reads any more."""
+    for df in cuts:
+        delete(df.sparkSession, df.cut_path)
+        if df.cut_path in _written:
+            _written.remove(df.cut_path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving what was cut inside; results must have been written by then."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        for path in _written[before:]:
+            delete(spark, path)
+        del _written[before:]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.batches import cut
+from loomlog.llm.batches import cut, drop
 
 
 def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -18,12 +18,13 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = cut(links.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(links.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct())
     labels = cut(edges.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")))
     while True:
-        near = edges.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
+        near = edges.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.col("label").alias("before"), F.least("label", "near").alias("label"))
         # the label that the label's own node has, and that one's: a hot label is only looked up
         hop = step.select(F.col("node").alias("label"), F.col("label").alias("next"))
         step = step.join(hop, "label", "left").select("node", "before", F.coalesce("next", "label").alias("label"))
-        step = cut(step)
-        if step.filter("label != before").isEmpty():
-            return step.select("node", "label")
-        labels = step.select("node", "label")
+        before, labels = labels, cut(step)
+        drop(before)
+        if labels.filter("label != before").isEmpty():
+            drop(edges)
+            return labels.select("node", "label")
