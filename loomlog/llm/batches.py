@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: UTF-8 bytes of text worked on at once inside a task.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Most texts in a slice: shingle keys hold the text's place in 12 bits.
 SLICE_TEXTS = 4096
 
@@ -137,7 +137,7 @@ _written: list[str] = []
 def cut(df: DataFrame) -> DataFrame:
     """``df``, computed now and read again as Parquet from the shared folder: lost executors don't lose it."""
     path = f"{shared_dir(df.sparkSession)}/loomlog-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _written.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.cut_path = path

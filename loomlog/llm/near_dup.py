@@ -51,10 +51,10 @@ SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 3
 #: Bytes of text that ask for document frequencies together, and whose shingles a part counts.
-GROUP_BYTES, PART_BYTES = 4 << 20, 16 << 20
+GROUP_BYTES, PART_BYTES = 2 << 20, 8 << 20
 #: Above so many bytes both grow with the square root of the input, up to GROWN times, so that
 #: what a group asks of a part stays many shingles a row.
-STEADY_BYTES, GROWN = 100 << 30, 16
+STEADY_BYTES, GROWN = 10 << 30, 32
 #: Shingles whose samples are drawn together: their arrays stay in cache.
 DRAWN = 1 << 15
 #: Texts on each side of a block.
@@ -379,8 +379,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     pairs = cut(_pairs(shared.select("node", F.explode(F.array("leader0", "leader1")).alias("leader")), "node", "leader"))
     wanted = shared.select("node").distinct()
     texts = cut(distinct.select("node", "text").join(signed.select("node", "df", "keys").join(wanted, "node"), "node"))
-    weights = cut(signed.select("node", "total"))
-    drop(signed, leaders)
+    ids, weights = cut(distinct.select("node", "doc_id", "n_copies")), cut(signed.select("node", "total"))
+    drop(signed, leaders, distinct)
     links = cut(_verified(pairs, texts, n_texts, threshold))
     classes = connected(links)
     left = None
@@ -410,7 +410,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
         if last:
             break
     drop(texts, weights)
-    labelled = distinct.join(classes, "node", "left").select("node", "doc_id", "n_copies", F.coalesce("label", "node").alias("label"))
+    labelled = ids.join(classes, "node", "left").select("node", "doc_id", "n_copies", F.coalesce("label", "node").alias("label"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).getField("node")
     least = cut(labelled.groupBy("label").agg(F.min("doc_id").alias("class_id"), first.alias("first")))
     out = labelled.join(least, "label")
