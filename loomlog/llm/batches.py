@@ -158,6 +158,12 @@ def drop(*cuts: DataFrame) -> None:
             _written.remove(df.cut_path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets the driver collect its garbage now: Spark deletes shuffle files once the frames that
+    wrote them are collected, which a driver with memory to spare may put off for half an hour."""
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes on leaving what was cut inside; results must have been written by then."""

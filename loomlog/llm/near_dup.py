@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from loomlog.llm.batches import bounded_batches, cut, drop, slices
+from loomlog.llm.batches import bounded_batches, cut, drop, free_shuffles, slices
 from loomlog.llm.components import connected
 from loomlog.llm.words import U, mix, shingles, tokenize
 
@@ -265,7 +265,9 @@ def _blocks(open_: DataFrame, threshold: float) -> DataFrame:
     sizes = cut(counts.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.sum("n").alias("size")))
     groups = max(1, open_.count() // BLOCK)
     minor = (F.col("label") != F.col("major")).alias("minor")
-    sized = open_.join(sizes, "bucket").select("bucket", "node", "label", "size", minor, F.floor(F.log("total") / F.lit(-1.0001 * float(np.log(threshold)))).alias("cell"))
+    sized = open_.join(sizes, "bucket")
+    sized = sized.select("bucket", "node", "label", "size", minor, F.floor(F.log("total") / F.lit(-1.0001 * float(np.log(threshold)))).alias("cell"))
+    sized = cut(sized)  # so that Spark can split a hot bucket in the join and counts it in parts
     small = sized.filter(F.col("size") <= BLOCK).select("bucket", "node", "label", "minor", F.pmod(F.xxhash64("bucket"), F.lit(groups)).alias("group"), *[F.lit(0).cast("long").alias(c) for c in ("left", "right", "i", "j")])
     sides = [small.filter("minor").withColumn("side", F.lit(0)), small.withColumn("side", F.lit(1))]
     large = sized.filter(F.col("size") > BLOCK)
@@ -372,6 +374,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     distinct = cut(docs.groupBy(node_of(F.col("text")).alias("node")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"), F.first("text").alias("text")))
     signed, n_texts = signatures(distinct, bands, rows)
     signed = cut(signed)
+    free_shuffles(docs.sparkSession)
     members = signed.select("node", F.explode("keys").alias("bucket"))
     order = [F.struct(F.xxhash64("node", F.lit(i)), "node") for i in range(2)]
     leaders = cut(members.groupBy("bucket").agg(F.count("*").alias("size"), *[F.min(o).getField("node").alias(f"leader{i}") for i, o in enumerate(order)]).filter("size > 1"))
@@ -381,6 +384,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     texts = cut(distinct.select("node", "text").join(signed.select("node", "df", "keys").join(wanted, "node"), "node"))
     ids, weights = cut(distinct.select("node", "doc_id", "n_copies")), cut(signed.select("node", "total"))
     drop(signed, leaders, distinct)
+    free_shuffles(docs.sparkSession)
     links = cut(_verified(pairs, texts, n_texts, threshold))
     classes = connected(links)
     left = None
