@@ -72,6 +72,13 @@ def iso(ts: Column) -> Column:
     return F.concat(F.replace(ts.cast("timestamp_ntz").cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
 
 
+def present(ts: Column, zone: str = "UTC", hours: int = 24) -> Column:
+    """A UTC timestamp as a reader in ``zone`` sees it: date, time with milliseconds, on a clock of 24 or 12 hours."""
+    if hours not in (12, 24):
+        raise ValueError("clocks have 12 or 24 hours")
+    return F.date_format(F.from_utc_timestamp(ts.cast("timestamp"), zone), "yyyy-MM-dd HH:mm:ss.SSS" if hours == 24 else "yyyy-MM-dd hh:mm:ss.SSS a")
+
+
 def pick_width(seconds: int) -> int:
     """The least width of at most MAX_BUCKETS whole buckets in a span; whole days beyond the table."""
     for width in WIDTHS:

@@ -106,7 +106,7 @@ def classify_files(heads: DataFrame, rules=ALL_RULES) -> DataFrame:
     best = F.array_max(F.transform(F.array(*_scores(rules)), lambda s: F.struct(s["score"].alias("score"), _reversed(s["adapter"]).alias("order"), s["adapter"].alias("adapter"))))
     out = out.withColumn("__best", best)
     fits = F.col("__best.score") > 0
-    line = F.decode(F.substring(F.encode("first_line", "ISO-8859-1"), 1, FIRST_LINE_BYTES), "UTF-8")
+    line = F.make_valid_utf8(F.substring(F.encode("first_line", "ISO-8859-1"), 1, FIRST_LINE_BYTES).cast("string"))  # a character may be cut
     return out.select("path", F.when(fits, F.col("__best.adapter")).alias("adapter"), F.col("__best.score").alias("score"), notes(F.col("head"), F.col("sample")).alias("notes"), line.alias("first_line"))
 
 

@@ -1,19 +1,16 @@
 """Line templates inferred per source: which timestamp, which fields, which pattern.
 
-Shapes and tokens are counted over all lines of a source.  Only one row a token
-position (40 at most) of each source reaches the small fold that writes the
-pattern.
+Shapes and tokens are counted over all lines of a source, one row a token position
+(40 at most).  Patterns are written from these rows in columns.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomlog.operators.rules import LineRule, validate
+
 MAX_TOKENS, MAX_CAPTURES = 40, 8
 
 # Timestamp shapes, the more special ones first, and words for levels.
@@ -33,10 +30,6 @@ LEVELS = (
 _TOKEN = r"[ \t]+|\p{Nd}+|[\p{L}_][\p{L}\p{Nd}_]*|."
 
 
-def _shape_of(name: Column) -> Column:
-    return F.coalesce(*[F.when(name == n, F.lit(p)) for n, p in SHAPES])
-
-
 def timestamp_shapes(lines: DataFrame) -> DataFrame:
     """(source, lines, shape): the first shape that half the lines of a source have, null if none."""
     counted = lines.groupBy("source").agg(F.count("*").alias("lines"), *[F.count_if(F.col("value").rlike(p)).alias(n) for n, p in SHAPES])
@@ -107,107 +100,140 @@ def aligned_positions(found: DataFrame) -> DataFrame:
     return _counted(moved, "rel").withColumnRenamed("rel", "pos")
 
 
-def slug(text: str) -> str:
-    return re.sub(r"[^a-z0-9]+", "_", text.lower()).strip("_")
-
-
-def write_pattern(rows: list[dict], shape: str, prefix: str) -> str | None:
-    """The pattern that the positions of one source agree on; None if it ends before the timestamp.
+# --- patterns -------------------------------------------------------------------
+#
+# Positions of a source become pieces of a pattern in columns: each position gets an
+# action, the first position that has none ends the pattern, captures are named by
+# what stands before them, and the pieces are joined.  At most MAX_TOKENS positions
+# of a source and alignment are put in order together.
+
+
+def _escaped(text: Column) -> Column:
+    return F.regexp_replace(text, r"([^\p{L}\p{Nd}\s_])", r"\\$1")
+
+
+def _actions(positions: DataFrame) -> DataFrame:
+    """``positions`` of (source, way) with kind, fixed (the one text all lines have) and action:
+    stamp, gap, level, number, join (inside a dotted number), word, text, or null."""
+    place = Window.partitionBy("source", "way").orderBy("pos")
+    whole = F.col("lines") == F.max("lines").over(Window.partitionBy("source", "way"))
+    agreed = F.coalesce(*[F.when(F.col(k) == F.col("lines"), F.lit(k)) for k in ("timestamp", "space", "number", "punct")])
+    words = F.when(F.col("level") + F.col("word") == F.col("lines"), F.when(2 * F.col("level") >= F.col("lines"), F.lit("level")).otherwise(F.lit("word")))
+    rows = positions.withColumn("kind", F.when(whole, F.coalesce(agreed, words))).withColumn("fixed", F.when(F.col("least") == F.col("greatest"), F.col("least")))
+    near = {f"{c}{n:+d}": F.lag(c, -n).over(place) for c in ("kind", "fixed") for n in (-2, -1, 1, 2)}
+    rows = rows.withColumns(near)
+    kind, fixed = F.col("kind"), F.col("fixed")
+    dotted = lambda before, dot, after: (before == "number") & (dot == ".") & (after == "number")
+    inside = (kind == "punct") & dotted(F.col("kind-1"), fixed, F.col("kind+1")) | dotted(F.col("kind-2"), F.col("fixed-1"), kind)
+    closed = (F.col("kind+1") == "punct") & F.col("fixed+1").isNotNull()
+    action = (
+        F.when(inside, F.lit("join"))
+        .when(kind == "timestamp", F.lit("stamp"))
+        .when(kind == "space", F.lit("gap"))
+        .when(kind.isin("level", "number"), kind)
+        .when((kind == "word") & closed, F.when(fixed.isNotNull(), F.lit("text")).otherwise(F.lit("word")))
+        .when((kind == "punct") & fixed.isNotNull(), F.lit("text"))
+    )
+    return rows.withColumn("action", action).withColumn("run", dotted(kind, F.col("fixed+1"), F.col("kind+2")))
+
+
+def patterns(positions: DataFrame, shapes: DataFrame) -> DataFrame:
+    """(source, way, pattern) from ``positions`` (as ``token_positions`` gives, with way: line or timestamp).
 
     Numbers, levels and blanks are never literal; a word is literal only where
     all lines have it and the same punctuation closes it, a capture where they
-    differ but it is closed; elsewhere the message begins.
+    differ but it is closed; elsewhere the message begins, and also at the
+    capture after MAX_CAPTURES or at a second timestamp.  No pattern comes out
+    where the message would begin before the timestamp.
     """
-    total = rows[0]["lines"] if rows else 0
-    rows = [r for r in sorted(rows, key=lambda r: r["pos"]) if r["lines"] == total]  # every line reaches so far
-    out, used, literal, captures, unnamed, dated = prefix, {"ts", "message"}, [], 0, 0, False
-
-    def kind(r: dict) -> str | None:
-        words = r["level"] + r["word"]
-        if words == total:
-            return "level" if 2 * r["level"] >= total else "word"
-        return next((k for k in ("timestamp", "space", "number", "punct") if r[k] == total), None)
-
-    def same(r: dict) -> bool:
-        return r["least"] == r["greatest"]
-
-    def capture(name: str, body: str) -> str:
-        nonlocal captures, unnamed
-        if not name and len(literal) > 1 and literal[-1] in (":", "=") and literal[-2][:1].isalpha():
-            name = slug(literal[-2])
-        if not name:
-            unnamed += 1
-            name = f"field{unnamed}"
-        final, n = name, 2
-        while final in used:
-            final, n = f"{name}{n}", n + 1
-        used.add(final)
-        captures += 1
-        literal.clear()
-        return f"(?P<{final}>{body})"
-
-    i = 0
-    while i < len(rows):
-        r, k = rows[i], kind(rows[i])
-        closed = i + 1 < len(rows) and kind(rows[i + 1]) == "punct" and same(rows[i + 1])
-        if k is None or k not in ("space", "timestamp") and captures >= MAX_CAPTURES:
-            break
-        if k == "timestamp":
-            if dated:
-                break
-            out, dated = out + f"(?P<ts>{shape})", True
-            literal.clear()
-        elif k == "space":
-            out += r"\s+"
-            literal.clear()
-        elif k == "level":
-            out += capture("level", "[A-Za-z]+")
-        elif k == "number":
-            end = i
-            while end + 2 < len(rows) and kind(rows[end + 1]) == "punct" and same(rows[end + 1]) and rows[end + 1]["least"] == "." and kind(rows[end + 2]) == "number":
-                end += 2
-            out += capture("", r"[\d.]+" if end > i else r"\d+")
-            i = end
-        elif k == "word" and closed:
-            if same(r):
-                out += re.escape(r["least"])
-                literal.append(r["least"])
-            else:
-                out += capture("", rf"[^\s{re.escape(rows[i + 1]['least'])}]+")
-        elif k == "punct" and same(r):
-            out += re.escape(r["least"])
-            literal.append(r["least"])
-        else:
-            break
-        i += 1
-    if not dated:
-        return None
-    if i < len(rows) and kind(rows[i]) == "space":
-        out += r"\s+"
-    return out + "(?P<message>.*)$"
+    place = Window.partitionBy("source", "way").orderBy("pos")
+    upto = place.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = _actions(positions)
+    captured = F.col("action").isin("level", "number", "word")
+    many = F.count_if(captured).over(upto) > MAX_CAPTURES
+    again = (F.col("action") == "stamp") & (F.count_if(F.col("action") == "stamp").over(upto) > 1)
+    stops = F.coalesce(F.col("action").isNull() | captured & many | again, F.lit(True))
+    rows = rows.withColumn("ended", F.max(stops.cast("int")).over(upto)).filter("ended = 0").drop("ended")
+
+    labelled = F.col("fixed-1").isin(":", "=") & F.col("kind-2").isin("word", "level") & F.col("fixed-2").isNotNull() & (F.col("action") != "level")
+    slug = F.trim(F.regexp_replace(F.lower("fixed-2"), "[^a-z0-9]+", "_"), F.lit("_"))
+    base = F.when(F.col("action") == "level", F.lit("level")).when(labelled & slug.rlike("^[a-z]"), slug)
+    rows = rows.withColumn("base", F.when(captured, base)).withColumn("unnamed", F.count_if(captured & F.col("base").isNull()).over(upto))
+    rows = rows.withColumn("base", F.coalesce("base", F.when(captured, F.concat(F.lit("field"), F.col("unnamed").cast("string")))))
+    nth = F.row_number().over(Window.partitionBy("source", "way", "base").orderBy("pos")) + F.col("base").isin("ts", "message").cast("int")
+    name = F.when(nth == 1, F.col("base")).otherwise(F.concat("base", F.lit("__"), nth.cast("string")))  # no other name has two underscores
+
+    shape = F.coalesce(*[F.when(F.col("shape") == n, F.lit(p)) for n, p in SHAPES])
+    action = F.col("action")
+    body = F.when(action == "level", F.lit("[A-Za-z]+")).when(action == "word", F.concat(F.lit(r"[^\s"), _escaped(F.col("fixed+1")), F.lit("]+"))).when(F.col("run"), F.lit(r"[\d.]+")).otherwise(F.lit(r"\d+"))
+    piece = (
+        F.when(action == "stamp", F.concat(F.lit("(?P<ts>"), shape, F.lit(")")))
+        .when(action == "gap", F.lit(r"\s+"))
+        .when(action == "text", _escaped(F.col("fixed")))
+        .when(action == "join", F.lit(""))
+        .otherwise(F.concat(F.lit("(?P<"), name, F.lit(">"), body, F.lit(")")))
+    )
+    pieces = rows.join(F.broadcast(shapes.select("source", "shape")), "source").withColumn("piece", piece)  # one row a source
+    joined = pieces.groupBy("source", "way").agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("x"), F.bool_or(action == "stamp").alias("dated"))
+    start = F.when(F.col("way") == "line", F.lit("^")).otherwise(F.lit("^.*?"))
+    return joined.filter("dated").select("source", "way", F.concat(start, F.array_join(F.transform("x", lambda x: x["piece"]), ""), F.lit("(?P<message>.*)$")).alias("pattern"))
+
+
+def stamp_facts(lines: DataFrame, shapes: DataFrame) -> DataFrame:
+    """(source, ts_layout, ts_regex_subs, ts_use_mtime_date, ts_use_mtime_year, ambiguous): how a source's timestamps read.
+
+    What stands between date and time, the digits of the year, a colon before the
+    fraction and the zone are what most timestamps of the source have; day or
+    month first is told by the parts over 12.
+    """
+    ts = F.col("ts")
+    seen = matched(lines, shapes).filter(ts != "")
+    between = F.when(ts.rlike(r"^[\d./-]{8,10}T"), F.lit("T")).otherwise(F.lit(" "))
+    votes = seen.groupBy("source", "shape").agg(F.mode(between, True).alias("between"), F.mode(ts.rlike(r"^\d{2}\.\d{2}\.\d{2}[T ]"), True).alias("short"), F.mode(ts.rlike(r"\d{2}:\d{2}:\d{2}:\d+$"), True).alias("colon"))
+    facts = votes.join(zone_suffixes(lines, shapes), "source", "left").join(date_orders(lines, shapes).select("source", "order", "ambiguous"), "source", "left")
+    first = F.when(F.col("order") == "month-first", F.lit("01")).otherwise(F.lit("02"))
+    second = F.when(F.col("order") == "month-first", F.lit("02")).otherwise(F.lit("01"))
+    time = F.lit("15:04:05")
+    layout = (
+        F.when(F.col("shape") == "iso", F.concat(F.lit("2006-01-02"), "between", time, "zone"))
+        .when(F.col("shape") == "iso-slash", F.concat(F.lit("2006/01/02"), "between", time))
+        .when(F.col("shape") == "clf", F.lit("02/Jan/2006:15:04:05 -0700"))
+        .when(F.col("shape") == "dmy-dash", F.concat(first, F.lit("-"), second, F.lit("-2006"), "between", time))
+        .when(F.col("shape") == "dmy-dot", F.concat(first, F.lit("."), second, F.when(F.col("short"), F.lit(".06")).otherwise(F.lit(".2006")), "between", time))
+        .when(F.col("shape") == "syslog", F.lit("Jan _2 15:04:05"))
+        .otherwise(time)
+    )
+    sub = F.array(F.struct(F.lit(r"(\d{2}:\d{2}:\d{2}):(\d+)$").alias("pattern"), F.lit("$1.$2").alias("replacement")))
+    none = F.array().cast("array<struct<pattern:string,replacement:string>>")
+    return facts.select(
+        "source", layout.alias("ts_layout"), F.when((F.col("shape") == "dmy-dot") & F.col("colon"), sub).otherwise(none).alias("ts_regex_subs"),
+        (F.col("shape") == "time-only").alias("ts_use_mtime_date"), (F.col("shape") == "syslog").alias("ts_use_mtime_year"), F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"),
+    )
 
 
 def templates(lines: DataFrame) -> DataFrame:
-    """(source, shape, pattern, aligned_on): one inferred line pattern a source.
+    """One inferred line rule a source: source, shape, pattern, aligned_on and the columns of ``stamp_facts``.
 
     aligned_on: line (positions from the line's beginning agree), timestamp (the
     text before it is skipped), or none (only the timestamp could be placed).
+    Sources in which half the lines have no timestamp are left out.
     """
     shapes = timestamp_shapes(lines).filter("shape IS NOT NULL")
     found = tokens(lines, shapes)
     both = token_positions(found).withColumn("way", F.lit("line")).unionByName(aligned_positions(found).withColumn("way", F.lit("timestamp")))
-    by_shape = dict(SHAPES)
-
-    def fold(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        source, shape = rows["source"].iloc[0], rows["shape"].iloc[0]
-        for way, prefix in (("line", "^"), ("timestamp", "^.*?")):
-            mine = rows[rows["way"] == way].to_dict("records")
-            first = next((r for r in sorted(mine, key=lambda r: r["pos"]) if r["timestamp"]), None)
-            whole = way == "timestamp" or first and first["timestamp"] == rows["total"].iloc[0]
-            pattern = write_pattern(mine, by_shape[shape], prefix) if mine and whole else None
-            if pattern:
-                return pd.DataFrame([(source, shape, pattern, way)], columns=["source", "shape", "pattern", "aligned_on"])
-        return pd.DataFrame([(source, shape, rf"^.*?(?P<ts>{by_shape[shape]})\s*(?P<message>.*)$", "none")], columns=["source", "shape", "pattern", "aligned_on"])
-
-    held = both.join(shapes.select("source", "shape", F.col("lines").alias("total")), "source")
-    return held.groupBy("source").applyInPandas(fold, "source string, shape string, pattern string, aligned_on string")  # 80 rows a source at most
+    written = patterns(both, shapes).groupBy("source").agg(*[F.max(F.when(F.col("way") == w, F.col("pattern"))).alias(w) for w in ("line", "timestamp")])
+    bare = F.concat(F.lit("^.*?(?P<ts>"), F.coalesce(*[F.when(F.col("shape") == n, F.lit(p)) for n, p in SHAPES]), F.lit(r")\s*(?P<message>.*)$"))
+    way = F.when(F.col("line").isNotNull(), F.lit("line")).when(F.col("timestamp").isNotNull(), F.lit("timestamp")).otherwise(F.lit("none"))
+    out = shapes.join(written, "source", "left").select("source", "shape", F.coalesce("line", "timestamp", bare).alias("pattern"), way.alias("aligned_on"))
+    return out.join(stamp_facts(lines, shapes), "source")
+
+
+def line_rules(found: DataFrame, priority: int = 50) -> dict[str, LineRule]:
+    """A checked rule for each source of ``templates``, named after it (one row a source comes to the driver)."""
+    out = {}
+    for r in found.collect():
+        subs = tuple((s["pattern"], s["replacement"]) for s in r["ts_regex_subs"])
+        rule = LineRule(r["source"], r["pattern"], r["ts_layout"], priority, ts_regex_subs=subs, ts_use_mtime_date=r["ts_use_mtime_date"], ts_use_mtime_year=r["ts_use_mtime_year"])
+        validate(rule)
+        out[r["source"]] = rule
+    return out

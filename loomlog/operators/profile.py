@@ -15,12 +15,13 @@ SKETCH_BITS = 12
 
 
 def profile(view: DataFrame, fields: list[str] | None = None, exact: bool = False) -> DataFrame:
-    """(field, present, distinct, sources, sources_total, total, fill): one scan for all fields of a chunk.
+    """(field, present, distinct, sources, sources_total, total, fill, truncated): one scan for all fields of a chunk.
 
     present: values that are neither null nor empty.  sources: how many sources
-    have one.  distinct comes from a mergeable sketch (about 2 % off) unless ``exact``.  The
-    default are all top-level columns; of more than MAX_FIELDS the first are
-    profiled, see ``truncated``.
+    have one.  distinct comes from a mergeable sketch (about 2 % off); with
+    ``exact`` distinct (field, value) pairs are counted, in a narrow shuffle of
+    their own.  The default are all top-level columns; of more than MAX_FIELDS
+    the first are profiled, and ``truncated`` is true in every row.
     """
     fields = [c for c in view.columns if c != SOURCE] if fields is None else fields
     out = None
@@ -28,26 +29,27 @@ def profile(view: DataFrame, fields: list[str] | None = None, exact: bool = Fals
     for lo in range(0, len(fields[:MAX_FIELDS]), CHUNK):
         part = fields[lo : min(lo + CHUNK, MAX_FIELDS)]
         texts = view.select(*[F.nullif(text_field(view, f), F.lit("")).alias(f"v{i}") for i, f in enumerate(part)], (F.col(SOURCE) if has_source else F.lit("")).alias("s"))
-        measured = [F.count("*").alias("total"), F.count_distinct("s").alias("sources_total")]
+        measured = [F.count("*").alias("total"), F.size(F.collect_set("s")).cast("long").alias("sources_total")]
         for i in range(len(part)):
-            count = F.count_distinct(f"v{i}") if exact else F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(f"v{i}", F.lit(SKETCH_BITS))), F.lit(0))
+            count = F.lit(None).cast("long") if exact else F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(f"v{i}", F.lit(SKETCH_BITS))), F.lit(0))
             measured += [F.count(f"v{i}").alias(f"p{i}"), count.alias(f"d{i}"), F.size(F.collect_set(F.when(F.col(f"v{i}").isNotNull(), F.col("s")))).alias(f"s{i}")]
         row = texts.agg(*measured)
-        items = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"p{i}").alias("present"), F.col(f"d{i}").alias("distinct"), F.col(f"s{i}").cast("long").alias("sources"), "sources_total", "total") for i, f in enumerate(part)])
+        items = F.array(*[F.struct(F.lit(i).alias("nth"), F.lit(f).alias("field"), F.col(f"p{i}").alias("present"), F.col(f"d{i}").alias("distinct"), F.col(f"s{i}").cast("long").alias("sources"), "sources_total", "total") for i, f in enumerate(part)])
         rows = row.select(F.inline(items))
+        if exact:
+            pairs = texts.select(F.explode(F.filter(F.array(*[F.struct(F.lit(i).alias("nth"), F.col(f"v{i}").alias("value")) for i in range(len(part))]), lambda x: x["value"].isNotNull())).alias("x"))
+            counted = pairs.select("x.nth", "x.value").distinct().groupBy("nth").agg(F.count("*").alias("exactly"))
+            rows = rows.drop("distinct").join(F.broadcast(counted), "nth", "left").withColumn("distinct", F.coalesce("exactly", F.lit(0)))  # CHUNK rows at most
+        rows = rows.select("field", "present", "distinct", "sources", "sources_total", "total")
         out = rows if out is None else out.unionByName(rows)
-    return out.withColumn("fill", F.coalesce(F.try_divide("present", "total"), F.lit(0.0)))
-
-
-def truncated(fields: list[str]) -> bool:
-    return len(fields) > MAX_FIELDS
+    return out.withColumn("fill", F.coalesce(F.try_divide("present", "total"), F.lit(0.0))).withColumn("truncated", F.lit(len(fields) > MAX_FIELDS))
 
 
 def top_values(view: DataFrame, field: str, k: int = MAX_VALUES) -> DataFrame:
-    """(value, n): the most frequent non-empty values, ties by value; their sum is the total shown."""
+    """(value, n): the ``k`` most frequent non-empty values, ties by value; their sum is the total shown."""
     text = text_field(view, field)
     counts = view.select(text.alias("value")).filter("value IS NOT NULL AND value <> ''").groupBy("value").agg(F.count("*").alias("n"))
-    return counts.orderBy(F.desc("n"), F.asc("value")).limit(min(k, MAX_VALUES))
+    return counts.orderBy(F.desc("n"), F.asc("value")).limit(k)
 
 
 def field_samples(view: DataFrame, fields: list[str], cap: int = SAMPLE_CAP) -> DataFrame:

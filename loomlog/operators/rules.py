@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, fields
+from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
+
+from loomlog.functions.times import LAYOUT_PIECES
 
 DEFAULT_PRIORITY = {"line": 10, "block": 70, "xml": 80}
 GROUP = re.compile(r"\(\?P?<([A-Za-z_]\w*)>")
@@ -118,14 +121,33 @@ def validate(rule: LineRule | BlockRule | XmlRule) -> None:
         re.compile(rule.parse)
         if "ts" not in rule.groups:
             raise ValueError("parse has no group ts")
-        if not rule.ts_layout:
-            raise ValueError("ts_layout is missing")
+        check_layout(rule.ts_layout)
+        if rule.ts_use_mtime_date and rule.ts_use_mtime_year:
+            raise ValueError("ts_use_mtime_date and ts_use_mtime_year exclude each other")
+        try:
+            ZoneInfo(rule.ts_assume_tz)
+        except (ZoneInfoNotFoundError, ValueError) as e:
+            raise ValueError(f"unknown time zone {rule.ts_assume_tz!r}") from e
+        for pattern, _ in rule.ts_regex_subs:
+            re.compile(pattern)
     if isinstance(rule, BlockRule):
         re.compile(rule.separator)
         if set(GROUP.findall(rule.field)) != {"key", "value"}:
             raise ValueError("field needs the groups key and value")
     if isinstance(rule, XmlRule) and not rule.sniff:
         raise ValueError("sniff is missing")
+    for layout in getattr(rule, "ts_layouts", ()):
+        check_layout(layout)
+
+
+def check_layout(layout: str) -> None:
+    """An example date such as 2006-01-02 15:04:05, not a pattern of another kind."""
+    if not layout:
+        raise ValueError("ts_layout is missing")
+    if "%" in layout:
+        raise ValueError(f"layout {layout!r} has percent signs; write the example date 2006-01-02 15:04:05 instead")
+    if not any(piece in layout for piece, _ in LAYOUT_PIECES):
+        raise ValueError(f"layout {layout!r} has no piece of the example date 2006-01-02 15:04:05")
 
 
 def inventory(spark, rules=ALL_RULES):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,24 +42,29 @@ def row_elements(heads: DataFrame, file: str = "file", head: str = "head") -> Da
     return counts.groupBy("file").agg(best).select("file", F.col("b.name").alias("row"), (-F.col("b.less")).alias("siblings"), F.col("b.depth").cast("long").alias("depth"))
 
 
-def flatten(column: Column, schema: T.StructType, prefix: str = "") -> list[tuple[str, Column, T.DataType]]:
-    """(dotted path, trimmed leaf or list, type) of a parsed row; attributes are ``path.@name``.
+def leaves(kind: T.DataType, path: str = "") -> list[tuple[str, Callable[[Column], Column], bool]]:
+    """(dotted path, function from the value to the leaf, is it a list?) of all text below a value.
 
-    An element's own text stands under its path; the row element's is left out.
+    Attributes are ``path.@name``, an element's own text stands under its path.
+    Below an element that repeats, each leaf is one list over all repetitions.
     """
-    out: list[tuple[str, Column, T.DataType]] = []
-    for field in schema:
-        c = column.getField(field.name)
-        if field.name == TEXT:
-            if prefix:
-                out.append((prefix, c, field.dataType))
-            continue
-        path = f"{prefix}.{field.name}" if prefix else field.name
-        if isinstance(field.dataType, T.StructType):
-            out += flatten(c, field.dataType, path)
-        else:
-            out.append((path, c, field.dataType))
-    return [(p, F.nullif(F.trim(c), F.lit("")) if isinstance(k, T.StringType) else c, k) for p, c, k in out]
+    if isinstance(kind, T.StructType):
+        out = []
+        for field in kind:
+            here = path if field.name == TEXT else f"{path}.{field.name}" if path else field.name
+            for p, leaf, many in leaves(field.dataType, here):
+                out.append((p, lambda c, name=field.name, leaf=leaf: leaf(c.getField(name)), many))
+        return [x for x in out if x[0]]
+    if isinstance(kind, T.ArrayType):
+        return [(p, lambda c, leaf=leaf, many=many: _listed(c, leaf, many), True) for p, leaf, many in leaves(kind.elementType, path)]
+    return [(path, (lambda c: F.nullif(F.trim(c), F.lit(""))) if isinstance(kind, T.StringType) else (lambda c: c), False)]
+
+
+def _listed(items: Column, leaf: Callable[[Column], Column], many: bool) -> Column:
+    each = F.transform(items, lambda x: leaf(x))  # leaf has parameters bound
+    if many:
+        each = F.flatten(F.filter(each, lambda x: x.isNotNull()))
+    return F.filter(each, lambda x: x.isNotNull())
 
 
 def infer_schema(rows: DataFrame, options: dict[str, str]) -> T.StructType:
@@ -81,11 +87,10 @@ def parse_xml_rows(rows: DataFrame, row: str, schema: T.StructType | str | None
     if schema is None:
         schema = infer_schema(rows.select(xml), options)
     parsed = rows.withColumn("__row", F.from_xml(xml, schema if isinstance(schema, str) else _ddl(schema), options))
-    kind = parsed.schema["__row"].dataType
-    flat = flatten(F.col("__row"), kind)
-    out = parsed.select(*[c for c in rows.columns if c != xml], *[c.alias(p) for p, c, _ in flat])
-    paths = {p: k for p, _, k in flat}
-    candidates = [F.try_element_at(named(c), F.lit(1)) if isinstance(paths[c], T.ArrayType) else named(c) for c in rule.ts_candidates if c in paths]
+    flat = leaves(parsed.schema["__row"].dataType)
+    out = parsed.select(*[c for c in rows.columns if c != xml], *[leaf(F.col("__row")).alias(p) for p, leaf, _ in flat])
+    lists = {p: many for p, _, many in flat}
+    candidates = [F.try_element_at(named(c), F.lit(1)) if lists[c] else named(c) for c in rule.ts_candidates if c in lists]
     ts = first_timestamp(candidates, rule.ts_layouts) if candidates else F.lit(None).cast("timestamp")
     return out.withColumn(TIMESTAMP, iso(ts)).withColumn(FORMAT, F.lit(f"xml:{row}"))
 

@@ -8,13 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.functions.times import WIDTHS
+from loomlog.functions.fields import list_fields, pick_timestamp_field, resolve
+from loomlog.functions.times import WIDTHS, present
 from loomlog.operators import blocks, detect, event_records, export, histogram, infer, lines, pages, profile, rules, xmlrows
-from loomlog.operators.predicates import Filter, filters, predicate, search
+from loomlog.operators.predicates import Filter, filters, predicate, preset, search
 from loomlog.operators.union import source_counts, union_view
 from loomlog.plans import renderings as R
 from loomlog.plans.renderings import table
-from loomlog.sources.scans import configure, read_ndjson, read_parquet
+from loomlog.sources.scans import configure, read_decoded_events, read_heads, read_lines, read_ndjson, read_parquet, read_xml_rows
+from loomlog.sources.source_set import SourceSet
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -197,7 +199,7 @@ def _profile_sql() -> str:
     each = " UNION ALL ".join(
         f"SELECT '{c}' AS field, count(nullif({c}, '')) AS present, count(DISTINCT nullif({c}, '')) AS \"distinct\", count(DISTINCT CASE WHEN nullif({c}, '') IS NOT NULL THEN _source END) AS sources FROM u" for n in COLUMNS for c in COLUMNS[n]
     )
-    return f"WITH u AS ({union_sql('events', 'orders', 'lineitem')}), t AS (SELECT count(*) AS total, count(DISTINCT _source) AS sources_total FROM u) SELECT *, present / total AS fill FROM ({each}), t"
+    return f"WITH u AS ({union_sql('events', 'orders', 'lineitem')}), t AS (SELECT count(*) AS total, count(DISTINCT _source) AS sources_total FROM u) SELECT *, present / total AS fill, false AS truncated FROM ({each}), t"
 
 
 @query("profile_exact", _profile_sql())
@@ -276,9 +278,13 @@ def fold_continuation(spark, sf_dir):
     return folded.select(F.col("pid").cast("long").alias("doc_id"), "message")
 
 
-@query("choose_line_rule", "SELECT 'app' || f AS file, 'iso-bracket' AS rule FROM range(4) AS t(f)")
+_NAMES = "['iso-bracket', 'dashdate-level', 'dotdate-pidtid', 'time-pidtid', 'time-dotdate', 'syslog'][event_id % 6 + 1]"
+
+
+@query("choose_line_rule", f"SELECT DISTINCT {_NAMES} AS file, nullif({_NAMES}, 'syslog') AS rule FROM events")
 def choose_line_rule(spark, sf_dir):
-    return lines.choose_rule(R.event_lines(spark, sf_dir, "iso-bracket"), rules.LINE_RULES)
+    rows = R.shape_lines(spark, sf_dir).select(F.col("source").alias("file"), F.floor(F.col("line") / 5000).cast("long").alias("part"), F.col("line").alias("seq"), "value")
+    return lines.choose_rule(rows, rules.LINE_RULES)
 
 
 @query("parse_block", r"""SELECT CAST(conv_id AS VARCHAR) AS conv, CAST(turn AS VARCHAR) AS turn, role,
@@ -312,26 +318,46 @@ def event_flatten(spark, sf_dir):
 
 # --- detection, audit, inference ---------------------------------------------
 
-_FILES = "SELECT '/land/d' || doc_id || CASE doc_id % 8 WHEN 0 THEN '.ndjson' WHEN 2 THEN '.json' ELSE '.log' END AS path, doc_id % 8 AS kind FROM documents"
+_KIND = "doc_id % 8"
+_EXT = f"CASE {_KIND} WHEN 0 THEN '.ndjson' WHEN 2 THEN '.json' ELSE '.log' END"
+_PREFIX = f"CASE {_KIND} WHEN 1 THEN '{{{{' WHEN 2 THEN '{{{{' WHEN 3 THEN '<Log>' WHEN 4 THEN repeat('-', 40) || chr(10) || 'Text: ' WHEN 5 THEN '2024-01-01 00:00:00.000 [INF] [DOC] [PID:' || doc_id || '] ' WHEN 6 THEN 'PAR1' ELSE '' END"
+_FILES = f"SELECT '/land/d' || doc_id || {_EXT} AS path, {_KIND} AS kind, coalesce(text, '') AS t FROM documents"
+_ADAPTER = "['ndjson', 'ndjson', 'ndjson', 'xml', 'block', 'line', 'parquet', NULL][kind + 1]"
+_SCORE = "[90, 90, 70, 80, 70, 100, 100, 0][kind + 1]"
 
 
-@query("classify_files", f"SELECT path, [ 'ndjson', 'ndjson', 'ndjson', 'xml', 'block', 'line', 'parquet', NULL ][kind + 1] AS adapter, [90, 90, 70, 80, 70, 100, 100, 0][kind + 1] AS score FROM ({_FILES})")
+@query("classify_files", f"""SELECT path, {_ADAPTER} AS adapter, {_SCORE} AS score, CASE WHEN kind IN (0, 6, 7) AND NOT regexp_matches(t, '\S') AND kind <> 6 THEN 'no non-blank line' ELSE '' END AS notes,
+  CASE kind WHEN 4 THEN repeat('-', 40) ELSE NULL END AS first_line FROM ({_FILES}) WHERE t <> ''""")
 def classify_files(spark, sf_dir):
-    return detect.classify_files(R.file_heads(spark, sf_dir)).select("path", "adapter", "score")
-
-
-@query("diagnose", f"""WITH s AS (SELECT path, a.adapter, CASE WHEN a.adapter = [ 'ndjson', 'ndjson', 'ndjson', 'xml', 'block', 'line', 'parquet', '' ][kind + 1] THEN [90, 90, 70, 80, 70, 100, 100, 0][kind + 1] ELSE 0 END AS score
-  FROM ({_FILES}), (VALUES ('ndjson'), ('parquet'), ('evtx'), ('block'), ('xml'), ('line')) AS a(adapter)),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY path ORDER BY score DESC, adapter) AS INTEGER) AS rank FROM s) SELECT *, rank = 1 AND score > 0 AS chosen FROM r""")
+    got = detect.classify_files(R.file_heads(spark, sf_dir).filter("length(head) > 0")).join(_with_text(spark, sf_dir), "path")
+    return got.select("path", "adapter", "score", F.array_join("notes", ",").alias("notes"), F.when(F.col("kind") == 4, F.col("first_line")).alias("first_line"))
+
+
+def _with_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path and kind of the rendered files whose document has a text."""
+    ext = F.when(F.col("doc_id") % 8 == 0, ".ndjson").when(F.col("doc_id") % 8 == 2, ".json").otherwise(".log")
+    return table(spark, sf_dir, "documents").filter("text <> ''").select(F.concat(F.lit("/land/d"), F.col("doc_id").cast("string"), ext).alias("path"), (F.col("doc_id") % 8).alias("kind"))
+
+
+@query("diagnose", f"""WITH s AS (SELECT path, kind, a.adapter, CASE WHEN a.adapter = coalesce({_ADAPTER}, '') THEN {_SCORE} ELSE 0 END AS score
+  FROM ({_FILES}), (VALUES ('ndjson'), ('parquet'), ('evtx'), ('block'), ('xml'), ('line')) AS a(adapter) WHERE t <> ''),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY path ORDER BY score DESC, adapter) AS INTEGER) AS rank FROM s)
+SELECT path, adapter, score, rank, rank = 1 AND score > 0 AS chosen, CASE
+  WHEN adapter = 'ndjson' THEN CASE WHEN kind = 0 THEN 'extension .ndjson' WHEN kind IN (1, 2) THEN 'first line is a JSON object' ELSE 'first character is not an opening brace' END
+  WHEN adapter = 'parquet' THEN CASE WHEN kind = 6 THEN 'starts with the Parquet signature' ELSE 'no Parquet signature or extension' END
+  WHEN adapter = 'evtx' THEN 'no event log signature'
+  WHEN adapter = 'block' THEN CASE WHEN kind = 4 THEN 'sniff pattern of keyvalue-dash-separated matches' ELSE 'no sniff pattern matches' END
+  WHEN adapter = 'xml' THEN CASE WHEN kind = 3 THEN 'sniff pattern of repeating-row-element matches' ELSE 'no sniff pattern matches' END
+  ELSE CASE WHEN kind = 5 THEN 'line pattern of iso-bracket matches' ELSE 'no line pattern matches' END END AS reason FROM r""")
 def diagnose(spark, sf_dir):
-    return detect.diagnose(R.file_heads(spark, sf_dir)).select("path", "adapter", "score", "rank", "chosen")
+    return detect.diagnose(R.file_heads(spark, sf_dir).join(_with_text(spark, sf_dir).select("path"), "path")).select("path", "adapter", "score", "rank", "chosen", "reason")
 
 
 @query("parse_audit", """WITH l AS (SELECT 'app' || event_id % 4 AS source, CASE WHEN event_id % 23 = 0 THEN 'blank' WHEN event_id % 29 = 0 THEN 'more' WHEN event_id % 17 = 0 THEN 'bad' ELSE 'good' END AS k FROM events)
 SELECT source, 'iso-bracket' AS rule, count(*) AS lines, count(*) FILTER (k IN ('good', 'bad')) AS parsed, count(*) FILTER (k = 'more') AS continuation, count(*) FILTER (k = 'bad') AS timestamp_errors FROM l GROUP BY 1
-UNION ALL SELECT source, 'dashdate-level', count(*), 0, count(*) FILTER (k <> 'blank'), 0 FROM l GROUP BY 1""")
+UNION ALL SELECT source, r, count(*), 0, count(*) FILTER (k <> 'blank'), 0 FROM l, (VALUES ('dashdate-level'), ('dotdate-pidtid'), ('time-pidtid'), ('time-dotdate')) AS t(r) GROUP BY 1, 2""")
 def parse_audit(spark, sf_dir):
-    return lines.audit(R.mixed_lines(spark, sf_dir), rules.LINE_RULES[:2], "source")
+    return lines.audit(R.mixed_lines(spark, sf_dir), rules.LINE_RULES, "source")
 
 
 def _value_sql() -> str:
@@ -347,7 +373,6 @@ def _value_sql() -> str:
   ELSE strftime(ts, '%b ') || lpad(CAST(day(ts) AS VARCHAR), 2, ' ') || strftime(ts, ' %H:%M:%S web1 ') || event_type || ': ' || {m} END"""
 
 
-_NAMES = "['iso-bracket', 'dashdate-level', 'dotdate-pidtid', 'time-pidtid', 'time-dotdate', 'syslog'][event_id % 6 + 1]"
 _LINE_TABLE = f"line AS (SELECT {_NAMES} AS source, event_id AS line, {_value_sql()} AS value FROM events)"
 _SHAPE_COUNTS = ", ".join(f"count(*) FILTER (regexp_matches(value, '{p}')) AS \"{n}\"" for n, p in infer.SHAPES)
 _SHAPE_LADDER = " ".join(f"WHEN \"{n}\" >= ceil(lines / 2) THEN '{n}'" for n, _ in infer.SHAPES)
@@ -391,6 +416,16 @@ def infer_templates(spark, sf_dir):
     return infer.templates(R.shape_lines(spark, sf_dir))
 
 
+@query("inferred_rules_parse", f"""WITH l AS (SELECT {_NAMES} AS source, day(ts) AS d, ts FROM events)
+SELECT source, count(*) AS lines, count(*) AS parsed, 0 AS timestamp_errors, min(CASE source WHEN 'iso-bracket' THEN '2006-01-02 15:04:05' WHEN 'dashdate-level' THEN '02-01-2006 15:04:05' WHEN 'dotdate-pidtid' THEN '02.01.06 15:04:05' WHEN 'syslog' THEN 'Jan _2 15:04:05' ELSE '15:04:05' END) AS ts_layout FROM l GROUP BY source""")
+def inferred_rules_parse(spark, sf_dir):
+    """Each source's inferred rule on the source's own lines."""
+    rows = R.shape_lines(spark, sf_dir)
+    ready = infer.line_rules(infer.templates(rows))
+    layouts = spark.createDataFrame([(n, r.ts_layout) for n, r in ready.items()], "rule string, ts_layout string")
+    return lines.audit(rows, tuple(ready.values()), "source").filter("source = rule").join(F.broadcast(layouts), "rule").select("source", "lines", "parsed", "timestamp_errors", "ts_layout")  # one row a source
+
+
 @query("rule_inventory_audit", "SELECT 'app' || event_id % 4 AS source, 'iso-bracket' AS rule, 'line' AS family, 100 AS priority, count(*) FILTER (event_id % 23 <> 0 AND event_id % 29 <> 0) / count(*) AS parsed_share FROM events GROUP BY 1")
 def rule_inventory_audit(spark, sf_dir):
     audited = lines.audit(R.mixed_lines(spark, sf_dir), rules.LINE_RULES[:1], "source")
@@ -400,10 +435,14 @@ def rule_inventory_audit(spark, sf_dir):
 # --- sinks and scans ------------------------------------------------------------
 
 
+def _shared(spark: SparkSession, name: str) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base}/{name.replace('.', f'-{uuid.uuid4().hex}.')}"
+
+
 def _exported(spark: SparkSession, sf_dir: str, suffix: str) -> str:
     """events and orders as text, exported into the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base}/export-{uuid.uuid4().hex}{suffix}"
+    path = _shared(spark, f"export{suffix}")
     export.export(view(spark, sf_dir, "events", "orders"), path, "ts")
     return path
 
@@ -420,3 +459,107 @@ def export_parquet_roundtrip(spark, sf_dir):
 def export_ndjson_roundtrip(spark, sf_dir):
     schema = ", ".join(f"{c} string" for c in (*EVENT_COLUMNS, *ORDER_COLUMNS))
     return read_ndjson(spark, _exported(spark, sf_dir, ".ndjson"), schema).select("event_id", "ts", "event_type", "value", "o_orderkey", "o_orderdate")
+
+
+@query("scan_lines", f"SELECT event_id, {_LEVEL}, {_COMPONENT}, {_PID}, {_MESSAGE}, {_MS} AS ts FROM events WHERE event_id % 5 <> 0")
+def scan_lines(spark, sf_dir):
+    """Lines written to files and read again; every fifth is overlong and dropped whole."""
+    path = _shared(spark, "lines.log")
+    text = F.concat(R.line_text("iso-bracket"), F.when(F.col("event_id") % 5 == 0, F.repeat(F.lit("x"), 400)).otherwise(F.lit("")), F.lit(" #"), F.col("event_id").cast("string"))
+    table(spark, sf_dir, "events").select(text).write.text(path)
+    got = lines.parse_records(read_lines(spark, path, max_bytes=300), rules.LINE_RULES[0])
+    return got.select(F.regexp_extract("message", r"#(\d+)$", 1).cast("long").alias("event_id"), "level", "component", "pid", F.regexp_replace("message", r" #\d+$", "").alias("message"), F.col("`@timestamp`").alias("ts"))
+
+
+@query("scan_xml_rows", "SELECT event_id AS id, event_type AS type, CASE WHEN event_id % 3 <> 0 THEN CAST(user_id AS VARCHAR) END AS \"user\" FROM events")
+def scan_xml_rows(spark, sf_dir):
+    """Row elements written to files without a root and read again; every third has no content."""
+    path = _shared(spark, "rows.xml")
+    head = F.concat(F.lit('<Event id="'), F.col("event_id").cast("string"), F.lit('" type="'), "event_type", F.lit('"'))
+    body = F.when(F.col("event_id") % 3 == 0, F.concat(head, F.lit("/>"))).otherwise(F.concat(head, F.lit("><User>"), F.col("user_id").cast("string"), F.lit("</User></Event>")))
+    table(spark, sf_dir, "events").select(body).write.text(path)
+    got = xmlrows.parse_xml_rows(read_xml_rows(spark, path, "Event"), "Event")
+    return got.select(F.col("`@id`").cast("long").alias("id"), F.col("`@type`").alias("type"), F.col("User").alias("user"))
+
+
+@query("scan_decoded_events", "SELECT event_id AS id, event_type AS type FROM events WHERE event_id % 7 <> 0")
+def scan_decoded_events(spark, sf_dir):
+    """Decoded event records written as lines of JSON, every seventh of them cut short."""
+    path = _shared(spark, "records.json")
+    text = F.to_json(F.struct(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type")).alias("E")))
+    table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 7 == 0, F.substring(text, F.lit(1), F.length(text) - 3)).otherwise(text)).write.text(path)
+    return read_decoded_events(spark, path, "E struct<id: long, type: string>")[0].select("E.id", "E.type")
+
+
+@query("file_heads", "SELECT CAST(event_id % 3 AS BIGINT) AS kind, count(*) AS lines FROM events GROUP BY 1")
+def file_heads(spark, sf_dir):
+    """Whole small files by their heads: one folder a kind of content, told apart again by ``classify_files``."""
+    path = _shared(spark, "landing.d")
+    rows = table(spark, sf_dir, "events")
+    json = F.to_json(F.struct("event_id", "event_type"))
+    for kind, text in enumerate((R.line_text("iso-bracket"), json, R.event_xml())):
+        rows.filter(F.col("event_id") % 3 == kind).select(text).write.text(f"{path}/{kind}")
+    heads = read_heads(spark, path, head_bytes=1 << 30).filter("path LIKE '%.txt'")
+    found = detect.classify_files(heads).join(heads.select("path", F.size(F.split(F.decode("head", "UTF-8"), "\n")).alias("n")), "path")
+    kind = F.when(F.col("adapter") == "line", 0).when(F.col("adapter") == "ndjson", 1).when(F.col("adapter") == "xml", 2)
+    return found.groupBy(kind.cast("long").alias("kind")).agg(F.sum(F.col("n") - 1).alias("lines"))
+
+
+# --- sources and fields ---------------------------------------------------------
+
+
+@query("source_listing", "SELECT 'events' AS source, true AS enabled, count(*) AS records, CAST(min(ts) AS VARCHAR) AS first_ts, CAST(max(ts) AS VARCHAR) AS last_ts FROM events UNION ALL SELECT 'orders', false, count(*), CAST(CAST(min(o_orderdate) AS TIMESTAMP) AS VARCHAR), CAST(CAST(max(o_orderdate) AS TIMESTAMP) AS VARCHAR) FROM orders UNION ALL SELECT 'region', true, count(*), NULL, NULL FROM region")
+def source_listing(spark, sf_dir):
+    sources = _sources(spark, sf_dir)
+    return sources.listing().filter("bytes > 0 AND path LIKE 'file:%' OR path LIKE '%:/%'").select("source", "enabled", "records", "first_ts", "last_ts")
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> SourceSet:
+    sources = SourceSet(spark)
+    for name in ("events", "orders", "region", "nation"):
+        sources.add(name, table(spark, sf_dir, name), f"{sf_dir}/{name}.parquet")
+    try:
+        sources.add("again", table(spark, sf_dir, "events"), f"{sf_dir}/../{sf_dir.rstrip('/').rsplit('/', 1)[1]}/events.parquet")
+    except ValueError:
+        pass  # the same path twice
+    return sources.drop("nation").enable("orders", False)
+
+
+@query("fields_declared", "SELECT lower(column_name) AS field, count(*) AS sources FROM (DESCRIBE events) GROUP BY 1 UNION ALL SELECT lower(column_name), count(*) FROM (DESCRIBE region) GROUP BY 1")
+def fields_declared(spark, sf_dir):
+    found = _sources(spark, sf_dir).files_declaring()
+    return spark.createDataFrame([(k, n) for k, n in found.items() if k != "_source"], "field string, sources long")
+
+
+@query("enabled_sources", "SELECT 'events' AS source, count(*) AS records FROM events UNION ALL SELECT 'region', count(*) FROM region")
+def enabled_sources(spark, sf_dir):
+    return source_counts(_sources(spark, sf_dir).view()).select("source", "records")
+
+
+@query("timestamp_field", "SELECT event_id, CAST(ts AS VARCHAR) AS picked, CAST(user_id AS VARCHAR) AS k FROM events WHERE event_id % 10 = 0")
+def timestamp_field(spark, sf_dir):
+    """The field that is picked for the timestamp, a field by its struct path, and columns left out."""
+    rows = R.typed_events(spark, sf_dir).filter("event_id % 10 = 0").withColumn("who", F.struct(F.col("user_id").alias("Id")))
+    shown = pages.visible(rows, ["value", "event_type", "user_id"])
+    known = list_fields(shown)
+    return shown.select("event_id", resolve(shown, pick_timestamp_field(known)).cast("string").alias("picked"), resolve(shown, next(f for f in known if f.lower() == "who.id")).cast("string").alias("k"))
+
+
+@query("time_presets", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-19 12:00:00' AND ts <= TIMESTAMP '2024-01-20 12:00:00'")
+def time_presets(spark, sf_dir):
+    from datetime import datetime
+
+    rows = table(spark, sf_dir, "events")
+    return rows.filter(predicate(rows, [], "ts", *preset("24h", datetime(2024, 1, 20, 12)))).select("event_id")
+
+
+@query("rules_from_mapping", f"SELECT event_id, {_MESSAGE}, {_MS} AS ts, 'line:mine' AS format FROM events")
+def rules_from_mapping(spark, sf_dir):
+    """A rule that is only data: checked, then parsed by."""
+    mine, _ = rules.load_rules({"20-mine": {"family": "line", "name": "mine", "parse": r"^(?P<ts>\S+ \S+) \w{3} +(?P<message>.*)$", "ts_layout": "02-01-2006 15:04:05.000"}, "30-odd": {"family": "nothing"}})
+    return _shown(lines.parse_records(R.event_lines(spark, sf_dir, "dashdate-level"), mine[0])).select("event_id", "message", "ts", "format")
+
+
+@query("present_timestamps", "SELECT event_id, strftime(ts + CASE WHEN ts >= TIMESTAMP '2024-03-31 01:00:00' THEN INTERVAL 2 HOUR ELSE INTERVAL 1 HOUR END, '%Y-%m-%d %H:%M:%S.%g') AS berlin FROM events")
+def present_timestamps(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", present(F.col("ts"), "Europe/Berlin").alias("berlin"))

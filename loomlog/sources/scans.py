@@ -58,17 +58,65 @@ def count_overlong(spark: SparkSession, paths: str | Sequence[str], max_bytes: i
 def read_xml_rows(spark: SparkSession, paths: str | Sequence[str], row: str) -> DataFrame:
     """(file, xml): the text of each row element, also of documents without a single root.
 
-    The closing tag separates records, so files split like lines do.
+    The closing tag separates records, so files split like lines do.  Rows
+    without content (``<row a="1"/>``) stand in the record of the next row that
+    has some, so a file of nothing else is one record.
     """
+    inside = """(?:\\s(?:[^>"'/]|"[^"]*"|'[^']*'|/(?!>))*+)?"""
+    opened, closed = f"<{row}{inside}>", f"<{row}{inside}/>"
     raw = configure(spark).read.option("lineSep", f"</{row}>").text(paths if isinstance(paths, str) else list(paths))
-    body = F.regexp_extract("value", rf"(?s)(<{row}(?=[\s>/]).*)$", 1)
-    return raw.select(F.col("_metadata.file_path").alias("file"), F.concat(body, F.lit(f"</{row}>")).alias("xml")).filter(body != "")
+    body = F.regexp_extract("value", f"(?s)({opened}.*)$", 1)
+    before = F.regexp_replace("value", f"(?s){opened}.*$", "")
+    whole = F.when(body != "", F.array(F.concat(body, F.lit(f"</{row}>")))).otherwise(F.array().cast("array<string>"))
+    return raw.select(F.col("_metadata.file_path").alias("file"), F.explode(F.concat(F.regexp_extract_all(before, F.lit(closed), F.lit(0)), whole)).alias("xml"))
 
 
-def read_heads(spark: SparkSession, paths: str | Sequence[str], head_bytes: int = 1 << 20) -> DataFrame:
+def read_decoded_events(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | str) -> tuple[DataFrame, DataFrame]:
+    """(records, damaged) of files with one decoded event record a line.
+
+    records: file, mtime and the columns of ``schema``.  damaged: (file,
+    n_damaged, n_read); lines that can't be read are left out.  It is an error
+    only if no line of any file can be read, and some can't.
+    """
+    names = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    bad = "__damaged"
+    raw = configure(spark).read.text(paths if isinstance(paths, str) else list(paths)).filter("trim(value) <> ''")
+    read = F.from_json("value", T.StructType([*names, T.StructField(bad, T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad})
+    rows = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("mtime"), read.alias("r")).select("file", "mtime", "r.*")
+    counts = rows.groupBy("file").agg(F.count_if(F.col(bad).isNotNull()).alias("n_damaged"), F.count_if(F.col(bad).isNull()).alias("n_read"))
+    lost, good = counts.agg(F.coalesce(F.sum("n_damaged"), F.lit(0)), F.coalesce(F.sum("n_read"), F.lit(0))).first()
+    if lost and not good:
+        raise ValueError(f"none of {lost} event records can be read")
+    return rows.filter(F.col(bad).isNull()).drop(bad), counts.filter("n_damaged > 0")
+
+
+def read_heads(spark: SparkSession, paths: str | Sequence[str], head_bytes: int = 1 << 20, max_file_bytes: int = 1 << 30) -> DataFrame:
     """(path, size, mtime, head): the first bytes of every file, for format detection.
 
-    Spark's file scans leave out files without a byte.
+    Spark reads a file whole to give its first bytes; of files larger than
+    ``max_file_bytes`` the head is null, so that no task has to hold one, and
+    only their names tell their format.  Spark's file scans leave out files
+    without a byte.
     """
     files = configure(spark).read.format("binaryFile").option("recursiveFileLookup", "true").load(paths if isinstance(paths, str) else list(paths))
-    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.substring("content", 1, head_bytes).alias("head")).dropDuplicates(["path"])
+    known = [F.col("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime")]
+    held = files.filter(F.col("length") <= max_file_bytes).select(*known, F.substring("content", 1, head_bytes).alias("head"))
+    return held.unionByName(files.filter(F.col("length") > max_file_bytes).select(*known, F.lit(None).cast("binary").alias("head"))).dropDuplicates(["path"])
+
+
+def unreadable(heads: DataFrame) -> DataFrame:
+    """(path, reason) of files that their format's reader would refuse, from ``heads``; the others can be loaded.
+
+    A Parquet name without the signature, NDJSON that begins with no object, and
+    NUL bytes in what should be text.
+    """
+    ext = F.lower(F.regexp_extract("path", r"(\.[^./\\]*)$", 1))
+    text = F.decode(F.substring("head", 1, 4096), "ISO-8859-1")
+    parquet, ndjson = ext.isin(".parquet", ".pq"), ext.isin(".ndjson", ".jsonl")
+    reason = (
+        F.when(F.col("head").isNull() | (F.col("size") == 0), None)
+        .when(parquet & (F.substring("head", 1, 4) != F.lit(b"PAR1")), F.lit("no Parquet signature"))
+        .when(~parquet & F.contains(text, F.lit("\x00")) & (F.substring("head", 1, 4) != F.lit(b"PAR1")) & (F.substring("head", 1, 8) != F.lit(b"ElfFile\x00")), F.lit("NUL bytes in text"))
+        .when(ndjson & ~F.regexp_replace(text, "^(\u00ef\u00bb\u00bf)?\\s*", "").startswith("{"), F.lit("no JSON object"))
+    )
+    return heads.select("path", reason.alias("reason")).filter("reason IS NOT NULL")

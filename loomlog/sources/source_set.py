@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.functions.fields import pick_timestamp_field
+from loomlog.functions.fields import pick_timestamp_field, timestamp_like
+from loomlog.functions.times import text_to_timestamp
 from loomlog.operators.union import union_view
 
 
@@ -70,14 +71,26 @@ class SourceSet:
                 out[name] = out.get(name, 0) + 1
         return out
 
+    def size(self, path: str) -> int | None:
+        """Bytes under a path, from the store's own listing; None if nothing is there."""
+        found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        store = found.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return store.getContentSummary(found).getLength() if store.exists(found) else None
+
     def listing(self) -> DataFrame:
-        """(source, path, enabled, records), counted in one job over all sources."""
-        known = self.spark.createDataFrame([(s.name, s.path, s.enabled) for s in self.sources.values()], "source string, path string, enabled boolean")
-        counts = None
+        """(source, path, enabled, bytes, records, first_ts, last_ts), counted in one job over all sources.
+
+        Bounds are of each source's own timestamp column, as text in UTC.
+        """
+        known = self.spark.createDataFrame([(s.name, s.path, s.enabled, s.path and self.size(s.path)) for s in self.sources.values()], "source string, path string, enabled boolean, bytes long")
+        rows = None
         for s in self.sources.values():
-            one = s.df.select(F.lit(s.name).alias("source"))
-            counts = one if counts is None else counts.unionByName(one)
-        if counts is None:
-            return known.withColumn("records", F.lit(0).cast("long"))
-        counted = counts.groupBy("source").agg(F.count("*").alias("records"))
+            found = timestamp_like(s.df.columns)
+            ts = s.df[f"`{pick_timestamp_field(s.df.columns)}`"] if found or "@timestamp" in s.df.columns else F.lit(None)
+            ts = text_to_timestamp(ts.cast("string"))
+            one = s.df.select(F.lit(s.name).alias("source"), ts.alias("ts"))
+            rows = one if rows is None else rows.unionByName(one)
+        if rows is None:
+            return known.select("*", F.lit(0).cast("long").alias("records"), *[F.lit(None).cast("string").alias(c) for c in ("first_ts", "last_ts")])
+        counted = rows.groupBy("source").agg(F.count("*").alias("records"), F.min("ts").cast("string").alias("first_ts"), F.max("ts").cast("string").alias("last_ts"))
         return known.join(counted, "source", "left").fillna(0, ["records"])

@@ -2,7 +2,7 @@ import json
 
 import pytest
 from loomlog import formats
-from loomlog.functions.times import WIDTHS, parse_layout, pick_width, spark_pattern
+from loomlog.functions.times import WIDTHS, parse_layout, pick_width, present, spark_pattern
 from loomlog.operators import blocks, detect, event_records, histogram, infer, lines, rules, xmlrows
 from loomlog.operators.export import export, stage
 from loomlog.operators.ordered import with_parts
@@ -89,6 +89,43 @@ def test_xml_rows_of_rootless_files(spark, tmp_path):
     assert (r["@timestamp"], r["_source_format"]) == ("2024-03-18T06:00:00Z", "xml:Event")
 
 
+def test_xml_rows_without_content(spark, tmp_path):
+    """Self-closing rows, alone, before others and at the end; slashes and signs in attributes; repeated nested elements."""
+    (tmp_path / "a.xml").write_text("<L><E a='1'/><E a='2' b='x/>y'/>\n<E a='3'>t<V k='p'> 1 </V><V><W>q</W></V><V k='r'>2</V></E><EE/><E/><E a='4'><V>z</V></E><E a='5' /></L>")
+    (tmp_path / "b.xml").write_text('<E a="6"/>')
+    got = xmlrows.parse_xml_rows(scans.read_xml_rows(spark, str(tmp_path), "E"), "E")
+    rows = {r["@a"]: r for r in got.collect()}
+    assert got.count() == 7 and set(rows) == {"1", "2", "3", None, "4", "5", "6"} and rows["2"]["@b"] == "x/>y"
+    assert (rows["3"]["V"], rows["3"]["V.@k"], rows["3"]["V.W"]) == (["1", "2"], ["p", "r"], ["q"]) and rows["4"]["V"] == ["z"]
+
+
+def test_damaged_records_are_counted(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"t": 1.5, "n": {"k": 1}}\n{"t": broken\n{"t": 2.5}\n')
+    rows, damaged = scans.read_decoded_events(spark, str(tmp_path / "a.json"), "t double, n struct<k: long>")
+    assert sorted(r.t for r in rows.collect()) == [1.5, 2.5] and [(r.n_damaged, r.n_read) for r in damaged.collect()] == [(1, 2)]
+    flat = event_records.flatten_events(rows.drop("file"), "t")
+    assert flat.filter("t = 1.5").first()["n.k"] == 1
+    (tmp_path / "b.json").write_text("nothing\n")
+    with pytest.raises(ValueError):
+        scans.read_decoded_events(spark, str(tmp_path / "b.json"), "t double")
+
+
+def test_bad_files_are_reported(spark, tmp_path):
+    for name, body in {"a.parquet": b"PAR1xPAR1", "b.parquet": b"junk", "c.ndjson": b"\xef\xbb\xbf\n {}", "d.ndjson": b"[1]", "e.log": b"a\x00b", "f.log": b"plain"}.items():
+        (tmp_path / name).write_bytes(body)
+    heads = scans.read_heads(spark, str(tmp_path))
+    assert {r.path.rsplit("/", 1)[1]: r.reason for r in scans.unreadable(heads).collect()} == {"b.parquet": "no Parquet signature", "d.ndjson": "no JSON object", "e.log": "NUL bytes in text"}
+    few = {r.path.rsplit("/", 1)[1]: r.head for r in scans.read_heads(spark, str(tmp_path), max_file_bytes=4).collect()}
+    assert few["a.parquet"] is None and bytes(few["b.parquet"]) == b"junk" and len(few) == 6
+
+
+def test_presentation(spark):
+    row = spark.createDataFrame([("2024-07-01 22:30:05.25",)], "t string").select(F.col("t").cast("timestamp_ntz").alias("t")).select(present(F.col("t")), present(F.col("t"), "Europe/Berlin"), present(F.col("t"), "America/New_York", 12)).first()
+    assert list(row) == ["2024-07-01 22:30:05.250", "2024-07-02 00:30:05.250", "2024-07-01 06:30:05.250 PM"]
+    with pytest.raises(ValueError):
+        present(F.lit(1), hours=13)
+
+
 def test_row_elements(spark):
     heads = [("a", "<L><E><T/><T/></E><E/><E x='1'/></L>"), ("b", "<L><E/><E/></L>"), ("c", "<E></E>\n<E><P><P2/></P></E><E/>"), ("d", "<R><A><B/><B/><B/><B/></A><A/><A/></R>")]
     got = {r.file: (r.row, r.siblings, r.depth) for r in xmlrows.row_elements(spark.createDataFrame(heads, "file string, head string")).collect()}
@@ -125,7 +162,8 @@ def test_rules_are_checked():
     good = {"family": "line", "name": "x", "parse": r"^(?P<ts>\d+) (?P<message>.*)$", "ts_layout": "15"}
     loaded, problems = rules.load_rules({"b": good, "a": {"family": "odd"}, "c": {"family": "xml", "name": "y", "ts_layouts": "2006"}})
     assert [r.name for r in loaded] == ["x", "y"] and set(problems) == {"a"} and loaded[0].priority == 10 and loaded[1].ts_layouts == ("2006",)
-    for bad in (good | {"parse": "^(?P<message>.*)$"}, good | {"ts_layout": ""}, good | {"parse": "("}, good | {"colour": 1}, {"family": "block", "name": "z", "separator": "-", "field": "^(?P<key>.)$"}):
+    both = {"ts_use_mtime_date": True, "ts_use_mtime_year": True}
+    for bad in (good | both, good | {"ts_layout": "%Y-%m-%d"}, good | {"ts_layout": "yyyy"}, good | {"ts_assume_tz": "Mars/Olympus"}, {"family": "xml", "name": "y", "ts_layouts": "%H"}, good | {"parse": "^(?P<message>.*)$"}, good | {"ts_layout": ""}, good | {"parse": "("}, good | {"colour": 1}, {"family": "block", "name": "z", "separator": "-", "field": "^(?P<key>.)$"}):
         with pytest.raises(ValueError):
             rules.load_rules({"r": bad})
 
@@ -155,6 +193,28 @@ def test_inferred_templates_parse_their_own_lines(spark):
     assert re.match(got["iso"].pattern, data[0][2]).groupdict().keys() >= {"level", "pid"}
     assert "level" in got["dash"].pattern and got["dot"].aligned_on == "line"
     assert {r.source: r.zone for r in infer.zone_suffixes(df, infer.timestamp_shapes(df)).collect()}["iso"] == "Z07:00"
+    layouts = {s: r.ts_layout for s, r in got.items()}
+    assert layouts == {"iso": "2006-01-02T15:04:05Z07:00", "slash": "2006/01/02 15:04:05", "clf": "02/Jan/2006:15:04:05 -0700", "dash": "02-01-2006 15:04:05", "dot": "02.01.06 15:04:05", "syslog": "Jan _2 15:04:05", "time": "15:04:05"}
+    ready = infer.line_rules(infer.templates(df))
+    audited = {(r.source, r.rule): r for r in lines.audit(df, tuple(ready.values()), "source").collect()}
+    for source in SAMPLES:
+        r = audited[source, source]
+        assert (r.parsed, r.timestamp_errors) == (12, 0), source
+    assert ready["syslog"].ts_use_mtime_year and ready["time"].ts_use_mtime_date and ready["dot"].ts_regex_subs
+
+
+def test_inferred_names_and_limits(spark):
+    """Repeated labels, dotted numbers, a message after eight captures, month first."""
+    import re
+
+    rows = [("a", i, f"03/04/24 {i}") for i in range(4)] + [("b", i, f"12-{13 + i}-2024 06:00:00 id={i} id={2 * i} v1.{i}.{3 * i}.7 x") for i in range(5)]
+    rows += [("c", i, f"2024-03-18 06:00:0{i} " + " ".join(str(i + k) for k in range(12))) for i in range(5)]
+    got = {r.source: r for r in infer.templates(spark.createDataFrame(rows, "source string, line long, value string")).collect()}
+    assert set(got) == {"b", "c"} and got["b"].ts_layout == "01-02-2006 15:04:05" and not got["b"].ambiguous
+    m = re.match(got["b"].pattern, rows[6][2])
+    assert m["id"] == "2" and m["id__2"] == "4"
+    m = re.match(got["c"].pattern, rows[-1][2])
+    assert m["field8"] == "11" and "field9" not in m.groupdict() and m["message"] == "12 13 14 15"
 
 
 def test_histogram_adds_up(spark):
