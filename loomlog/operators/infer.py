@@ -44,20 +44,31 @@ def matched(lines: DataFrame, shapes: DataFrame) -> DataFrame:
     return held.withColumn("ts", ts)
 
 
+def _day_parts(ts: Column) -> tuple[Column, Column]:
+    """The two-digit parts that a date of unknown order begins with; null where there are none."""
+    return tuple(F.when(F.col("shape").isin("dmy-dash", "dmy-dot"), F.regexp_extract(ts, r"^(\d{2})[-.](\d{2})", i).try_cast("int")) for i in (1, 2))
+
+
+def _order(first_max: Column, second_max: Column) -> tuple[Column, Column]:
+    order = F.when(first_max > 12, F.lit("day-first")).when(second_max > 12, F.lit("month-first")).otherwise(F.lit("day-first"))
+    return order.alias("order"), ((first_max > 12) == (second_max > 12)).alias("ambiguous")
+
+
+def _zone(ts: Column) -> Column:
+    return F.when(ts.rlike(r"(Z|[+-]\d{2}:\d{2})$"), F.lit("Z07:00")).when(ts.rlike(r"\d{2}[+-]\d{4}$"), F.lit("Z0700")).otherwise(F.lit(""))
+
+
 def date_orders(lines: DataFrame, shapes: DataFrame) -> DataFrame:
     """(source, first_max, second_max, order, ambiguous) for sources whose dates begin with two two-digit parts."""
-    parts = matched(lines, shapes).filter(F.col("shape").isin("dmy-dash", "dmy-dot")).select("source", F.regexp_extract("ts", r"^(\d{2})[-.](\d{2})", 1).try_cast("int").alias("a"), F.regexp_extract("ts", r"^(\d{2})[-.](\d{2})", 2).try_cast("int").alias("b"))
+    first, second = _day_parts(F.col("ts"))
+    parts = matched(lines, shapes).filter(F.col("shape").isin("dmy-dash", "dmy-dot")).select("source", first.alias("a"), second.alias("b"))
     most = parts.groupBy("source").agg(F.max("a").alias("first_max"), F.max("b").alias("second_max"))
-    order = F.when(F.col("first_max") > 12, F.lit("day-first")).when(F.col("second_max") > 12, F.lit("month-first")).otherwise(F.lit("day-first"))
-    mixed = (F.col("first_max") > 12) == (F.col("second_max") > 12)
-    return most.select("source", "first_max", "second_max", order.alias("order"), mixed.alias("ambiguous"))
+    return most.select("*", *_order(F.col("first_max"), F.col("second_max")))
 
 
 def zone_suffixes(lines: DataFrame, shapes: DataFrame) -> DataFrame:
     """(source, zone): '', 'Z07:00' or 'Z0700', whichever most timestamps of a source carry."""
-    ts = F.col("ts")
-    zone = F.when(ts.rlike(r"(Z|[+-]\d{2}:\d{2})$"), F.lit("Z07:00")).when(ts.rlike(r"\d{2}[+-]\d{4}$"), F.lit("Z0700")).otherwise(F.lit(""))
-    votes = matched(lines, shapes).filter(ts != "").groupBy("source", zone.alias("zone")).agg(F.count("*").alias("n"))
+    votes = matched(lines, shapes).filter("ts <> ''").groupBy("source", _zone(F.col("ts")).alias("zone")).agg(F.count("*").alias("n"))
     return votes.groupBy("source").agg(F.max_by("zone", F.struct("n", "zone")).alias("zone"))
 
 
@@ -187,10 +198,12 @@ def stamp_facts(lines: DataFrame, shapes: DataFrame) -> DataFrame:
     month first is told by the parts over 12.
     """
     ts = F.col("ts")
-    seen = matched(lines, shapes).filter(ts != "")
     between = F.when(ts.rlike(r"^[\d./-]{8,10}T"), F.lit("T")).otherwise(F.lit(" "))
-    votes = seen.groupBy("source", "shape").agg(F.mode(between, True).alias("between"), F.mode(ts.rlike(r"^\d{2}\.\d{2}\.\d{2}[T ]"), True).alias("short"), F.mode(ts.rlike(r"\d{2}:\d{2}:\d{2}:\d+$"), True).alias("colon"))
-    facts = votes.join(zone_suffixes(lines, shapes), "source", "left").join(date_orders(lines, shapes).select("source", "order", "ambiguous"), "source", "left")
+    parts = _day_parts(ts)
+    facts = matched(lines, shapes).filter(ts != "").groupBy("source", "shape").agg(
+        F.mode(between, True).alias("between"), F.mode(ts.rlike(r"^\d{2}\.\d{2}\.\d{2}[T ]"), True).alias("short"), F.mode(ts.rlike(r"\d{2}:\d{2}:\d{2}:\d+$"), True).alias("colon"),
+        F.mode(_zone(ts), True).alias("zone"), *[F.max(c).alias(f"most{i}") for i, c in enumerate(parts)],
+    ).select("*", *_order(F.col("most0"), F.col("most1")))
     first = F.when(F.col("order") == "month-first", F.lit("01")).otherwise(F.lit("02"))
     second = F.when(F.col("order") == "month-first", F.lit("02")).otherwise(F.lit("01"))
     time = F.lit("15:04:05")
