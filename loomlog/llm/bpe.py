@@ -1,17 +1,20 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
-Every merge rank has a bucket of places in one linked list of tokens; a bitmap
-in three levels of 64-bit words says which buckets hold anything, and
-find-first-set gives the lowest rank.  The list holds all new pre-tokens of a
-batch, one after another with walls between, so one bucket is merged for all
-of them in a few numpy steps, and one pre-token of a million characters costs
-no more than as many short ones.  A bucket's entry is stale if its place was
-merged away or its pair has another rank by now; stale entries are skipped.
-
-Places of one rank are merged together, left to right without overlap.  That
-equals one merge at a time unless a merge can make a pair of lower rank; ranks
-whose bytes stand inside a token of lower rank are therefore merged one place
-a pre-token at a time.
+Every merge rank has a bucket of places in a linked list of tokens; a bitmap in
+three levels of 64-bit words says which buckets hold anything, and
+find-first-set gives the lowest rank.  An entry is stale if its place was merged
+away or its pair has another rank by now; stale entries are skipped.
+
+Pre-tokens of up to ``LONG`` bytes, which is nearly all of a text, share one list
+with walls between them, so one bucket is merged for all of them in a few numpy
+steps.  Places of one rank are merged together, left to right without overlap.
+That equals one merge at a time unless a merge can make a pair of lower rank;
+ranks whose bytes stand inside a token of lower rank are therefore merged one
+place a pre-token at a time.
+
+A longer pre-token has a list of its own and is merged one place at a time, the
+leftmost of the lowest rank: a bucket is a heap of places, so time grows with the
+length times its logarithm, whatever the bytes are.
 
 Defined results: null and empty texts have no ids and decode to no bytes;
 repeated rows are encoded alike; nothing depends on other columns.
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import gc
+from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -32,8 +36,10 @@ from pyspark.sql import types as T
 
 from loomlog.llm.batches import map_texts
 
-#: Pre-tokens whose ids a worker remembers; the memory is emptied when full.
-REMEMBERED = 600_000
+#: Bytes of pre-tokens and ids, with what Python adds to each, that a worker remembers; emptied when full.
+REMEMBERED, ENTRY_BYTES = 128 << 20, 160
+#: Longer pre-tokens are merged alone and not remembered.
+LONG = 256
 #: UTF-8 bytes encoded at once: more share the steps of a bucket.
 SLICE_BYTES = 8 << 20
 
@@ -43,29 +49,20 @@ class RankQueue:
 
     def __init__(self, n_ranks: int):
         self.levels = [[0] * (-(-n_ranks // 64**i)) for i in (1, 2, 3)]
-        self.buckets: dict[int, list[np.ndarray]] = {}
+        self.buckets: dict[int, list] = {}
 
-    def push(self, ranks: np.ndarray, places: np.ndarray) -> None:
-        """Adds places, in any order; ranks below 0 are left out."""
-        real = ranks >= 0
-        ranks, places = ranks[real], places[real]
-        if not len(ranks):
-            return
-        order = np.argsort(ranks, kind="stable")
-        ranks, places = ranks[order], places[order]
-        cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
-        bounds = [0, *cuts.tolist(), len(ranks)]
-        for rank, lo, hi in zip(ranks[bounds[:-1]].tolist(), bounds, bounds[1:]):
-            if rank in self.buckets:
-                self.buckets[rank].append(places[lo:hi])
-                continue
-            self.buckets[rank] = [places[lo:hi]]
+    def bucket(self, rank: int) -> list:
+        """The bucket of a rank, marked as holding something."""
+        if rank not in self.buckets:
+            self.buckets[rank] = []
+            at = rank
             for level in self.levels:
-                level[rank >> 6] |= 1 << (rank & 63)
-                rank >>= 6
+                level[at >> 6] |= 1 << (at & 63)
+                at >>= 6
+        return self.buckets[rank]
 
-    def pop(self) -> tuple[int, np.ndarray] | None:
-        """The lowest rank that holds anything, and its places in order."""
+    def lowest(self) -> int | None:
+        """The lowest rank that holds anything."""
         at = 0
         for level in reversed(self.levels):
             for word in range(at, len(level)) if level is self.levels[-1] else (at,):
@@ -75,13 +72,37 @@ class RankQueue:
                 return None
             bits = level[word]
             at = word << 6 | ((bits & -bits).bit_length() - 1)
-        held = self.buckets.pop(at)
-        rank = at
+        return at
+
+    def empty(self, rank: int) -> list:
+        """Takes the whole bucket of a rank."""
+        at = rank
         for level in self.levels:
             level[at >> 6] &= ~(1 << (at & 63))
             if level[at >> 6]:
                 break
             at >>= 6
+        return self.buckets.pop(rank)
+
+    def push(self, ranks: np.ndarray, places: np.ndarray) -> None:
+        """Adds places, in any order; ranks below 0 are left out."""
+        real = ranks >= 0
+        ranks, places = ranks[real], places[real]
+        if not len(ranks):
+            return
+        order = np.argsort(ranks, kind="stable")
+        ranks, places = ranks[order], places[order]
+        cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+        bounds = [0, *cuts.tolist(), len(ranks)]
+        for rank, lo, hi in zip(ranks[bounds[:-1]].tolist(), bounds, bounds[1:]):
+            self.bucket(rank).append(places[lo:hi])
+
+    def pop(self) -> tuple[int, np.ndarray] | None:
+        """The lowest rank that holds anything, and its places in order."""
+        rank = self.lowest()
+        if rank is None:
+            return None
+        held = self.empty(rank)
         return rank, np.sort(np.concatenate(held)) if len(held) > 1 else np.sort(held[0])
 
 
@@ -106,6 +127,8 @@ class Codec:
                     if ranks.get(t[i:j], -1) > r:
                         self.careful[ranks[t[i:j]]] = True
         self.known: dict[str, bytes] = {}
+        self.held = 0  # bytes in known, about
+        self._rank_of: dict[int, int] | None = None
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Of each pair of ids; -1 where they don't merge (ids of -1: a wall)."""
@@ -165,21 +188,66 @@ class Codec:
         flat, ends = ids.astype(np.int32).tobytes(), (4 * ends).tolist()
         return [flat[a:b] for a, b in zip([0, *[e + 4 for e in ends[:-1]]], ends)]
 
+    def merge_long(self, token: bytes) -> bytes:
+        """The ids of one pre-token (32 bits each), one merge at a time."""
+        if self._rank_of is None:
+            self._rank_of = dict(zip(self.pair_keys[:-1].tolist(), self.pair_ranks[:-1].tolist(), strict=True))
+        rank_of, n, end = self._rank_of.get, self.n, len(token)
+        ids = self.single[np.frombuffer(token, np.uint8)].tolist()
+        after, before = list(range(1, end + 1)), list(range(-1, end - 1))
+        rank = [rank_of(a * n + b, -1) for a, b in zip(ids, ids[1:])] + [-1]
+        queue = RankQueue(n)
+        for place, r in enumerate(rank):
+            if r >= 0:
+                queue.bucket(r).append(place)  # in order, which is a heap
+        while (r := queue.lowest()) is not None:
+            places, least = queue.buckets[r], r
+            while places and least >= r:
+                place = heappop(places)
+                if rank[place] != r:
+                    continue  # stale
+                gone = after[place]
+                follow, prior = after[gone], before[place]
+                ids[place], ids[gone], rank[gone], after[place] = r, -1, -1, follow
+                rank[place] = -1
+                if follow < end:
+                    before[follow] = place
+                    rank[place] = rank_of(r * n + ids[follow], -1)
+                if prior >= 0:
+                    rank[prior] = rank_of(ids[prior] * n + r, -1)
+                for p in (place, prior):
+                    if p >= 0 and rank[p] >= 0:
+                        heappush(queue.bucket(rank[p]), p)
+                        least = min(least, rank[p])
+            if not places:
+                queue.empty(r)
+        return np.array([i for i in ids if i >= 0], np.int32).tobytes()
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's begin and end among them: one place more than texts)."""
         collecting = gc.isenabled()
         gc.disable()  # millions of small objects without cycles
         try:
-            if len(self.known) > REMEMBERED:
+            if self.held > REMEMBERED:
                 self.known.clear()
-            known, out = self.known, []
+                self.held = 0
+            known, out, long = self.known, [], {}
             split = [self.find(t) for t in texts]
-            new = list(set(chain.from_iterable(split)) - known.keys())
+            new = []
+            for t in set(chain.from_iterable(split)) - known.keys():
+                data = t.encode("utf-8", "surrogatepass")
+                if len(data) > LONG:
+                    long[t] = self.merge_long(data)
+                else:
+                    new.append((t, data))
             for lo in range(0, len(new), 200_000):
                 part = new[lo : lo + 200_000]
-                known.update(zip(part, self.merge([t.encode("utf-8", "surrogatepass") for t in part]), strict=True))
+                merged = self.merge([data for _, data in part])
+                known.update(zip((t for t, _ in part), merged, strict=True))
+                self.held += sum(len(data) + ENTRY_BYTES for _, data in part) + sum(map(len, merged))
             while split:
-                out.append(b"".join(map(known.__getitem__, split.pop())))
+                tokens = split.pop()
+                out.append(b"".join([known[t] if t in known else long[t] for t in tokens] if long else map(known.__getitem__, tokens)))
         finally:
             if collecting:
                 gc.enable()

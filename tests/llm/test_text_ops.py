@@ -170,6 +170,34 @@ def test_ids_equal_the_library(spark, reference, sf_dir, edge, empty):
     assert all(bytes(r.decoded) == (r.text or "").encode() for r in back.collect())
 
 
+def test_long_pre_tokens_take_time_in_proportion(reference):
+    """Letters in one run, patterns whose merges wait for each other, random ones, and other scripts."""
+    import time
+
+    rng = random.Random(5)
+    held = bpe.codec(PATH, public_tokenizers.PATTERN)
+    held.merge_long(b"warm up")
+    for make in (lambda n: "theand" * (n // 6), lambda n: "a" * n, lambda n: "".join(rng.choice("etaoinsr") for _ in range(n)), lambda n: "é中" * (n // 5), lambda n: "=-" * (n // 2)):
+        for n in (255, 256, 257, 5000, 20_000):
+            text = make(n)
+            assert held.encode([text])[0].tolist() == reference.encode_ordinary(text)
+    took = []
+    for n in (10_000, 1_000_000):
+        began = time.process_time()
+        held.encode(["theand" * (n // 6)])
+        took.append(time.process_time() - began)
+    assert took[1] < 300 * max(took[0], 0.01)
+    assert all(len(t.encode()) <= bpe.LONG for t in held.known)
+
+
+def test_memory_of_pre_tokens_is_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 20_000)
+    held = bpe.Codec(bpe.load_ranks(PATH), public_tokenizers.PATTERN)
+    for i in range(50):
+        held.encode([" ".join(f"word{i}x{j}" for j in range(40))])
+        assert held.held <= 20_000 + 200 * bpe.ENTRY_BYTES
+
+
 def test_rank_queue_finds_the_least():
     import numpy as np
 
