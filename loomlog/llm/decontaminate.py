@@ -11,9 +11,10 @@ Defined results: null and wordless texts have no words and no hits; repeated
 documents each get their own row; an item with a null id marks words but is not
 listed; an empty benchmark leaves every document clean.
 
-The automaton is sent to executors, so its size is checked: windows are dealt
-to as many automata as keep each under ``max_bytes`` of pattern text, and each
-automaton is one more scan stage.  Nothing is dropped.
+The automaton is sent to executors, so its size is checked: a benchmark of more
+than ``max_bytes`` of pattern text is dealt to several automata, fetched and sent
+one after another, and each is one more scan that adds to what the others found.
+Results are the same, nothing is dropped.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomlog.llm.batches import map_texts
+from loomlog.llm.batches import cut, fresh, map_texts
 from loomlog.llm.words import WORD
 
 #: Normalised bytes by byte: words stay, A-Z in lower case; all else is a space.
@@ -41,6 +42,8 @@ HITS = T.StructType(
     ]
 )
 
+HITS_ARROW = pa.struct([("n_words", pa.int64()), ("runs", pa.list_(pa.list_(pa.int32()))), ("spans", pa.list_(pa.list_(pa.int32()))), ("items", pa.list_(pa.string()))])
+
 
 def normalised(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(TABLE).split()
@@ -58,12 +61,10 @@ def windows(items: DataFrame, window: int = 13, item_id: str = "item_id", text:
     )
 
 
-def parts(found: DataFrame, max_bytes: int) -> list[list[tuple[str, list[str]]]]:
-    """The windows in lists of at most ``max_bytes`` each (counted before any is fetched)."""
+def part_count(found: DataFrame, max_bytes: int) -> int:
+    """How many automata of at most about ``max_bytes`` of patterns the windows need, counted before any is fetched."""
     size = found.agg(F.coalesce(F.sum(F.octet_length("window") + 64), F.lit(0))).first()[0]
-    n = max(1, -(-size // max_bytes))
-    dealt = found.withColumn("part", F.pmod(F.xxhash64("window"), F.lit(n)))
-    return [sorted((r.window, r["items"]) for r in dealt.filter(F.col("part") == p).collect()) for p in range(n)]
+    return max(1, -(-size // max_bytes))
 
 
 def automaton(patterns: list[tuple[str, list[str]]]) -> ahocorasick.Automaton | None:
@@ -77,33 +78,35 @@ def automaton(patterns: list[tuple[str, list[str]]]) -> ahocorasick.Automaton |
     return out
 
 
-def scan(found: ahocorasick.Automaton | None, text: str) -> tuple[int, list[list[int]], list[list[int]], list[str]]:
-    """(words, runs of hit words [first, end), their code-point spans, items) of one text."""
-    words = normalised(text)
-    if not words or found is None:
-        return len(words), [], [], []
-    plain = b" ".join(words).decode("latin-1")
-    matches = list(found.iter(f" {plain} "))
-    if not matches:
-        return len(words), [], [], []
-    runs: list[list[int]] = []
-    items: set[str] = set()
-    at = word = 0
-    last = {}
-    for end, (n, ids) in matches:
-        word += plain.count(" ", at, end - 1)  # the match ends with the space after its last word
-        at = end - 1
-        last[word + 1] = max(n, last.get(word + 1, 0))
-        items.update(ids)
-    for end in sorted(last):
-        begin = end - last[end]
-        while runs and runs[-1][0] >= begin:
-            runs.pop()
-        if runs and runs[-1][1] >= begin:
-            runs[-1][1] = end
+def merged(runs: list[list[int]]) -> list[list[int]]:
+    """Runs [first, end) in order, those that meet or overlap as one."""
+    out: list[list[int]] = []
+    for begin, end in sorted(runs):
+        if out and out[-1][1] >= begin:
+            out[-1][1] = max(out[-1][1], end)
         else:
-            runs.append([begin, end])
-    return len(words), runs, spans(text, runs), sorted(items)
+            out.append([begin, end])
+    return out
+
+
+def scan(found: ahocorasick.Automaton | None, text: str, before: dict | None = None) -> dict:
+    """n_words, runs of hit words [first, end), their code-point spans and items of one text.
+
+    ``before``: what other automata have found in it, which is added.
+    """
+    words = normalised(text)
+    runs, items = ([list(r) for r in before["runs"]], set(before["items"])) if before else ([], set())
+    if words and found is not None:
+        plain = b" ".join(words).decode("latin-1")
+        at = word = 0
+        last: dict[int, int] = {}
+        for end, (n, ids) in found.iter(f" {plain} "):
+            word += plain.count(" ", at, end - 1)  # the match ends with the space after its last word
+            at = end - 1
+            last[word + 1] = max(n, last.get(word + 1, 0))
+            items.update(ids)
+        runs = merged(runs + [[end - n, end] for end, n in last.items()])
+    return {"n_words": len(words), "runs": runs, "spans": spans(text, runs) if runs else [], "items": sorted(items)}
 
 
 def spans(text: str, runs: list[list[int]]) -> list[list[int]]:
@@ -128,36 +131,29 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     words.  contaminated: some word is hit, and at least one in twenty.
     """
     context = docs.sparkSession.sparkContext
-    out, kept = docs, list(docs.columns if keep is None else keep)
     clash = {"n_words", "n_hit", "hit_spans", "items", "contaminated"}
-    kept = [c for c in kept if c.lower() not in clash or c == text]
-    found = parts(windows(benchmark, window), max_bytes)
-    for p, patterns in enumerate(found):
-        sent = context.broadcast(patterns)
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in clash or c == text]
+    found = windows(benchmark, window)
+    n = part_count(found, max_bytes)
+    dealt = found.withColumn("part", F.pmod(F.xxhash64("window"), F.lit(n))) if n == 1 else cut(found.withColumn("part", F.pmod(F.xxhash64("window"), F.lit(n))))
+    out, before = docs, None
+    for p in range(n):  # one part at a time is on the driver
+        sent = context.broadcast(sorted((r.window, r["items"]) for r in dealt.filter(F.col("part") == p).collect()))
 
         def make(sent=sent):
             machine = automaton(sent.value)
 
-            def fn(texts: pa.Array) -> list[pa.Array]:
-                got = [dict(zip(("n_words", "runs", "spans", "items"), scan(machine, t), strict=True)) for t in texts.to_pylist()]
-                return [pa.array(got, pa.struct([("n_words", pa.int64()), ("runs", pa.list_(pa.list_(pa.int32()))), ("spans", pa.list_(pa.list_(pa.int32()))), ("items", pa.list_(pa.string()))]))]
+            def fn(texts: pa.Array, before: pa.Array | None = None) -> list[pa.Array]:
+                known = before.to_pylist() if before is not None else [None] * len(texts)
+                return [pa.array([scan(machine, t, b) for t, b in zip(texts.to_pylist(), known, strict=True)], HITS_ARROW)]
 
             return fn
 
-        last = p == len(found) - 1
-        keep_now = [*dict.fromkeys([*kept, *[f"__hits{q}" for q in range(p)], *([] if last else [text])])]
-        out = map_texts(out, [T.StructField(f"__hits{p}", HITS)], make, text, keep_now)
-    return _merge(out, len(found), kept)
-
-
-def _merge(out: DataFrame, n: int, kept: list[str]) -> DataFrame:
-    if n == 1:
-        hit = F.col("__hits0")
-        n_hit = F.aggregate(hit["runs"], F.lit(0).cast("long"), lambda a, r: a + (r[1] - r[0]))
-        columns = [hit["n_words"].alias("n_words"), n_hit.alias("n_hit"), hit["spans"].alias("hit_spans"), hit["items"].alias("items")]
-    else:
-        both = [F.col(f"__hits{p}") for p in range(n)]
-        places = F.array_distinct(F.flatten(F.concat(*[F.transform(h["runs"], lambda r: F.sequence(r[0], r[1] - 1)) for h in both])))
-        columns = [both[0]["n_words"].alias("n_words"), F.size(places).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.concat(*[h["spans"] for h in both]))).alias("hit_spans"), F.array_sort(F.array_distinct(F.concat(*[h["items"] for h in both]))).alias("items")]
-    out = out.select(*[F.col(f"`{c}`") for c in kept], *columns)
+        hits = fresh([*docs.columns, *kept], f"__hits{p}")
+        columns = [*dict.fromkeys([*kept, *([before] if before else []), *([text] if p < n - 1 else [])])]
+        out = map_texts(out, [T.StructField(hits, HITS)], make, text, columns, beside=before)
+        before = hits
+    hit = F.col(f"`{before}`")
+    n_hit = F.aggregate(hit["runs"], F.lit(0).cast("long"), lambda a, r: a + (r[1] - r[0])).alias("n_hit")
+    out = out.select(*[F.col(f"`{c}`") for c in kept], hit["n_words"].alias("n_words"), n_hit, hit["spans"].alias("hit_spans"), hit["items"].alias("items"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

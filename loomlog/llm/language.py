@@ -4,12 +4,15 @@ Each language has a smoothed model of hashed character n-grams, counted over
 all labelled documents given.  A word's likelihood under a language is the
 tempered product over its n-grams.  Expectation-maximisation estimates each
 document's proportions; then languages are dropped, least first, as long as
-the penalised likelihood (BIC with ``penalty``) doesn't fall.  The prediction
-is the language with the largest proportion, which is the score.
+the penalised likelihood (BIC with ``penalty``) doesn't fall.  Estimation takes
+``ITERATIONS`` rounds, and ``AGAIN`` from there after each language dropped; it
+isn't run until nothing moves.  The prediction is the language with the largest
+proportion, which is the score.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 without labelled rows everything is ``und``; repeated rows get equal results;
-tied proportions go to the language first in order.
+tied proportions go to the language first in order; labels of more than
+``MAX_LANGUAGES`` languages are an error, since the model is sent to executors.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ BUCKETS = 1 << 15
 SIZES = (1, 2, 3, 4)
 #: N-grams overlap, so their product says too much: its logarithm is scaled.
 TEMPER = 0.35
-ITERATIONS = 8
+ITERATIONS, AGAIN = 8, 3
 #: Weight of ln(words) for each language in a document's set.
 PENALTY = 2.0
 UNKNOWN = "und"
@@ -133,7 +136,7 @@ def infer(model: Model, texts: pa.Array, penalty: float = PENALTY) -> np.ndarray
         chosen[going] = True
         mine = chosen[place]
         c = counts[going]
-        trial, ll_now = fitted(likely[mine], np.cumsum(c) - c, c, np.repeat(np.arange(len(going)), c), trial, 3)
+        trial, ll_now = fitted(likely[mine], np.cumsum(c) - c, c, np.repeat(np.arange(len(going)), c), trial, AGAIN)
         better = ll_now + cost[going] >= fit_ll[going]
         best[going[better]], fit_ll[going[better]] = trial[better], ll_now[better]
         going = going[better]

@@ -2,7 +2,9 @@
 
 Kinds email, ip, card (16 to 19 digits passing Luhn), phone (8 to 15 digits)
 and iban (mod 97 leaves 1; of the length of its country, or of any length where
-that finds none).  Offsets are code points, end exclusive.  Matches
+that finds none).  Every span has a score: that of its kind, more if a word of its
+kind stands near, less if a word says it is something else.  The first four kinds
+are reported whatever their score; an iban counts from ``LEAST`` on.  Offsets are code points, end exclusive.  Matches
 are leftmost and do not overlap within a kind; one that fails its check is
 dropped and its characters are not searched again.  Everything is built-in
 functions over one row: no shuffle, no user function.
@@ -38,14 +40,14 @@ IBAN_LENGTHS = dict(
     GL=18, GR=27, GT=28, HN=28, HR=21, HU=28, IE=22, IL=23, IQ=23, IS=26, IT=27, JO=30, KW=30, KZ=20, LB=28, LC=32, LI=21, LT=20, LU=20, LV=21, LY=25, MC=27, MD=24, ME=22, MK=19, MN=20, MR=27, MT=31, MU=30, NI=28,
     NL=18, NO=15, OM=23, PK=24, PL=28, PS=29, PT=25, QA=29, RO=24, RS=22, RU=33, SA=24, SC=31, SD=18, SE=24, SI=19, SK=24, SM=27, SO=23, ST=25, SV=28, TL=23, TN=24, TR=26, UA=29, VA=22, VG=24, XK=20, YE=30,
 )
-_BY_LENGTH = {n: "|".join(c for c, m in IBAN_LENGTHS.items() if m == n) for n in sorted(set(IBAN_LENGTHS.values()))}
+BY_LENGTH = {n: "|".join(c for c, m in IBAN_LENGTHS.items() if m == n) for n in sorted(set(IBAN_LENGTHS.values()))}
 #: An account number of its country's length: what follows after a space is left alone.
-IBAN_OF_LENGTH = r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(rf"(?:{c})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in _BY_LENGTH.items()) + r")(?![A-Za-z0-9])"
+IBAN_OF_LENGTH = r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(rf"(?:{c})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in BY_LENGTH.items()) + r")(?![A-Za-z0-9])"
 #: A text without these can't match: a cheap test before the pattern.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 
-# Score of a confirmed span, and words that raise it.
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9}
+# Score of a confirmed span, words that raise it, and words that lower it.
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.75}
 CONTEXT = {
     "email": "mail|e-mail|email|contact|courriel|correo",
     "ip": "ip|host|server|address|addr|login",
@@ -53,7 +55,10 @@ CONTEXT = {
     "phone": "phone|tel|call|mobile|fax|telefon|tél|teléfono",
     "iban": "iban|bank|account|konto|compte|cuenta",
 }
-RAISE, BEFORE, AFTER = 0.1, 40, 20
+LOWERING = "example|sample|dummy|fake|test|invalid|invoice no|order no|serial|part no"
+RAISE, LOWER, BEFORE, AFTER = 0.1, 0.3, 40, 20
+#: Added kinds with a lower score are left out.
+LEAST = 0.5
 
 
 def _luhn(digits: Column) -> Column:
@@ -89,8 +94,13 @@ def _confirmed(kind: str, m: Column) -> Column:
 
 def _score(kind: str, text: Column, start: Column, end: Column) -> Column:
     begin = F.greatest(start - BEFORE, F.lit(0))
-    near = F.lower(F.substring(text, begin + 1, end - begin + AFTER))
-    return F.when(near.rlike(rf"(?<![\p{{L}}])(?:{CONTEXT[kind]})(?![\p{{L}}])"), F.lit(SCORES[kind] + RAISE)).otherwise(F.lit(SCORES[kind]))
+    before, after = F.lower(F.substring(text, begin + 1, start - begin)), F.lower(F.substring(text, end + 1, F.lit(AFTER)))
+
+    def near(words: str, change: float) -> Column:
+        found = rf"(?:^|[^\p{{L}}])(?:{words})(?:[^\p{{L}}]|$)"
+        return F.when(before.rlike(found) | after.rlike(found), F.lit(change)).otherwise(F.lit(0.0))
+
+    return F.round(F.lit(SCORES[kind]) + near(CONTEXT[kind], RAISE) - near(LOWERING, LOWER), 2)
 
 
 def _spans(kind: str, text: Column, pattern: str | None = None) -> Column:
@@ -102,13 +112,17 @@ def _spans(kind: str, text: Column, pattern: str | None = None) -> Column:
     empty = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
     pattern = pattern or PATTERNS[kind]
 
+    def counts(match: Column, score: Column) -> Column:
+        return _confirmed(kind, match) if kind in BASE_KINDS else _confirmed(kind, match) & (score >= LEAST)
+
     def folded(m: Column, g: Column) -> Column:
         def step(acc: Column, i: Column) -> Column:
             match = F.get(m, i)
             start = acc["at"] + F.length(F.get(g, i))
             end = start + F.length(match)
-            span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), _score(kind, text, start, end).alias("score"))
-            return F.struct(end.alias("at"), F.when(_confirmed(kind, match), F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+            score = _score(kind, text, start, end)
+            span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score"))
+            return F.struct(end.alias("at"), F.when(counts(match, score), F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
         return F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
 
@@ -129,15 +143,11 @@ def _accounts(text: Column) -> Column:
     return let(_spans("iban", text, IBAN_OF_LENGTH), both)
 
 
-def find_pii(docs: DataFrame, keep: list[str], text: str = "text", by_length: bool = True) -> DataFrame:
+def find_pii(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns (under ``__keep``), the text (``__t``) and ``spans``: an array of
-    (kind, start, end, score), by kind in the order of KINDS, then by start.
-
-    Without ``by_length`` account numbers are those of the open pattern alone,
-    which takes in upper-case words after a number and then fails.
-    """
+    (kind, start, end, score), by kind in the order of KINDS, then by start."""
     out = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__keep"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__t"))
-    return out.select("__keep", "__t", F.concat(*[_accounts(F.col("__t")) if k == "iban" and by_length else _spans(k, F.col("__t")) for k in KINDS]).alias("spans"))
+    return out.select("__keep", "__t", F.concat(*[_accounts(F.col("__t")) if k == "iban" else _spans(k, F.col("__t")) for k in KINDS]).alias("spans"))
 
 
 def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:

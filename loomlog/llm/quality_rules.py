@@ -47,7 +47,7 @@ RULES = (
     Rule("mean_word_chars", 2, 15),
     Rule("symbol_ratio", high=0.1),
     Rule("digit_ratio", high=0.25),
-    Rule("n_stop_words", low=2),
+    Rule("stop_word_ratio", low=0.02),
     Rule("dup_line_ratio", high=0.3),
     Rule("ellipsis_line_ratio", high=0.3),
     Rule("longest_word", high=1000),
@@ -105,6 +105,7 @@ def measures(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
         _ratio("word_chars", "n_words").alias("mean_word_chars"),
         _ratio("n_symbols", "n_words").alias("symbol_ratio"),
         _ratio("n_digits", "word_chars").alias("digit_ratio"),
+        _ratio("n_stop_words", "n_words").alias("stop_word_ratio"),
         _ratio("n_dup_lines", "n_lines").alias("dup_line_ratio"),
         _ratio("n_ellipsis_lines", "n_lines").alias("ellipsis_line_ratio"),
         _ratio("n_repeat_words", "n_words").alias("repeat_word_ratio"),

@@ -73,8 +73,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # by_length=False: the SQL of this query states the open pattern for account numbers
-    found = pii.find_pii(table(spark, sf_dir, "documents"), ["doc_id"], by_length=False)
+    found = pii.find_pii(table(spark, sf_dir, "documents"), ["doc_id"])
 
     def joined(kinds: tuple[str, ...]) -> Column:
         mine = F.filter("spans", lambda s: s["kind"].isin(*kinds))
@@ -83,7 +82,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind: str) -> Column:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select("__keep.doc_id", *map(count, pii.BASE_KINDS), F.sha2(joined(pii.BASE_KINDS), 256).alias("base_sha256"), joined(pii.KINDS).alias("spans"))
+    return found.select("__keep.doc_id", *map(count, pii.BASE_KINDS), F.sha2(joined(pii.BASE_KINDS), 256).alias("base_sha256"), joined(pii.KINDS).alias("spans"), F.array_join(F.transform("spans", lambda s: s["score"].cast("decimal(3,2)").cast("string")), ",").alias("scores"))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,6 +134,7 @@ m AS (
   FROM doc LEFT JOIN rep USING (rid)),
 r AS (
   SELECT *, CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0.0 END AS mean_word_chars, CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0.0 END AS symbol_ratio,
+    CASE WHEN n_words > 0 THEN n_stop_words / n_words ELSE 0.0 END AS stop_word_ratio,
     CASE WHEN word_chars > 0 THEN n_digits / word_chars ELSE 0.0 END AS digit_ratio, CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0.0 END AS dup_line_ratio,
     CASE WHEN n_lines > 0 THEN n_ellipsis_lines / n_lines ELSE 0.0 END AS ellipsis_line_ratio FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
@@ -145,52 +145,68 @@ def _op7_sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in licenses.KNOWN)
 
-    def canonical(text: str) -> str:
-        t = f"regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+    def spelled(text: str) -> str:
+        t = f"' ' || replace({text}, ' ', '  ') || ' '"
         for other, one in licenses.SPELLINGS:
-            if other != one:
-                t = f"replace({t}, '{other}', '{one}')"
-        lines = f"list_transform(string_split({t}, chr(10)), lambda x: trim(x))"
-        return f"list_filter({lines}, lambda x: x != '' AND NOT (x LIKE 'c%' AND regexp_matches(x, {quote(licenses.COPYRIGHT)})) AND x != 'all rights reserved')"
+            t = f"replace({t}, ' {other.replace(' ', '  ')} ', ' {one.replace(' ', '  ')} ')"
+        return f"trim(replace({t}, '  ', ' '))"
+
+    def lines(text: str) -> str:
+        t = f"regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+        each = f"list_transform(string_split({t}, chr(10)), lambda x: trim(x))"
+        return f"list_filter({each}, lambda x: x != '' AND NOT (x LIKE 'c%' AND regexp_matches(x, {quote(licenses.COPYRIGHT)})) AND x != 'all rights reserved')"
 
     return f"""
 WITH known AS (
   SELECT digest, min(license_id) AS license_id FROM (
-    SELECT license_id, sha256(array_to_string({canonical("text")}, ' ')) AS digest FROM (VALUES {known}) AS k(license_id, text)) GROUP BY digest),
-doc AS (SELECT row_number() OVER () AS rid, doc_id, {canonical("text")} AS l FROM documents),
-whole AS (SELECT rid, doc_id, CASE WHEN len(l) > 0 THEN sha256(array_to_string(l, ' ')) END AS text_sha256 FROM doc),
-hit AS (SELECT rid, count(*) AS n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS ids FROM (SELECT rid, sha256(unnest(l)) AS digest FROM doc) JOIN known USING (digest) GROUP BY rid)
+    SELECT license_id, sha256({spelled("array_to_string(l, ' ')")}) AS digest FROM (SELECT license_id, {lines("text")} AS l FROM (VALUES {known}) AS k(license_id, text)) WHERE len(l) > 0) GROUP BY digest),
+doc AS (SELECT row_number() OVER () AS rid, doc_id, {lines("text")} AS l FROM documents),
+whole AS (SELECT rid, doc_id, CASE WHEN len(l) > 0 THEN sha256({spelled("array_to_string(l, ' ')")}) END AS text_sha256 FROM doc),
+hit AS (SELECT rid, count(*) AS n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS ids FROM (SELECT rid, sha256({spelled("x")}) AS digest FROM (SELECT rid, unnest(l) AS x FROM doc)) JOIN known USING (digest) GROUP BY rid)
 SELECT doc_id, text_sha256, known.license_id AS text_license, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_license_lines, coalesce(ids, '') AS line_licenses
 FROM whole LEFT JOIN hit USING (rid) LEFT JOIN known ON known.digest = text_sha256"""
 
 
-_OP9_SQL = r"""
-WITH RECURSIVE kind(kind, pattern, k) AS (VALUES
-  ('email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+', 1), ('ip', '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)', 2),
-  ('card', '[0-9]([\x20-]?[0-9])+', 3), ('phone', '\+[0-9][\x20().0-9-]+[0-9]', 4), ('iban', '\b[A-Z]{2}[0-9]{2}(\x20?[A-Z0-9]){11,30}\b', 5)),
+
+
+def _op9_sql() -> str:
+    near = lambda side, words: rf"regexp_matches({side}, '(?:^|[^\p{{L}}])(?:{words})(?:[^\p{{L}}]|$)')"
+    either = lambda words: f"({near('lead', words)} OR {near('trail', words)})"
+    score = " ".join(f"WHEN '{k}' THEN {pii.SCORES[k]} + CASE WHEN {either(pii.CONTEXT[k])} THEN {pii.RAISE} ELSE 0 END" for k in pii.KINDS)
+    countries = "|".join(f"(?:{c})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, c in pii.BY_LENGTH.items())
+    return rf"""
+WITH RECURSIVE kind(kind, pattern, k, part) AS (VALUES
+  ('email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+', 1, 0), ('ip', '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)', 2, 0),
+  ('card', '[0-9]([\x20-]?[0-9])+', 3, 0), ('phone', '\+[0-9][\x20().0-9-]+[0-9]', 4, 0),
+  ('iban', '\b(?:{countries})\b', 5, 0), ('iban', '\b[A-Z]{{2}}[0-9]{{2}}(\x20?[A-Z0-9]){{11,30}}\b', 5, 1)),
 doc AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
-seen AS (SELECT rid, kind, k, pattern, CASE WHEN kind = 'iban' THEN replace(t, '_', '.') ELSE t END AS t FROM doc, kind),
-raw AS (SELECT rid, kind, k, regexp_extract_all(t, pattern) AS m, string_split_regex(t, pattern) AS gap FROM seen),
-step(rid, kind, k, m, gap, i, start, finish) AS (
-  SELECT rid, kind, k, m, gap, 0, 0, 0 FROM raw WHERE len(m) > 0
+seen AS (SELECT rid, kind, k, part, pattern, CASE WHEN kind = 'iban' THEN replace(t, '_', '.') ELSE t END AS t FROM doc, kind),
+raw AS (SELECT rid, kind, k, part, regexp_extract_all(t, pattern) AS m, string_split_regex(t, pattern) AS gap FROM seen),
+step(rid, kind, k, part, m, gap, i, start, finish) AS (
+  SELECT rid, kind, k, part, m, gap, 0, 0, 0 FROM raw WHERE len(m) > 0
   UNION ALL
-  SELECT rid, kind, k, m, gap, i + 1, finish + length(gap[i + 1]), finish + length(gap[i + 1]) + length(m[i + 1]) FROM step WHERE i < len(m)),
-span AS (SELECT rid, kind, k, start, finish, m[i] AS x, regexp_replace(m[i], '[^0-9]', '', 'g') AS d, replace(m[i], ' ', '') AS p FROM step WHERE i > 0),
+  SELECT rid, kind, k, part, m, gap, i + 1, finish + length(gap[i + 1]), finish + length(gap[i + 1]) + length(m[i + 1]) FROM step WHERE i < len(m)),
+span AS (SELECT rid, kind, k, part, start, finish, m[i] AS x, regexp_replace(m[i], '[^0-9]', '', 'g') AS d, replace(m[i], ' ', '') AS p FROM step WHERE i > 0),
 luhn AS (
   SELECT *, list_sum(list_transform(range(0, length(d)), lambda j: CASE WHEN j % 2 = 0 THEN CAST(substr(d, length(d) - j, 1) AS INT)
     WHEN CAST(substr(d, length(d) - j, 1) AS INT) > 4 THEN 2 * CAST(substr(d, length(d) - j, 1) AS INT) - 9 ELSE 2 * CAST(substr(d, length(d) - j, 1) AS INT) END)) AS s,
     list_reduce(list_prepend(CAST(0 AS BIGINT), CASE WHEN kind = 'iban' THEN list_transform(range(4, 4 + length(p)), lambda j: CAST(ascii(substr(p, j % length(p) + 1, 1)) AS BIGINT)) ELSE [] END),
       lambda a, c: CASE WHEN c < 58 THEN (a * 10 + c - 48) % 97 ELSE (a * 100 + c - 55) % 97 END) AS r FROM span),
-good AS (
+sure AS (
   SELECT * FROM luhn WHERE kind = 'email' OR (kind = 'ip' AND len(list_filter(string_split(x, '.'), lambda p: coalesce(TRY_CAST(p AS HUGEINT), 256) > 255)) = 0)
     OR (kind = 'card' AND length(d) BETWEEN 16 AND 19 AND s % 10 = 0) OR (kind = 'phone' AND length(d) BETWEEN 8 AND 15)
     OR (kind = 'iban' AND length(p) BETWEEN 15 AND 34 AND r = 1)),
+sided AS (SELECT sure.*, lower(substr(t, greatest(start - {pii.BEFORE}, 0) + 1, start - greatest(start - {pii.BEFORE}, 0))) AS lead, lower(substr(t, finish + 1, {pii.AFTER})) AS trail FROM sure JOIN doc USING (rid)),
+scored AS (SELECT *, CAST(CASE kind {score} END - CASE WHEN {either(pii.LOWERING)} THEN {pii.LOWER} ELSE 0 END AS DECIMAL(3, 2)) AS score FROM sided),
+enough AS (SELECT * FROM scored WHERE kind <> 'iban' OR score >= {pii.LEAST}),
+good AS (SELECT * FROM enough AS a WHERE part = 0 OR NOT EXISTS (SELECT 1 FROM enough AS b WHERE b.rid = a.rid AND b.kind = 'iban' AND b.part = 0 AND b.start < a.finish AND a.start < b.finish)),
 base AS (
   SELECT rid, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
     string_agg(kind || ':' || start || ':' || finish, ',' ORDER BY k, start) FILTER (kind <> 'iban') AS base_spans,
-    string_agg(kind || ':' || start || ':' || finish, ',' ORDER BY k, start) AS spans FROM good GROUP BY rid)
+    string_agg(kind || ':' || start || ':' || finish, ',' ORDER BY k, start) AS spans, string_agg(CAST(score AS VARCHAR), ',' ORDER BY k, start) AS scores FROM good GROUP BY rid)
 SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base_spans, '')) AS base_sha256,
-  coalesce(spans, '') AS spans
+  coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
 FROM doc LEFT JOIN base USING (rid)"""
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": _OP1_SQL, "op5_quality_rules": _op5_sql(), "op7_licenses": _op7_sql(), "op9_pii": _OP9_SQL}
+
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": _OP1_SQL, "op5_quality_rules": _op5_sql(), "op7_licenses": _op7_sql(), "op9_pii": _op9_sql()}

@@ -48,18 +48,20 @@ def test_account_numbers_equal_the_sql(spark, tmp_path):
     """Numbers beside letters, underscores, each other and failing ones, which the given tables lack."""
     rng = random.Random(1)
     known = ["GB82WEST12345698765432", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "DE89370400440532013001"]
-    between = [" ", "_", ".", "\n", "x", "é", "-", "", "  ", ", ", "pay", "A1", "iban_", "+49 170 1234567", "a@b.cd"]
+    between = [" ", "_", ".", "\n", "x", "é", "-", "", "  ", ", ", "pay", "A1", "iban_", "+49 170 1234567", "a@b.cd", " EUR ", " BIC COBADEFFXXX ", "example ", " account ", " 2024 ", " test, "]
     texts = ["".join(rng.choice(known if rng.random() < 0.5 else between) for _ in range(9)) for _ in range(300)]
     spark.createDataFrame([*enumerate(texts), (300, None), (301, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = con.sql(queries.ORACLE_SQL["op9_pii"])
     got = queries.op9_pii(spark, str(tmp_path)).select(*want.columns).collect()
-    assert sorted(map(tuple, got)) == sorted(want.fetchall()) and sum("iban" in r.spans for r in got) > 100
+    assert sorted(map(tuple, got)) == sorted(want.fetchall()) and sum("iban" in r.spans for r in got) > 80
+    assert {x for r in got for s, x in zip(r.spans.split(","), r.scores.split(","), strict=True) if s.startswith("iban")} == {"0.55", "0.75", "0.85"}
 
 
 def test_every_query_gives_a_row_a_document(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    assert sum(len(r.spans) > 0 for r in queries.op9_pii(spark, sf_dir).collect()) > 0
     for name in ("op2_near_dup", "op3_quality_model", "op4_toxicity", "op6_language", "op8_sharding"):
         got = queries.QUERIES[name](spark, sf_dir)
         assert got.count() == n, name
