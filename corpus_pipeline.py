@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlog.llm import bpe, decontaminate, near_dup, pii, quality_model
-from loomlog.llm.batches import shared_dir
+from loomlog.llm.batches import delete, scratch, shared_dir
 from loomlog.llm.queries import good_ids, table, vocabulary
 
 
@@ -51,13 +51,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, with Parquet in the shared folder between them."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, with Parquet in the shared folder between them.
+
+    What a stage leaves there for itself, and what it has read, goes when its
+    result is written; the last stage is left to the caller's action.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            path = f"{base}/{i}-{name}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        path = f"{base}/{i}-{name}"
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
+    return STAGES[-1][1](spark, docs, sf_dir)
