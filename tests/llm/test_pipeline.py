@@ -32,6 +32,26 @@ def test_stages_take_effect(spark, sf_dir):
     assert sorted(docs.drop("ids").collect()) == sorted(corpus_pipeline.run(spark, sf_dir).drop("ids").collect())
 
 
+def test_pipeline_edges(spark, edge_rows, tmp_path):
+    """Nulls, empty and long texts, repeated rows and clashing columns in every stage; then no rows at all."""
+    from .conftest import SCHEMA
+
+    base = spark.createDataFrame(edge_rows, SCHEMA)
+    items = spark.createDataFrame([(1, "One two, three"), (2, None)], "item_id long, text string")
+    for name, docs in (("some", base), ("none", base.limit(0))):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        items.write.parquet(str(tmp_path / name / "benchmark.parquet"))
+        spark.createDataFrame([(1, 1, 0), (8, 1, 0), (7, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+        before = docs
+        for stage_name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, before, str(tmp_path / name)).cache()
+            assert got.columns == docs.columns or stage_name == "bpe"
+            assert got.count() <= before.count() and (name == "some") == (got.count() > 0), stage_name
+            before = got
+        rows_of = lambda df: sorted(str((r.doc_id, r.n_tokens)) for r in df.collect())
+        assert rows_of(corpus_pipeline.run(spark, str(tmp_path / name))) == rows_of(before)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_equal_their_sql(spark, sf_dir, name):
     sql = queries.ORACLE_SQL[name]
