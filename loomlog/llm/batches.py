@@ -7,6 +7,7 @@ split between slices, so a single very long text makes one large slice.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -159,8 +160,9 @@ def drop(*cuts: DataFrame) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Lets the driver collect its garbage now: Spark deletes shuffle files once the frames that
-    wrote them are collected, which a driver with memory to spare may put off for half an hour."""
+    """Collects Python's and the driver's garbage now: Spark deletes shuffle files once the frames
+    that wrote them are collected, which a driver with memory to spare may put off for half an hour."""
+    gc.collect()
     spark._jvm.System.gc()
 
 

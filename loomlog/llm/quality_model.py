@@ -167,20 +167,30 @@ def kth_largest(values: DataFrame, name: str, k: int, bins: int = 1000, few: int
     return top.first()[0]
 
 
-def resample(docs: DataFrame, good: DataFrame, k: int | None = None, max_target: int = MAX_TARGET, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (default doc_id) of each document, with log_weight, key, target and kept."""
-    sample = cut(target_sample(good, max_target))
-    scored = cut(log_weights(docs, fit(docs, good, max_target), sample, ["doc_id"] if keep is None else keep))
+def least_key(scored: DataFrame, k: int | None = None) -> float:
+    """The least key that is kept of ``scored`` (log_weight, key, target); k: see above."""
     if k is None:
         shown = scored.filter("target")
         n = shown.count()
-        least = kth_largest(shown, "log_weight", math.ceil(SHARE * n)) if n else -math.inf
-        k = scored.filter(F.col("log_weight") >= least).count()
-    least = kth_largest(scored, "key", k) if k > 0 else math.inf
-    return scored.withColumn("kept", F.col("key") >= least)
+        enough = kth_largest(shown, "log_weight", math.ceil(SHARE * n)) if n else -math.inf
+        k = scored.filter(F.col("log_weight") >= enough).count()
+    return kth_largest(scored, "key", k) if k > 0 else math.inf
+
+
+def resample(docs: DataFrame, good: DataFrame, k: int | None = None, max_target: int = MAX_TARGET) -> DataFrame:
+    """doc_id of each document, with log_weight, key, target and kept."""
+    sample = cut(target_sample(good, max_target))
+    scored = cut(log_weights(docs, fit(docs, good, max_target), sample, ["doc_id"]))
+    return scored.withColumn("kept", F.col("key") >= least_key(scored, k))
 
 
 def keep_good(docs: DataFrame, good: DataFrame) -> DataFrame:
-    """The documents that importance resampling keeps, all their columns."""
+    """The documents that importance resampling keeps, all their columns.
+
+    They are weighed once to find the least key that is kept, and once more while
+    they are written, so no copy of them lies in the shared folder.
+    """
+    model, sample = fit(docs, good), cut(target_sample(good))
+    least = least_key(cut(log_weights(docs, model, sample, [])))
     packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"))
-    return resample(packed, good, keep=["__doc"]).filter("kept").select("__doc.*")
+    return log_weights(packed, model, sample, ["__doc"]).filter(F.col("key") >= least).select("__doc.*")
