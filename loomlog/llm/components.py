@@ -19,12 +19,11 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     labels = cut(edges.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")))
     while True:
         near = edges.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("before"), F.least("label", "near").alias("label"))
+        step = cut(labels.join(near, "node").select("node", F.col("label").alias("before"), F.least("label", "near").alias("label")))
         # the label that the label's own node has, and that one's: a hot label is only looked up
         hop = step.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        step = step.join(hop, "label", "left").select("node", "before", F.coalesce("next", "label").alias("label"))
-        before, labels = labels, cut(step)
-        drop(before)
+        before, labels = labels, cut(step.join(hop, "label", "left").select("node", "before", F.coalesce("next", "label").alias("label")))
+        drop(before, step)
         if labels.filter("label != before").isEmpty():
             drop(edges)
             return labels.select("node", "label")

@@ -380,14 +380,32 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     order = [F.struct(F.xxhash64("node", F.lit(i)), "node") for i in range(2)]
     leaders = cut(members.groupBy("bucket").agg(F.count("*").alias("size"), *[F.min(o).getField("node").alias(f"leader{i}") for i, o in enumerate(order)]).filter("size > 1"))
     shared = cut(members.join(leaders, "bucket"))
-    pairs = cut(_pairs(shared.select("node", F.explode(F.array("leader0", "leader1")).alias("leader")), "node", "leader"))
-    wanted = shared.select("node").distinct()
-    texts = cut(distinct.select("node", "text").join(signed.select("node", "df", "keys").join(wanted, "node"), "node"))
-    ids, weights = cut(distinct.select("node", "doc_id", "n_copies")), cut(signed.select("node", "total"))
-    drop(signed, leaders, distinct)
-    free_shuffles(docs.sparkSession)
-    links = cut(_verified(pairs, texts, n_texts, threshold))
+    weights = cut(signed.select("node", "total"))
+    drop(leaders)
     free_shuffles(docs.sparkSession)
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        """Pairs whose total weights allow the threshold: the others can't be links."""
+        a, b = (weights.select(F.col("node").alias(x), F.col("total").alias(f"total_{x}")) for x in "ab")
+        both = pairs.join(a, "a").join(b, "b")
+        return both.filter(F.least("total_a", "total_b") >= (threshold - 1e-6) * F.greatest("total_a", "total_b")).select("a", "b")
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        """(node, text, df, keys), cut, of ``nodes`` alone."""
+        held = signed.select("node", "df", "keys").join(nodes.distinct(), "node").join(distinct.select("node", "text"), "node")
+        held = cut(held.select("node", "text", "df", "keys"))
+        free_shuffles(docs.sparkSession)
+        return held
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+        found = cut(_verified(pairs, texts, n_texts, threshold))
+        drop(texts)
+        free_shuffles(docs.sparkSession)
+        return found
+
+    pairs = cut(possible(_pairs(shared.select("node", F.explode(F.array("leader0", "leader1")).alias("leader")), "node", "leader")))
+    links = verified(pairs)
     classes = connected(links)
     left = None
     while True:
@@ -401,14 +419,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
             break
         last = before is not None and left > before / 2
         if last:
+            texts = texts_of(open_.select("node"))
             more = cut(_compare_blocks(open_, texts, n_texts, threshold))
+            drop(texts)
         else:
             degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
             best = open_.join(degree, "node", "left").groupBy("bucket").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)), "node", "label")).alias("best"))
             lead = cut(best.select("bucket", F.col("best.node").alias("other"), F.col("best.label").alias("other_label")))
             found = _pairs(open_.join(lead, "bucket").filter(F.col("label") != F.col("other_label")), "node", "other")
-            fresh = cut(found.join(pairs, ["a", "b"], "left_anti"))
-            more, pairs = cut(_verified(fresh, texts, n_texts, threshold)), pairs.unionByName(fresh)
+            fresh = cut(possible(found).join(pairs, ["a", "b"], "left_anti"))
+            more, pairs = verified(fresh), pairs.unionByName(fresh)
         if not more.isEmpty():
             links = links.unionByName(more)
             classes = connected(links)
@@ -416,7 +436,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
             left = 0  # leaders find nothing more: compare in blocks
         if last:
             break
-    drop(texts, weights)
+    ids = cut(distinct.select("node", "doc_id", "n_copies"))
+    drop(signed, weights, distinct)
     labelled = ids.join(classes, "node", "left").select("node", "doc_id", "n_copies", F.coalesce("label", "node").alias("label"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).getField("node")
     least = cut(labelled.groupBy("label").agg(F.min("doc_id").alias("class_id"), first.alias("first")))
