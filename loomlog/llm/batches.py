@@ -131,14 +131,26 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Spark's own setting: an execution's shuffle files go when it ends, not when the driver collects garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Folders that ``cut`` has written and nothing has deleted.
 _written: list[str] = []
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df``, computed now and read again as Parquet from the shared folder: lost executors don't lose it."""
+    """``df``, computed now and read again as Parquet from the shared folder: lost executors don't lose it.
+
+    What was shuffled for it is deleted once it is written.
+    """
     path = f"{shared_dir(df.sparkSession)}/loomlog-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEAN_UP)
+    conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(CLEAN_UP, before)
     _written.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.cut_path = path
