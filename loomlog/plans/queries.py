@@ -326,7 +326,7 @@ _ADAPTER = "['ndjson', 'ndjson', 'ndjson', 'xml', 'block', 'line', 'parquet', NU
 _SCORE = "[90, 90, 70, 80, 70, 100, 100, 0][kind + 1]"
 
 
-@query("classify_files", f"""SELECT path, {_ADAPTER} AS adapter, {_SCORE} AS score, CASE WHEN kind IN (0, 6, 7) AND NOT regexp_matches(t, '\S') AND kind <> 6 THEN 'no non-blank line' ELSE '' END AS notes,
+@query("classify_files", rf"""SELECT path, {_ADAPTER} AS adapter, {_SCORE} AS score, CASE WHEN kind IN (0, 6, 7) AND NOT regexp_matches(t, '\S') AND kind <> 6 THEN 'no non-blank line' ELSE '' END AS notes,
   CASE kind WHEN 4 THEN repeat('-', 40) ELSE NULL END AS first_line FROM ({_FILES}) WHERE t <> ''""")
 def classify_files(spark, sf_dir):
     got = detect.classify_files(R.file_heads(spark, sf_dir).filter("length(head) > 0")).join(_with_text(spark, sf_dir), "path")
