@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import bpe, decontaminate, language, licenses, near_dup, pii, quality_model, quality_rules, sharding, toxicity
+from loomlog.llm import bpe, decontaminate, language, licenses, near_dup, periodic, pii, quality_model, quality_rules, sharding, toxicity, urls
+from loomlog.llm.batches import let
 
 N_SHARDS = 40
 
@@ -91,7 +92,35 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_near_dup, op3_quality_model, op4_toxicity, op5_quality_rules, op6_language, op7_licenses, op8_sharding, op9_pii, op10_bpe)}
+def looped(doc_id: Column, text: Column) -> Column:
+    """Every tenth text, by crc32 of its doc_id, made periodic from some word on; the others as they are."""
+    h = F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+    g = F.floor(h / 10).cast("long")
+
+    def loop(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        a = g % n
+        p = F.floor((n - a) / (3 + g % 8)).cast("long") + 1
+        at = F.sequence(F.lit(0).cast("long"), n - 1)
+        return F.array_join(F.transform(at, lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
+
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    return F.when((h % 10 == 0) & text.rlike(r"[^\x20\x09-\x0D]"), let(words, loop)).otherwise(text)
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", looped(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic.periodic_runs(docs, keep=["doc_id"], digest=True)
+    exponent = F.floor(1000 * F.col("length") / F.col("period")).cast("long").alias("exponent_milli")
+    return found.select("doc_id", "n_runs", "start", "length", "period", exponent, F.col("runs").alias("runs_sha256"), F.col("collapsed").alias("collapsed_sha256"))
+
+
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.judge(table(spark, sf_dir, "pages"), keep=["page_id"])
+    return judged.select("__keep.page_id", "host", "path", "rule", "verdict", "n_labelled", "n_bad", "bound")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_near_dup, op3_quality_model, op4_toxicity, op5_quality_rules, op6_language, op7_licenses, op8_sharding, op9_pii, op10_bpe, op12_periodic, op13_urls)}
 
 _OP1_SQL = r"""
 WITH item AS (
@@ -209,4 +238,34 @@ SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coale
 FROM doc LEFT JOIN base USING (rid)"""
 
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": _OP1_SQL, "op5_quality_rules": _op5_sql(), "op7_licenses": _op7_sql(), "op9_pii": _op9_sql()}
+def _op13_sql() -> str:
+    longest = sorted(urls.RULES, key=lambda r: -len(r.host + r.path))
+    fits = [f"(host = '{r.host}' OR host LIKE '%.{r.host}') AND starts_with(path, '{r.path}')" for r in longest]
+    rule, verdict = ("CASE " + " ".join(f"WHEN {f} THEN '{value(r)}'" for f, r in zip(fits, longest, strict=True)) + " END" for value in (lambda r: r.host + r.path, lambda r: r.verdict))
+    double = ", ".join(f"'{s}'" for s in urls.DOUBLE_SUFFIXES)
+
+    def strength(level: str) -> str:
+        v, most = "prior * (1 - prior)", urls.STRONGEST
+        return f"""(SELECT CASE WHEN coalesce(m, 0) = 0 OR coalesce(b, 0) <= 0 THEN {most} ELSE least({most}, greatest({urls.WEAKEST}, m / b - 1)) END FROM (
+          SELECT sum(n * (bad / n - prior) * (bad / n - prior) - {v}) AS b, sum((n - 1) * {v}) AS m FROM {level} WHERE n > 1))"""
+
+    return rf"""
+WITH page AS (SELECT page_id, coalesce(url, '') AS u FROM pages),
+cut AS (SELECT page_id, translate(regexp_extract(u, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(u, '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM page),
+ruled AS (SELECT *, {rule} AS rule, {verdict} AS by_rule FROM cut),
+named AS (SELECT host, count(*) AS n_rows, count(by_rule) AS n, count(*) FILTER (by_rule = 'block') AS bad, string_split(regexp_replace(string_split(host, '@')[-1], ':[0-9]*$', ''), '.') AS l FROM ruled GROUP BY host),
+hosts AS (SELECT host, n_rows, n, bad, array_to_string(list_slice(l, CASE WHEN array_to_string(l[-2:], '.') IN ({double}) THEN -3 ELSE -2 END, -1), '.') AS domain,
+  CASE WHEN array_to_string(l[-2:], '.') IN ({double}) THEN array_to_string(l[-2:], '.') ELSE l[-1] END AS suffix FROM named),
+domains AS (SELECT domain, min(suffix) AS suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY domain),
+l1 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 1) / (sum(n) + 2) FROM domains) AS prior FROM domains GROUP BY suffix),
+p1 AS (SELECT suffix, (bad + k * prior) / (n + k) AS prior FROM l1, (SELECT {strength("l1")} AS k)),
+l2 AS (SELECT domain, n, bad, prior FROM domains JOIN p1 USING (suffix)),
+p2 AS (SELECT domain, (bad + k * prior) / (n + k) AS prior FROM l2, (SELECT {strength("l2")} AS k)),
+l3 AS (SELECT host, n, bad, prior FROM hosts JOIN p2 USING (domain)),
+p3 AS (SELECT host, n, bad, (bad + k * prior) / (n + k) AS mean, k FROM l3, (SELECT {strength("l3")} AS k)),
+known AS (SELECT host, CAST(n AS BIGINT) AS n_labelled, CAST(bad AS BIGINT) AS n_bad, round(mean - {urls.Z} * sqrt(mean * (1 - mean) / (n + k + 1)), 6) AS bound FROM p3)
+SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN bound > {urls.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, n_labelled, n_bad, bound
+FROM ruled JOIN known USING (host)"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": _OP1_SQL, "op5_quality_rules": _op5_sql(), "op7_licenses": _op7_sql(), "op9_pii": _op9_sql(), "op13_urls": _op13_sql()}
