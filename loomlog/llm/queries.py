@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import bpe, decontaminate, language, licenses, near_dup, periodic, pii, quality_model, quality_rules, sharding, toxicity, urls
+from loomlog.llm import alignment, bpe, decontaminate, language, licenses, near_dup, periodic, pii, quality_model, quality_rules, sharding, toxicity, urls
 from loomlog.llm.batches import let
 
 N_SHARDS = 40
@@ -92,6 +92,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    aligned = alignment.align(table(spark, sf_dir, "documents"), *files, public_tokenizers.PATTERN, keep=["doc_id"], digest=True)
+    return aligned.select("__keep.doc_id", *alignment.NUMBERS, "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
 def looped(doc_id: Column, text: Column) -> Column:
     """Every tenth text, by crc32 of its doc_id, made periodic from some word on; the others as they are."""
     h = F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
@@ -120,7 +128,7 @@ def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("__keep.page_id", "host", "path", "rule", "verdict", "n_labelled", "n_bad", "bound")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_near_dup, op3_quality_model, op4_toxicity, op5_quality_rules, op6_language, op7_licenses, op8_sharding, op9_pii, op10_bpe, op12_periodic, op13_urls)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_near_dup, op3_quality_model, op4_toxicity, op5_quality_rules, op6_language, op7_licenses, op8_sharding, op9_pii, op10_bpe, op11_alignment, op12_periodic, op13_urls)}
 
 _OP1_SQL = r"""
 WITH item AS (
