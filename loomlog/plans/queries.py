@@ -15,6 +15,7 @@ from loomlog.operators.predicates import Filter, filters, predicate, preset, sea
 from loomlog.operators.union import source_counts, union_view
 from loomlog.plans import renderings as R
 from loomlog.plans.renderings import table
+from loomlog.sources import loading
 from loomlog.sources.scans import configure, read_decoded_events, read_heads, read_lines, read_ndjson, read_parquet, read_xml_rows
 from loomlog.sources.source_set import SourceSet
 
@@ -491,18 +492,38 @@ def scan_decoded_events(spark, sf_dir):
     return read_decoded_events(spark, path, "E struct<id: long, type: string>")[0].select("E.id", "E.type")
 
 
-@query("file_heads", "SELECT CAST(event_id % 3 AS BIGINT) AS kind, count(*) AS lines FROM events GROUP BY 1")
+_LINE_BYTES = "40 + strlen(['CS', 'DB', 'NET', 'UI'][CAST(event_id % 4 AS INT) + 1]) + strlen(CAST(user_id AS VARCHAR)) + strlen(event_type || ' value ' || CAST(value AS VARCHAR)) + 1"
+
+
+@query("file_heads", f"""SELECT CASE WHEN event_id % 2 = 0 THEN 'line' ELSE 'ndjson' END AS adapter, CAST(sum(CASE WHEN event_id % 2 = 0 THEN {_LINE_BYTES}
+  ELSE strlen('{{"event_id":' || event_id || ',"event_type":"' || event_type || '"}}') + 1 END) AS BIGINT) AS bytes, CAST(512 AS BIGINT) AS head_bytes FROM events GROUP BY 1""")
 def file_heads(spark, sf_dir):
-    """Whole small files by their heads: one folder a kind of content, told apart again by ``classify_files``."""
+    """The first 512 bytes of longer files of two kinds, told apart by them."""
     path = _shared(spark, "landing.d")
-    rows = table(spark, sf_dir, "events")
+    rows = table(spark, sf_dir, "events").coalesce(1)
     json = F.to_json(F.struct("event_id", "event_type"))
-    for kind, text in enumerate((R.line_text("iso-bracket"), json, R.event_xml())):
-        rows.filter(F.col("event_id") % 3 == kind).select(text).write.text(f"{path}/{kind}")
-    heads = read_heads(spark, path, head_bytes=1 << 30).filter("path LIKE '%.txt'")
-    found = detect.classify_files(heads).join(heads.select("path", F.size(F.split(F.decode("head", "UTF-8"), "\n")).alias("n")), "path")
-    kind = F.when(F.col("adapter") == "line", 0).when(F.col("adapter") == "ndjson", 1).when(F.col("adapter") == "xml", 2)
-    return found.groupBy(kind.cast("long").alias("kind")).agg(F.sum(F.col("n") - 1).alias("lines"))
+    for kind, text in enumerate((R.line_text("iso-bracket"), json)):
+        rows.filter(F.col("event_id") % 2 == kind).select(text).write.text(f"{path}/{kind}")
+    heads = read_heads(spark, path, 512)
+    found = detect.classify_files(heads).join(heads.select("path", "size", F.length("head").alias("n")), "path")
+    return found.groupBy("adapter").agg(F.sum("size").alias("bytes"), F.min("n").cast("long").alias("head_bytes"))
+
+
+@query("load_report", """SELECT CAST(user_id % 5 AS BIGINT) AS part, count(*) AS n_lines, count(*) FILTER (event_id % 10 = 3 AND user_id % 5 < 2) AS n_bad,
+  CASE WHEN count(*) FILTER (event_id % 10 = 3 AND user_id % 5 < 2) = 0 THEN sum(event_id) END AS loaded_ids FROM events GROUP BY 1""")
+def load_report(spark, sf_dir):
+    """NDJSON files, some with lines cut short: what is reported of the bad ones, and what the others load."""
+    path = _shared(spark, "landing.d")
+    text = F.to_json(F.struct("event_id", "event_type"))
+    broken = (F.col("event_id") % 10 == 3) & (F.col("user_id") % 5 < 2)
+    rows = table(spark, sf_dir, "events").select(F.when(broken, F.substring(text, F.lit(1), F.length(text) - 2)).otherwise(text).alias("value"), (F.col("user_id") % 5).alias("part"))
+    rows.repartition(5, "part").write.partitionBy("part").text(path)
+    loaded, problems = loading.load_files(spark, path)
+    part = lambda c: F.regexp_extract(c, r"/part=(\d+)/", 1).cast("long").alias("part")
+    counts = [F.regexp_extract("reason", r"^(\d+) of (\d+) lines", i).cast("long") for i in (2, 1)]
+    bad = problems.select(part("path"), counts[0].alias("n_lines"), counts[1].alias("n_bad"), F.lit(None).cast("long").alias("loaded_ids"))
+    good = loaded["ndjson"].groupBy(part("file")).agg(F.count("*").alias("n_lines"), F.lit(0).cast("long").alias("n_bad"), F.sum("event_id").alias("loaded_ids"))
+    return bad.unionByName(good)
 
 
 # --- sources and fields ---------------------------------------------------------

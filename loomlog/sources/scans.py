@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomlog.sources.heads import HeadSource, opened
+
 #: Longer lines are dropped whole.
 MAX_LINE_BYTES = 16 << 20
 
@@ -90,18 +94,21 @@ def read_decoded_events(spark: SparkSession, paths: str | Sequence[str], schema:
     return rows.filter(F.col(bad).isNull()).drop(bad), counts.filter("n_damaged > 0")
 
 
-def read_heads(spark: SparkSession, paths: str | Sequence[str], head_bytes: int = 1 << 20, max_file_bytes: int = 1 << 30) -> DataFrame:
-    """(path, size, mtime, head): the first bytes of every file, for format detection.
+def read_heads(spark: SparkSession, paths: str | Sequence[str], head_bytes: int = 1 << 20) -> DataFrame:
+    """(path, size, mtime, head, problem): the first bytes of every file, empty files too, for format detection.
 
-    Spark reads a file whole to give its first bytes; of files larger than
-    ``max_file_bytes`` the head is null, so that no task has to hold one, and
-    only their names tell their format.  Spark's file scans leave out files
-    without a byte.
+    Only ``head_bytes`` of a file are read (``HeadSource``).  In a store that pyarrow
+    doesn't reach Spark's own reader stands in, which reads files whole and leaves out empty ones.
     """
-    files = configure(spark).read.format("binaryFile").option("recursiveFileLookup", "true").load(paths if isinstance(paths, str) else list(paths))
-    known = [F.col("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime")]
-    held = files.filter(F.col("length") <= max_file_bytes).select(*known, F.substring("content", 1, head_bytes).alias("head"))
-    return held.unionByName(files.filter(F.col("length") > max_file_bytes).select(*known, F.lit(None).cast("binary").alias("head"))).dropDuplicates(["path"])
+    configure(spark).dataSource.register(HeadSource)
+    wanted = [paths] if isinstance(paths, str) else list(paths)
+    try:
+        for path in wanted:
+            opened(path)
+    except (OSError, pa.ArrowException):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(wanted)
+        return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.substring("content", 1, head_bytes).alias("head"), F.lit(None).cast("string").alias("problem"))
+    return spark.read.format("file_heads").option("paths", json.dumps(wanted)).option("head_bytes", head_bytes).load()
 
 
 def unreadable(heads: DataFrame) -> DataFrame:

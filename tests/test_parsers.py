@@ -115,8 +115,6 @@ def test_bad_files_are_reported(spark, tmp_path):
         (tmp_path / name).write_bytes(body)
     heads = scans.read_heads(spark, str(tmp_path))
     assert {r.path.rsplit("/", 1)[1]: r.reason for r in scans.unreadable(heads).collect()} == {"b.parquet": "no Parquet signature", "d.ndjson": "no JSON object", "e.log": "NUL bytes in text"}
-    few = {r.path.rsplit("/", 1)[1]: r.head for r in scans.read_heads(spark, str(tmp_path), max_file_bytes=4).collect()}
-    assert few["a.parquet"] is None and bytes(few["b.parquet"]) == b"junk" and len(few) == 6
 
 
 def test_presentation(spark):
