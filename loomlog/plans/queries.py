@@ -16,8 +16,9 @@ from loomlog.operators.union import source_counts, union_view
 from loomlog.plans import renderings as R
 from loomlog.plans.renderings import table
 from loomlog.sources import loading
-from loomlog.sources.scans import configure, read_decoded_events, read_heads, read_lines, read_ndjson, read_parquet, read_xml_rows
+from loomlog.sources.scans import configure, read_decoded_events, read_heads, read_lines, read_ndjson, read_parquet
 from loomlog.sources.source_set import SourceSet
+from loomlog.sources.xml_splits import read_xml_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}

@@ -59,22 +59,6 @@ def count_overlong(spark: SparkSession, paths: str | Sequence[str], max_bytes: i
     return raw.select(F.col("_metadata.file_path").alias("file"), "value").filter(F.octet_length("value") > max_bytes).groupBy("file").agg(F.count("*").alias("n_overlong"))
 
 
-def read_xml_rows(spark: SparkSession, paths: str | Sequence[str], row: str) -> DataFrame:
-    """(file, xml): the text of each row element, also of documents without a single root.
-
-    The closing tag separates records, so files split like lines do.  Rows
-    without content (``<row a="1"/>``) stand in the record of the next row that
-    has some, so a file of nothing else is one record.
-    """
-    inside = """(?:\\s(?:[^>"'/]|"[^"]*"|'[^']*'|/(?!>))*+)?"""
-    opened, closed = f"<{row}{inside}>", f"<{row}{inside}/>"
-    raw = configure(spark).read.option("lineSep", f"</{row}>").text(paths if isinstance(paths, str) else list(paths))
-    body = F.regexp_extract("value", f"(?s)({opened}.*)$", 1)
-    before = F.regexp_replace("value", f"(?s){opened}.*$", "")
-    whole = F.when(body != "", F.array(F.concat(body, F.lit(f"</{row}>")))).otherwise(F.array().cast("array<string>"))
-    return raw.select(F.col("_metadata.file_path").alias("file"), F.explode(F.concat(F.regexp_extract_all(before, F.lit(closed), F.lit(0)), whole)).alias("xml"))
-
-
 def read_decoded_events(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | str) -> tuple[DataFrame, DataFrame]:
     """(records, damaged) of files with one decoded event record a line.
 

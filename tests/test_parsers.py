@@ -9,6 +9,7 @@ from loomlog.operators.ordered import with_parts
 from loomlog.operators.predicates import predicate
 from loomlog.operators.union import union_view
 from loomlog.sources import scans
+from loomlog.sources.xml_splits import read_xml_rows
 from loomlog.streaming import tail
 from pyspark.sql import functions as F
 
@@ -83,7 +84,7 @@ def test_blocks(spark):
 def test_xml_rows_of_rootless_files(spark, tmp_path):
     row = '<Event type="{t}" time="2024-03-18 06:00:0{i}Z"><V unit="s"> {i} </V><Detail>&lt;x a="1"/&gt;</Detail><L><T>a</T><T>b</T></L><Empty> </Empty></Event>'
     (tmp_path / "a.xml").write_text("\n".join(row.format(t="k", i=i) for i in range(5)) + "\n")
-    got = xmlrows.parse_xml_rows(scans.read_xml_rows(spark, str(tmp_path), "Event"), "Event")
+    got = xmlrows.parse_xml_rows(read_xml_rows(spark, str(tmp_path), "Event"), "Event")
     r = got.orderBy("`@time`").first()
     assert got.count() == 5 and (r["@type"], r["V"], r["V.@unit"], r["Detail"], r["L.T"], r["Empty"]) == ("k", "0", "s", '<x a="1"/>', ["a", "b"], None)
     assert (r["@timestamp"], r["_source_format"]) == ("2024-03-18T06:00:00Z", "xml:Event")
@@ -93,7 +94,7 @@ def test_xml_rows_without_content(spark, tmp_path):
     """Self-closing rows, alone, before others and at the end; slashes and signs in attributes; repeated nested elements."""
     (tmp_path / "a.xml").write_text("<L><E a='1'/><E a='2' b='x/>y'/>\n<E a='3'>t<V k='p'> 1 </V><V><W>q</W></V><V k='r'>2</V></E><EE/><E/><E a='4'><V>z</V></E><E a='5' /></L>")
     (tmp_path / "b.xml").write_text('<E a="6"/>')
-    got = xmlrows.parse_xml_rows(scans.read_xml_rows(spark, str(tmp_path), "E"), "E")
+    got = xmlrows.parse_xml_rows(read_xml_rows(spark, str(tmp_path), "E"), "E")
     rows = {r["@a"]: r for r in got.collect()}
     assert got.count() == 7 and set(rows) == {"1", "2", "3", None, "4", "5", "6"} and rows["2"]["@b"] == "x/>y"
     assert (rows["3"]["V"], rows["3"]["V.@k"], rows["3"]["V.W"]) == (["1", "2"], ["p", "r"], ["q"]) and rows["4"]["V"] == ["z"]
