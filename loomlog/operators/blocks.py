@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomlog.functions.times import iso, parse_layout
 from loomlog.operators.lines import FORMAT, TIMESTAMP, is_blank
-from loomlog.operators.ordered import running_sum
+from loomlog.operators.ordered import running_sums
 from loomlog.operators.rules import BlockRule
 
 
@@ -26,9 +26,7 @@ def block_entries(lines: DataFrame, rule: BlockRule) -> DataFrame:
     value = F.col("value")
     marked = lines.withColumn("__sep", value.rlike(rule.separator))
     marked = marked.withColumn("__key", ~F.col("__sep") & value.rlike(rule.field_pattern))
-    # both counters in one number: records above, keys below
-    numbered = running_sum(marked, F.when(F.col("__sep"), F.lit(1)).otherwise(F.lit(0)), "rid")
-    numbered = running_sum(numbered, F.when(F.col("__key"), F.lit(1)).otherwise(F.lit(0)), "__kid")
+    numbered = running_sums(marked, {"rid": F.col("__sep").cast("long"), "__kid": F.col("__key").cast("long")})
     kept = numbered.filter((F.col("rid") > 0) & ~F.col("__sep") & (F.col("__key") | ~is_blank(value)))
     part = F.struct("part", "seq", F.when(F.col("__key"), F.regexp_extract(value, rule.field_pattern, 2)).otherwise(value).alias("text"))
     fields = kept.groupBy("file", "rid", "__kid").agg(

@@ -1,13 +1,24 @@
 """Line templates inferred per source: which timestamp, which fields, which pattern.
 
-Shapes and tokens are counted over all lines of a source, one row a token position
-(40 at most).  Patterns are written from these rows in columns.
+All lines are looked at in two passes, for the shapes and for the positions of tokens.
+The second one sums up: a task keeps, for each source, one array of counters
+(token position, from the line's beginning and from its timestamp, by kind of token;
+least and greatest text; how timestamps are written) and hands over its few rows,
+which are added up by source.  No token becomes a row.  Patterns are written
+from the sums in columns.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomlog.operators.rules import LineRule, validate
 
@@ -27,7 +38,8 @@ LEVELS = (
     "trace debug dbg info inf notice warn warning wrn error err fatal crit critical severe verbose fine finer finest panic alert emerg"
 ).split()
 
-_TOKEN = r"[ \t]+|\p{Nd}+|[\p{L}_][\p{L}\p{Nd}_]*|."
+_TOKEN = r"[ \t]+|\p{Nd}+|[\p{L}_][\p{L}\p{Nd}_]*|[^\n\r\x85\u2028\u2029]"
+KINDS = ("timestamp", "space", "number", "level", "word", "punct")
 
 
 def timestamp_shapes(lines: DataFrame) -> DataFrame:
@@ -72,43 +84,135 @@ def zone_suffixes(lines: DataFrame, shapes: DataFrame) -> DataFrame:
     return votes.groupBy("source").agg(F.max_by("zone", F.struct("n", "zone")).alias("zone"))
 
 
-def tokens(lines: DataFrame, shapes: DataFrame) -> DataFrame:
-    """(source, line, pos, kind, text): at most MAX_TOKENS of each line, the timestamp whole.
+# --- summaries ------------------------------------------------------------------
 
-    ``lines`` has an id ``line``.  Kinds: timestamp, space, number, level, word, punct.
+#: How timestamps are written: votes of a source.
+STAMP_VOTES = ("between_t", "short", "colon", "zone_colon", "zone_plain")
+SUMMARY = T.StructType(
+    [T.StructField("source", T.StringType()), T.StructField("way", T.StringType()), T.StructField("pos", T.IntegerType()), T.StructField("lines", T.LongType())]
+    + [T.StructField(k, T.LongType()) for k in (*KINDS, *STAMP_VOTES)]
+    + [T.StructField(c, T.StringType()) for c in ("least", "greatest")]
+    + [T.StructField(c, T.IntegerType()) for c in ("most0", "most1")]
+)
+#: Different orders of kinds that a task remembers of a source before it adds them up.
+REMEMBERED = 5000
+
+
+class _Source:
+    """The sums of one source in one task."""
+
+    def __init__(self, shape: str):
+        self.stamp = regex.compile(dict(SHAPES)[shape], regex.ASCII).search
+        self.dated = shape in ("dmy-dash", "dmy-dot")
+        self.orders: Counter = Counter()  # (kinds of a line's tokens, place of the timestamp): lines
+        self.counts = {w: [[0] * len(KINDS) for _ in range(MAX_TOKENS)] for w in ("line", "timestamp")}
+        self.texts: dict[str, list] = {w: [None] * MAX_TOKENS for w in ("line", "timestamp")}
+        self.votes, self.most, self.stamped = [0] * len(STAMP_VOTES), [None, None], 0
+
+    def add(self, value: str, kinds: dict[str, int]) -> None:
+        found = self.stamp(value)
+        if found:
+            lo, hi = found.span()
+            before = _SPLIT(value[:lo])[:MAX_TOKENS]
+            words, at = (before + [value[lo:hi], *_SPLIT(value[hi:])])[:MAX_TOKENS], len(before)
+            self._stamp(value[lo:hi])
+        else:
+            words, at = _SPLIT(value)[:MAX_TOKENS], MAX_TOKENS
+        order = [kinds[w] if w in kinds else _kind(w, kinds) for w in words]
+        if at < len(order):
+            order[at] = 0
+        self.orders[bytes(order), at] += 1
+        if len(self.orders) > REMEMBERED:
+            self._settle()
+        for texts, some in ((self.texts["line"], words), (self.texts["timestamp"], words[at:])):
+            for i, w in enumerate(some):
+                held = texts[i]
+                if held is None:
+                    texts[i] = (w, w)
+                elif w < held[0]:
+                    texts[i] = (w, held[1])
+                elif w > held[1]:
+                    texts[i] = (held[0], w)
+
+    def _stamp(self, ts: str) -> None:
+        self.stamped += 1
+        for i, rule in enumerate(_VOTES):
+            self.votes[i] += rule(ts) is not None
+        if self.dated:
+            for i, at in enumerate((0, 3)):
+                if (part := ts[at : at + 2]).isascii() and part.isdigit():
+                    self.most[i] = max(self.most[i] or 0, int(part))
+
+    def _settle(self) -> None:
+        for (order, at), n in self.orders.items():
+            for way, kinds in (("line", order), ("timestamp", order[at:])):
+                counts = self.counts[way]
+                for i, k in enumerate(kinds):
+                    counts[i][k] += n
+        self.orders.clear()
+
+    def rows(self, source: str) -> Iterator[tuple]:
+        self._settle()
+        none = [0] * len(STAMP_VOTES)
+        for way, counts in self.counts.items():
+            for pos, (by_kind, texts) in enumerate(zip(counts, self.texts[way], strict=True)):
+                if texts is not None:
+                    yield source, way, pos, sum(by_kind), *by_kind, *none, *texts, None, None
+        yield source, "stamp", -1, self.stamped, *[0] * len(KINDS), *self.votes, None, None, *self.most
+
+
+_SPLIT = regex.compile(_TOKEN).findall
+_VOTES = [regex.compile(p, regex.ASCII).search for p in (r"^[\d./-]{8,10}T", r"^\d{2}\.\d{2}\.\d{2}[T ]", r"\d{2}:\d{2}:\d{2}:\d+$", r"(Z|[+-]\d{2}:\d{2})$", r"\d{2}[+-]\d{4}$")]
+_LETTER, _DIGIT = regex.compile(r"[\p{L}_]").match, regex.compile(r"\p{Nd}").match
+
+
+def _kind(word: str, known: dict[str, int]) -> int:
+    kind = 1 if word[0] in " \t" else 2 if _DIGIT(word) else 3 if word.lower() in LEVELS else 4 if _LETTER(word) else 5
+    if len(known) < 100_000:
+        known[word] = kind
+    return kind
+
+
+def summaries(lines: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Sums of ``lines`` (source, value) by (source, way, pos): SUMMARY.
+
+    way line: positions from a line's beginning; timestamp: from its timestamp, lines
+    without one left out; stamp (one row): how timestamps are written and, in most0 and
+    most1, the greatest of the two parts that a date of unknown order begins with.
+    Sources without a shape are left out.
     """
-    held = matched(lines, shapes)
-    at = F.when(F.col("ts") != "", F.instr("value", F.col("ts"))).otherwise(0)
-    before = F.when(at > 0, F.substring("value", F.lit(1), at - 1)).otherwise(F.col("value"))
-    after = F.when(at > 0, F.substring("value", at + F.length("ts"), F.length("value"))).otherwise(F.lit(""))
+    held = lines.join(shapes.filter("shape IS NOT NULL").select("source", "shape"), "source").select("source", "shape", F.col("value").cast("string"))
+    arrow = to_arrow_schema(SUMMARY)
 
-    def split(text: Column) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), lambda t: F.struct(kind(t).alias("kind"), t.alias("text")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sources, kinds = {}, {}
+        for batch in batches:
+            for source, shape, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if source not in sources:
+                    sources[source] = _Source(shape)
+                if value is not None:
+                    sources[source].add(value, kinds)
+        rows = [row for name, source in sources.items() for row in source.rows(name)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
-    def kind(t: Column) -> Column:
-        word = F.when(F.lower(t).isin(LEVELS), F.lit("level")).otherwise(F.lit("word"))
-        return F.when(t.rlike(r"^[ \t]"), F.lit("space")).when(t.rlike(r"^\p{Nd}"), F.lit("number")).when(t.rlike(r"^[\p{L}_]"), word).otherwise(F.lit("punct"))
+    sums = [F.sum(c).alias(c) for c in ("lines", *KINDS, *STAMP_VOTES)]
+    most = [F.min("least").alias("least"), *[F.max(c).alias(c) for c in ("greatest", "most0", "most1")]]
+    return held.mapInArrow(run, SUMMARY).groupBy("source", "way", "pos").agg(*sums, *most)
 
-    stamp = F.when(at > 0, F.array(F.struct(F.lit("timestamp").alias("kind"), F.col("ts").alias("text")))).otherwise(F.array().cast("array<struct<kind:string,text:string>>"))
-    all_ = F.slice(F.concat(split(before), stamp, split(after)), 1, MAX_TOKENS)
-    return held.select("source", "line", F.posexplode(all_).alias("pos", "t")).select("source", "line", "pos", "t.kind", "t.text")
 
+def _positions(summed: DataFrame, way: str) -> DataFrame:
+    return summed.filter(F.col("way") == way).select("source", "pos", "lines", *KINDS, "least", "greatest")
 
-def _counted(found: DataFrame, place: str) -> DataFrame:
-    kinds = [F.count_if(F.col("kind") == k).alias(k) for k in ("timestamp", "space", "number", "level", "word", "punct")]
-    return found.groupBy("source", place).agg(F.count("*").alias("lines"), *kinds, F.min("text").alias("least"), F.max("text").alias("greatest"))
 
+def token_positions(lines: DataFrame, shapes: DataFrame) -> DataFrame:
+    """(source, pos, lines, count of each kind, least and greatest text), at most MAX_TOKENS positions of a source."""
+    return _positions(summaries(lines, shapes), "line")
 
-def token_positions(found: DataFrame) -> DataFrame:
-    """(source, pos, lines, count of each kind, least and greatest text): partial counts, then one row a position."""
-    return _counted(found, "pos")
 
-
-def aligned_positions(found: DataFrame) -> DataFrame:
+def aligned_positions(lines: DataFrame, shapes: DataFrame) -> DataFrame:
     """As ``token_positions``, counted from each line's timestamp; lines without one are left out."""
-    stamps = found.filter("kind = 'timestamp'").select("source", "line", F.col("pos").alias("ts_pos"))
-    moved = found.join(stamps, ["source", "line"]).filter(F.col("pos") >= F.col("ts_pos")).withColumn("rel", F.col("pos") - F.col("ts_pos"))
-    return _counted(moved, "rel").withColumnRenamed("rel", "pos")
+    return _positions(summaries(lines, shapes), "timestamp")
 
 
 # --- patterns -------------------------------------------------------------------
@@ -190,20 +294,20 @@ def patterns(positions: DataFrame, shapes: DataFrame) -> DataFrame:
     return joined.filter("dated").select("source", "way", F.concat(start, F.array_join(F.transform("x", lambda x: x["piece"]), ""), F.lit("(?P<message>.*)$")).alias("pattern"))
 
 
-def stamp_facts(lines: DataFrame, shapes: DataFrame) -> DataFrame:
+def stamp_facts(summed: DataFrame, shapes: DataFrame) -> DataFrame:
     """(source, ts_layout, ts_regex_subs, ts_use_mtime_date, ts_use_mtime_year, ambiguous): how a source's timestamps read.
 
     What stands between date and time, the digits of the year, a colon before the
     fraction and the zone are what most timestamps of the source have; day or
-    month first is told by the parts over 12.
+    month first is told by the parts over 12.  ``summed``: as ``summaries`` gives.
     """
-    ts = F.col("ts")
-    between = F.when(ts.rlike(r"^[\d./-]{8,10}T"), F.lit("T")).otherwise(F.lit(" "))
-    parts = _day_parts(ts)
-    facts = matched(lines, shapes).filter(ts != "").groupBy("source", "shape").agg(
-        F.mode(between, True).alias("between"), F.mode(ts.rlike(r"^\d{2}\.\d{2}\.\d{2}[T ]"), True).alias("short"), F.mode(ts.rlike(r"\d{2}:\d{2}:\d{2}:\d+$"), True).alias("colon"),
-        F.mode(_zone(ts), True).alias("zone"), *[F.max(c).alias(f"most{i}") for i, c in enumerate(parts)],
-    ).select("*", *_order(F.col("most0"), F.col("most1")))
+    mostly = lambda c: 2 * F.col(c) > F.col("lines")
+    plain = F.col("lines") - F.col("zone_colon") - F.col("zone_plain")
+    zone = F.when((plain >= F.col("zone_colon")) & (plain >= F.col("zone_plain")), F.lit("")).when(F.col("zone_plain") >= F.col("zone_colon"), F.lit("Z0700")).otherwise(F.lit("Z07:00"))
+    facts = summed.filter("way = 'stamp' AND lines > 0").join(shapes.select("source", "shape"), "source").select(
+        "source", "shape", F.when(mostly("between_t"), F.lit("T")).otherwise(F.lit(" ")).alias("between"), mostly("short").alias("short"), mostly("colon").alias("colon"),
+        zone.alias("zone"), *_order(F.col("most0"), F.col("most1")),
+    )
     first = F.when(F.col("order") == "month-first", F.lit("01")).otherwise(F.lit("02"))
     second = F.when(F.col("order") == "month-first", F.lit("02")).otherwise(F.lit("01"))
     time = F.lit("15:04:05")
@@ -225,20 +329,25 @@ def stamp_facts(lines: DataFrame, shapes: DataFrame) -> DataFrame:
 
 
 def templates(lines: DataFrame) -> DataFrame:
-    """One inferred line rule a source: source, shape, pattern, aligned_on and the columns of ``stamp_facts``.
+    """One inferred line rule a source: source, shape, pattern, aligned_on, the columns of ``stamp_facts`` and warnings.
 
     aligned_on: line (positions from the line's beginning agree), timestamp (the
     text before it is skipped), or none (only the timestamp could be placed).
-    Sources in which half the lines have no timestamp are left out.
+    warnings, in this order: ``no date`` and ``no year`` (taken from the file), ``day or month
+    first``, ``prefix skipped``, ``fields not told apart``.  Sources in which half the
+    lines have no timestamp are left out.  The sums, at most 81 rows a source, come to the driver.
     """
-    shapes = timestamp_shapes(lines).filter("shape IS NOT NULL")
-    found = tokens(lines, shapes)
-    both = token_positions(found).withColumn("way", F.lit("line")).unionByName(aligned_positions(found).withColumn("way", F.lit("timestamp")))
+    spark, shapes = lines.sparkSession, timestamp_shapes(lines).filter("shape IS NOT NULL")
+    shapes = spark.createDataFrame(shapes.collect(), shapes.schema)
+    summed = summaries(lines, shapes)
+    summed = spark.createDataFrame(summed.collect(), summed.schema)
+    both = summed.filter("way <> 'stamp'")
     written = patterns(both, shapes).groupBy("source").agg(*[F.max(F.when(F.col("way") == w, F.col("pattern"))).alias(w) for w in ("line", "timestamp")])
     bare = F.concat(F.lit("^.*?(?P<ts>"), F.coalesce(*[F.when(F.col("shape") == n, F.lit(p)) for n, p in SHAPES]), F.lit(r")\s*(?P<message>.*)$"))
     way = F.when(F.col("line").isNotNull(), F.lit("line")).when(F.col("timestamp").isNotNull(), F.lit("timestamp")).otherwise(F.lit("none"))
     out = shapes.join(written, "source", "left").select("source", "shape", F.coalesce("line", "timestamp", bare).alias("pattern"), way.alias("aligned_on"))
-    return out.join(stamp_facts(lines, shapes), "source")
+    warnings = (("no date", F.col("ts_use_mtime_date")), ("no year", F.col("ts_use_mtime_year")), ("day or month first", F.col("ambiguous")), ("prefix skipped", F.col("aligned_on") != "line"), ("fields not told apart", F.col("aligned_on") == "none"))
+    return out.join(stamp_facts(summed, shapes), "source").withColumn("warnings", F.array_compact(F.array(*[F.when(c, F.lit(w)) for w, c in warnings])))
 
 
 def line_rules(found: DataFrame, priority: int = 50) -> dict[str, LineRule]:

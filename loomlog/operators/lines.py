@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from loomlog.functions.fields import named
 from loomlog.functions.times import iso, parse_layout
-from loomlog.operators.ordered import running_rollovers, running_sum
+from loomlog.operators.ordered import running_rollovers, running_sum, running_sums
 from loomlog.operators.rules import LineRule
 
 TIMESTAMP, FORMAT = "@timestamp", "_source_format"
 DAY = 86_400_000_000
+#: Bytes of a piece of a record that is folded in pieces.
+PIECE_BYTES = 8 << 20
 
 
 def captures(line: Column, rule: LineRule) -> dict[str, Column]:
@@ -105,6 +107,32 @@ def fold_records(lines: DataFrame, rule: LineRule) -> DataFrame:
     return _dated(rows, rule).withColumn(FORMAT, F.lit(f"line:{rule.name}"))
 
 
+def fold_in_pieces(lines: DataFrame, rule: LineRule, piece_bytes: int = PIECE_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(records, pieces) as ``fold_records``, for records of any size.
+
+    records: the header line parsed alone, with n_more (lines that continue it) and
+    n_bytes (of them).  pieces: (file, head_part, head_seq, piece, text) of these
+    lines, each of ``piece_bytes`` and a line at most; the message of a record is its own,
+    and then its pieces in order, with line ends between.
+
+    Lines are dealt by a running sum of bytes, so a record that is most of a file is
+    put together by as many tasks as it has pieces, and nothing is joined on it.
+    """
+    value = F.col("value")
+    marked = lines.withColumn("__head", is_header(value, rule))
+    size = F.when(~F.col("__head") & ~is_blank(value), F.octet_length(value) + 1).otherwise(0)
+    numbered = running_sums(marked, {"__rid": F.col("__head").cast("long"), "__at": size.cast("long")}).filter(F.col("__rid") > 0)
+    more = numbered.filter(~F.col("__head") & ~is_blank(value)).withColumn("__piece", F.floor(F.col("__at") / piece_bytes))
+    held = more.groupBy("file", "__rid", "__piece").agg(F.array_sort(F.collect_list(F.struct("part", "seq", "value"))).alias("x"), F.count("*").alias("n"), F.sum(F.octet_length(value) + 1).alias("bytes"))
+    heads = numbered.filter("__head")
+    places = heads.select("file", "__rid", F.col("part").alias("head_part"), F.col("seq").alias("head_seq"))
+    texts = held.select("file", "__rid", F.col("__piece").alias("piece"), F.array_join(F.transform("x", lambda x: x["value"]), "\n").alias("text"))
+    pieces = texts.join(places, ["file", "__rid"]).select("file", "head_part", "head_seq", "piece", "text")
+    sums = held.groupBy("file", "__rid").agg(F.sum("n").alias("n_more"), F.sum("bytes").alias("n_bytes"))
+    counted = heads.join(sums, ["file", "__rid"], "left").select(*lines.columns, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_more", "n_bytes")])
+    return parse_records(counted, rule), pieces
+
+
 def choose_rule(lines: DataFrame, rules: tuple[LineRule, ...], sample_lines: int = 200) -> DataFrame:
     """(file, rule): the rule of highest priority that matches one of the first non-blank lines, first in order on ties."""
     some = lines.filter(~is_blank(F.col("value")))

@@ -19,15 +19,21 @@ def with_parts(lines: DataFrame, lines_per_part: int = PART_LINES) -> DataFrame:
     return lines.withColumn("part", F.floor(F.col("seq") / lines_per_part).cast("long"))
 
 
-def running_sum(lines: DataFrame, value: Column, name: str, file: str = "file") -> DataFrame:
-    """``lines`` with the sum of ``value`` over this line and all before it in its file."""
-    held = lines.withColumn("__v", value.cast("long"))
-    sums = held.groupBy(file, "part").agg(F.sum("__v").alias("__sum"))
+def running_sums(lines: DataFrame, values: dict[str, Column], file: str = "file") -> DataFrame:
+    """``lines`` with the sums of ``values`` (name: value) over this line and all before it in its file, in one pass."""
+    held = lines.withColumns({f"__v_{n}": v.cast("long") for n, v in values.items()})
+    sums = held.groupBy(file, "part").agg(*[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in values])
     before = Window.partitionBy(file).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(file, "part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__from"))
+    offsets = sums.select(file, "part", *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__s_{n}") for n in values])
     inside = Window.partitionBy(file, "part").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = held.withColumn("__local", F.sum("__v").over(inside))
-    return local.join(offsets, [file, "part"]).withColumn(name, F.col("__from") + F.col("__local")).drop("__v", "__local", "__from")
+    local = held.withColumns({f"__v_{n}": F.sum(f"__v_{n}").over(inside) for n in values})
+    joined = local.join(offsets, [file, "part"]).withColumns({n: F.col(f"__s_{n}") + F.col(f"__v_{n}") for n in values})
+    return joined.drop(*[f"__{x}_{n}" for n in values for x in "vs"])
+
+
+def running_sum(lines: DataFrame, value: Column, name: str, file: str = "file") -> DataFrame:
+    """``lines`` with the sum of ``value`` over this line and all before it in its file."""
+    return running_sums(lines, {name: value}, file)
 
 
 def running_rollovers(lines: DataFrame, micros: Column, name: str, file: str = "file") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomlog.functions.fields import list_fields, pick_timestamp_field, resolve
 from loomlog.functions.times import WIDTHS, present
-from loomlog.operators import blocks, detect, event_records, export, histogram, infer, lines, pages, profile, rules, xmlrows
+from loomlog.operators import blocks, detect, event_records, export, heavy, histogram, infer, jump, lines, pages, profile, rules, xmlrows
 from loomlog.operators.predicates import Filter, filters, predicate, preset, search
 from loomlog.operators.union import source_counts, union_view
 from loomlog.plans import renderings as R
@@ -410,12 +410,40 @@ def _tokens_sql() -> str:
 @query("token_positions", _tokens_sql())
 def token_positions(spark, sf_dir):
     rows = R.shape_lines(spark, sf_dir)
-    return infer.token_positions(infer.tokens(rows, infer.timestamp_shapes(rows)))
+    return infer.token_positions(rows, infer.timestamp_shapes(rows))
 
 
-@query("infer_templates")
+#: What is inferred from ``shape_lines``: source, shape, the pattern after its beginning, layout, warnings.
+_TEMPLATES = (
+    ("iso-bracket", "iso", "^", r"\s+\[(?P<level>[A-Za-z]+)\]\s+\[(?P<field1>[^\s\]]+)\]\s+\[PID\:(?P<pid>\d+)\]\s+", "2006-01-02 15:04:05", ""),
+    ("dashdate-level", "dmy-dash", "^", r"\s+(?P<level>[A-Za-z]+)\s+", "02-01-2006 15:04:05", ""),
+    ("dotdate-pidtid", "dmy-dot", r"^app\.(?P<field1>[^\s\:]+)\:\s+", r"\s+(?P<field2>\d+)\/(?P<field3>\d+)\s+", "02.01.06 15:04:05", ""),
+    ("time-pidtid", "time-only", "^", r"\s+(?P<field1>\d+)\/(?P<field2>\d+)\s+(?P<level>[A-Za-z]+)\s+", "15:04:05", "no date"),
+    ("time-dotdate", "time-only", "^", r"\s+(?P<field1>[\d.]+)\:\s+", "15:04:05", "no date"),
+    ("syslog", "syslog", "^", r"\s+", "Jan _2 15:04:05", "no year"),
+)
+
+
+def _templates_sql() -> str:
+    rows = ", ".join(f"('{n}', '{shape}', '{before}(?P<ts>{dict(infer.SHAPES)[shape]}){after}(?P<message>.*)$', 'line', '{layout}', '{warning}')" for n, shape, before, after, layout, warning in _TEMPLATES)
+    return f"WITH {_SHAPE_TABLE} SELECT t.* FROM (VALUES {rows}) AS t(source, shape, pattern, aligned_on, ts_layout, warnings) JOIN shapes ON shapes.source = t.source AND shapes.shape = t.shape"
+
+
+@query("infer_templates", _templates_sql())
 def infer_templates(spark, sf_dir):
-    return infer.templates(R.shape_lines(spark, sf_dir))
+    return infer.templates(R.shape_lines(spark, sf_dir)).select("source", "shape", "pattern", "aligned_on", "ts_layout", F.array_join("warnings", ",").alias("warnings"))
+
+
+@query("zoned_lines_parse", f"SELECT event_id, ['utc', 'colon', 'plain'][CAST(event_id % 3 AS INT) + 1] AS source, {_LEVEL}, {_MESSAGE}, {_MS} AS ts, CASE event_id % 3 WHEN 0 THEN 'Z07:00' WHEN 1 THEN 'Z07:00' ELSE 'Z0700' END AS zone FROM events")
+def zoned_lines_parse(spark, sf_dir):
+    """Timestamps with three spellings of a zone: each source's rule inferred, and its lines parsed by it."""
+    rows = R.zoned_lines(spark, sf_dir)
+    out = None
+    for name, rule in infer.line_rules(infer.templates(rows)).items():
+        got = lines.parse_records(rows.filter(F.col("source") == name), rule)
+        got = got.select(F.col("line").alias("event_id"), "source", "level", "message", F.col("`@timestamp`").alias("ts"), F.lit(rule.ts_layout.split("05")[-1]).alias("zone"))
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 @query("inferred_rules_parse", f"""WITH l AS (SELECT {_NAMES} AS source, day(ts) AS d, ts FROM events)
@@ -527,6 +555,46 @@ def load_report(spark, sf_dir):
     return bad.unionByName(good)
 
 
+@query("heavy_words", r"""SELECT value, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS value FROM documents) GROUP BY value ORDER BY n DESC, value LIMIT 50""")
+def heavy_words(spark, sf_dir):
+    """The most frequent words of all documents, without a shuffle of all words."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("word"))
+    return heavy.heavy_hitters(words, "word", 50)
+
+
+@query("heavy_uniform", "SELECT CAST(l_partkey AS VARCHAR) AS value, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, value LIMIT 20")
+def heavy_uniform(spark, sf_dir):
+    """A field of values about as frequent as each other, in which summaries of 64 values prove nothing."""
+    return heavy.heavy_hitters(table(spark, sf_dir, "lineitem"), "l_partkey", 20, held=64)
+
+
+def _deep_sql(table_: str, order: str, columns: str) -> str:
+    return f"SELECT {columns} FROM (SELECT *, row_number() OVER (ORDER BY {order}) AS nth, count(*) OVER () AS total FROM {table_}) WHERE nth > total * 9 // 10 AND nth <= total * 9 // 10 + 100"
+
+
+@query("deep_page", _deep_sql("lineitem", "l_extendedprice, l_orderkey, l_linenumber", "l_orderkey, l_linenumber, l_extendedprice"))
+def deep_page(spark, sf_dir):
+    """A hundred rows at nine tenths of a sorted table: ranges are counted, one is sorted."""
+    rows = table(spark, sf_dir, "lineitem")
+    return jump.jump_page(rows, "l_extendedprice", limit=100, offset=rows.count() * 9 // 10, ties=["l_orderkey", "l_linenumber"], few=2000).select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+@query("deep_page_descending", _deep_sql("events", "ts DESC NULLS LAST, event_id", "event_id, event_type"))
+def deep_page_descending(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    return jump.jump_page(rows, "ts", True, 100, rows.count() * 9 // 10, ["event_id"], few=1000).select("event_id", "event_type")
+
+
+@query("fold_in_pieces", """SELECT doc_id, count(*) - 1 AS n_more, sum(strlen(l) + 1) - min(CASE WHEN nth = 1 THEN strlen(l) + 1 END) AS n_bytes, sha256(string_agg(l, chr(10) ORDER BY nth) FILTER (nth > 1)) AS text_sha256
+  FROM (SELECT doc_id, l, nth FROM (SELECT doc_id, unnest(list_prepend('head', string_split(coalesce(text, ''), chr(10)))) AS l, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 2)) AS nth FROM documents) WHERE nth = 1 OR regexp_matches(l, '\\S')) GROUP BY doc_id""")
+def fold_in_pieces(spark, sf_dir):
+    """Documents' lines behind a header line each, folded in pieces of 500 bytes and put together for comparison."""
+    records, pieces = lines.fold_in_pieces(R.document_lines(spark, sf_dir), rules.LINE_RULES[0], 500)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "text"))), lambda x: x["text"]), "\n")
+    joined = pieces.groupBy("file", F.col("head_seq").alias("seq")).agg(F.sha2(text, 256).alias("text_sha256"))
+    return records.join(joined, ["file", "seq"], "left").select(F.col("pid").cast("long").alias("doc_id"), "n_more", "n_bytes", "text_sha256")
+
+
 # --- sources and fields ---------------------------------------------------------
 
 

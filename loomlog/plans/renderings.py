@@ -133,3 +133,13 @@ def shape_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("iso-bracket", "dashdate-level", "dotdate-pidtid", "time-pidtid", "time-dotdate", "syslog")
     value = F.coalesce(*[F.when(key % 6 == i, line_text(n)) for i, n in enumerate(names)])
     return table(spark, sf_dir, "events").select(pick(key, names).alias("source"), key.alias("line"), value.alias("value"))
+
+
+def zoned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file, part, seq, mtime, source, line, value: iso timestamps that end in Z, +02:00 or +0200, one source each."""
+    key = F.col("event_id")
+    local = F.date_format(F.timestamp_add("HOUR", F.lit(2), F.col("ts")), "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    stamp = F.when(key % 3 == 0, F.concat(_at("yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))).when(key % 3 == 1, F.concat(local, F.lit("+02:00"))).otherwise(F.concat(local, F.lit("+0200")))
+    source = pick(key, ("utc", "colon", "plain"))
+    lines = table(spark, sf_dir, "events").select(source.alias("file"), key.alias("seq"), F.lit(MTIME).cast("timestamp").alias("mtime"), source.alias("source"), key.alias("line"), F.concat(stamp, F.lit(" "), pick(key, LEVELS), F.lit(" "), message()).alias("value"))
+    return with_parts(lines, LINES_PER_PART)
