@@ -9,7 +9,8 @@ are leftmost and do not overlap within a kind; one that fails its check is
 dropped and its characters are not searched again.  Everything is built-in
 functions over one row: no shuffle, no user function.
 
-Offsets come from the pieces that ``split`` leaves between matches.  The
+Offsets come from the pieces that ``split`` leaves between matches, added up in
+blocks, so time grows with the text and its spans, not with their product.  The
 patterns are written so that none backtracks over a long run: a match can only
 begin where a run of its first character class does.
 
@@ -19,6 +20,8 @@ repeated spans; other columns play no part.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +62,9 @@ LOWERING = "example|sample|dummy|fake|test|invalid|invoice no|order no|serial|pa
 RAISE, LOWER, BEFORE, AFTER = 0.1, 0.3, 40, 20
 #: Added kinds with a lower score are left out.
 LEAST = 0.5
+#: Values of a block whose running values are folded together, and code points of a chunk of text.
+BLOCK, CHUNK = 256, 2048
+FAR = 2**31 - 1
 
 
 def _luhn(digits: Column) -> Column:
@@ -92,9 +98,52 @@ def _confirmed(kind: str, m: Column) -> Column:
     return F.when(F.length(plain).between(15, 34), _mod97(plain)).otherwise(F.lit(False))
 
 
-def _score(kind: str, text: Column, start: Column, end: Column) -> Column:
-    begin = F.greatest(start - BEFORE, F.lit(0))
-    before, after = F.lower(F.substring(text, begin + 1, start - begin)), F.lower(F.substring(text, end + 1, F.lit(AFTER)))
+# --- long texts -----------------------------------------------------------------
+#
+# A text with many spans takes time in proportion to both: running values are
+# folded in blocks (a list that grows is copied at each step), and pieces of text come from
+# CHUNK-wide chunks (a substring walks the text from its begin).
+
+
+def prefix(values: Column, add: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """For each of ``values`` what ``add`` makes of all before it; ``add`` is associative."""
+    none = F.array().cast("array<int>")
+
+    def running(items: Column, start: Column) -> Column:
+        step = lambda acc, x: F.struct(add(acc["at"], x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+        return F.aggregate(items, F.struct(start.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def in_blocks(v: Column) -> Column:
+        places = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int"))
+        blocks = F.transform(places, lambda k: F.slice(v, k * BLOCK + 1, BLOCK))
+        return let(blocks, lambda b: F.flatten(F.zip_with(b, running(F.transform(b, lambda x: F.aggregate(x, zero, add)), zero), running)))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, in_blocks(v)).otherwise(none))
+
+
+def _greatest(x: Column, y: Column) -> Column:
+    return F.greatest(x, y)
+
+
+def _least(x: Column, y: Column) -> Column:
+    return F.least(x, y)
+
+
+def chunks_of(text: Column) -> Column:
+    """The text in chunks of CHUNK code points."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def cut_out(chunks: Column, start: Column, end: Column) -> Column:
+    """Code points ``start`` to ``end`` of a text in chunks."""
+    first, last = F.floor(start / CHUNK).cast("int"), F.floor(end / CHUNK).cast("int")
+    head = F.coalesce(F.substring(F.get(chunks, first), start % CHUNK + 1, F.least(end - start, F.lit(CHUNK))), F.lit(""))
+    tail = F.coalesce(F.substring(F.get(chunks, last), F.lit(1), end % CHUNK), F.lit(""))
+    return F.when(first == last, head).otherwise(F.concat(head, F.array_join(F.slice(chunks, first + 2, last - first - 1), ""), tail))
+
+
+def _score(kind: str, chunks: Column, start: Column, end: Column) -> Column:
+    before, after = F.lower(cut_out(chunks, F.greatest(start - BEFORE, F.lit(0)), start)), F.lower(cut_out(chunks, end, end + AFTER))
 
     def near(words: str, change: float) -> Column:
         found = rf"(?:^|[^\p{{L}}])(?:{words})(?:[^\p{{L}}]|$)"
@@ -112,33 +161,40 @@ def _spans(kind: str, text: Column, pattern: str | None = None) -> Column:
     empty = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
     pattern = pattern or PATTERNS[kind]
 
-    def counts(match: Column, score: Column) -> Column:
-        return _confirmed(kind, match) if kind in BASE_KINDS else _confirmed(kind, match) & (score >= LEAST)
+    def placed(m: Column, g: Column) -> Column:
+        steps = F.zip_with(F.slice(g, 1, F.size(m)), m, lambda gap, match: F.length(gap) + F.length(match))
+        each = lambda at, i: F.struct((at + F.length(F.get(g, i))).alias("start"), F.get(m, i).alias("match"))
+        return F.filter(F.transform(prefix(steps, lambda x, y: x + y, F.lit(0)), each), lambda x: _confirmed(kind, x["match"]))
 
-    def folded(m: Column, g: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            match = F.get(m, i)
-            start = acc["at"] + F.length(F.get(g, i))
-            end = start + F.length(match)
-            score = _score(kind, text, start, end)
-            span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score"))
-            return F.struct(end.alias("at"), F.when(counts(match, score), F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    def scored(found: Column) -> Column:
+        def span(c: Column, x: Column) -> Column:
+            end = x["start"] + F.length(x["match"])
+            return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), end.alias("end"), _score(kind, c, x["start"], end).alias("score"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
+        return let(found, lambda f: F.when(F.size(f) > 0, let(chunks_of(text), lambda c: F.transform(f, lambda x: span(c, x)))))
 
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     if kind in NEEDS:
         found = F.when(F.contains(text, F.lit(NEEDS[kind])), found)
-    some = let(found, lambda m: F.when(F.size(m) > 0, let(F.split(text, pattern), lambda g: folded(m, g))))
-    return F.coalesce(some, empty)
+    some = let(found, lambda m: F.when(F.size(m) > 0, let(F.split(text, pattern), lambda g: scored(placed(m, g)))))
+    some = F.coalesce(some, empty)
+    return some if kind in BASE_KINDS else F.filter(some, lambda s: s["score"] >= LEAST)
 
 
 def _accounts(text: Column) -> Column:
     """Numbers of their country's length, and those of the open pattern that overlap none of these."""
 
     def both(sure: Column) -> Column:
-        apart = lambda g: ~F.exists(sure, lambda s: (s["start"] < g["end"]) & (g["start"] < s["end"]))
-        return F.array_sort(F.concat(sure, F.filter(_spans("iban", text), apart)))
+        tagged = lambda spans, open_: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(open_).alias("open"), s.alias("span")))
+        ordered = F.array_sort(F.concat(tagged(sure, False), tagged(_spans("iban", text), True)))
+        return F.when(F.size(sure) > 0, let(ordered, apart)).otherwise(_spans("iban", text))
+
+    def apart(o: Column) -> Column:
+        before = prefix(F.transform(o, lambda x: F.when(x["open"], 0).otherwise(x["span"]["end"])), _greatest, F.lit(0))
+        after = prefix(F.reverse(F.transform(o, lambda x: F.when(x["open"], FAR).otherwise(x["start"]))), _least, F.lit(FAR))
+        free = lambda b, a, x: ~x["open"] | ((F.get(b, x["nth"]) <= x["start"]) & (F.get(a, F.size(a) - 1 - x["nth"]) >= x["span"]["end"]))
+        numbered = F.transform(o, lambda x, i: F.struct(x["start"].alias("start"), x["open"].alias("open"), x["span"].alias("span"), i.alias("nth")))
+        return let(before, lambda b: let(after, lambda a: F.transform(F.filter(numbered, lambda x: free(b, a, x)), lambda x: x["span"])))
 
     return let(_spans("iban", text, IBAN_OF_LENGTH), both)
 
@@ -157,15 +213,15 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars")
     """
     found = find_pii(docs, docs.columns, text)
     t = F.col("__t")
+    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(t, acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    def clean_text(o: Column, upto: Column, c: Column) -> Column:
+        """What stands before each span that begins behind all before it, and its name."""
+        fresh = F.filter(F.zip_with(o, upto, lambda s, at: F.struct(at.alias("at"), s["start"].alias("start"), s["kind"].alias("kind"))), lambda x: x["start"] >= x["at"])
+        parts = F.transform(fresh, lambda x: F.concat(cut_out(c, x["at"], x["start"]), F.lit("<"), F.upper(x["kind"]), F.lit(">")))
+        return F.concat(F.array_join(parts, ""), cut_out(c, F.array_max(F.transform(o, lambda s: s["end"])), F.length(t)))
 
-    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(ordered, first, step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
+    done = let(ordered, lambda o: let(prefix(F.transform(o, lambda s: s["end"]), _greatest, F.lit(0)), lambda upto: let(chunks_of(t), lambda c: clean_text(o, upto, c))))
     found = found.withColumn("__clean", F.when(F.size("spans") > 0, done))
     clean = F.coalesce(F.col("__clean"), F.col("__keep")[text])
     columns = []
