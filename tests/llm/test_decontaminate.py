@@ -61,10 +61,10 @@ def test_against_brute_force(spark):
 
 def test_several_automata_give_the_same(spark):
     items, docs = fixture()
-    check(spark, docs[:25], items, max_bytes=4000)
+    check(spark, docs[:25], items, max_memory=170_000)
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    one, some = (sorted(decontaminate.find_contamination(d, b, max_bytes=m).collect()) for m in (1 << 20, 4000))
-    assert one == some and decontaminate.part_count(decontaminate.windows(b), 4000) > 1
+    one, some = (sorted(decontaminate.find_contamination(d, b, max_memory=m).collect()) for m in (1 << 30, 170_000))
+    assert one == some and decontaminate.part_count(decontaminate.windows(b), 170_000) > 1
 
 
 def test_edges(spark, edge, empty):
@@ -76,3 +76,11 @@ def test_edges(spark, edge, empty):
     assert got.filter("text IS NULL").select("n_words", "n_hit").distinct().collect() == [(0, 0)]
     assert decontaminate.find_contamination(empty, bench).count() == 0
     assert decontaminate.find_contamination(edge, bench.limit(0)).filter(F.col("n_hit") > 0).count() == 0
+
+
+def test_memory_bound_holds():
+    """What an automaton takes stays under what its windows are counted as."""
+    rng = random.Random(2)
+    patterns = [(" ".join(f"word{rng.randrange(5000)}" for _ in range(13)), [str(i)]) for i in range(20_000)]
+    machine = decontaminate.automaton(patterns)
+    assert machine.get_stats()["total_size"] < decontaminate.NODE_BYTES * sum(len(w) + 2 for w, _ in patterns)
