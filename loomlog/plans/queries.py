@@ -157,10 +157,10 @@ def column_fill_order(spark, sf_dir):
     return pages.column_order(view(spark, sf_dir, "events", "orders"), "ts")
 
 
-@query("compact_rows", "SELECT CAST(event_id AS VARCHAR) AS event_id, event_type FROM events")
+@query("compact_rows", "SELECT CAST(event_id AS VARCHAR) AS event_id, event_type, NULL AS o_orderkey FROM events UNION ALL SELECT NULL, NULL, CAST(o_orderkey AS VARCHAR) FROM orders")
 def compact_rows(spark, sf_dir):
     rows = pages.compact_json(view(spark, sf_dir, "events", "orders"))
-    return rows.select(F.get_json_object("row", "$.event_id").alias("event_id"), F.get_json_object("row", "$.event_type").alias("event_type")).filter("event_id IS NOT NULL")
+    return rows.select(*[F.get_json_object("row", f"$.{c}").alias(c) for c in ("event_id", "event_type", "o_orderkey")])
 
 
 # --- aggregates ---------------------------------------------------------------
@@ -328,31 +328,26 @@ _ADAPTER = "['ndjson', 'ndjson', 'ndjson', 'xml', 'block', 'line', 'parquet', NU
 _SCORE = "[90, 90, 70, 80, 70, 100, 100, 0][kind + 1]"
 
 
-@query("classify_files", rf"""SELECT path, {_ADAPTER} AS adapter, {_SCORE} AS score, CASE WHEN kind IN (0, 6, 7) AND NOT regexp_matches(t, '\S') AND kind <> 6 THEN 'no non-blank line' ELSE '' END AS notes,
-  CASE kind WHEN 4 THEN repeat('-', 40) ELSE NULL END AS first_line FROM ({_FILES}) WHERE t <> ''""")
+@query("classify_files", rf"""SELECT path, {_ADAPTER} AS adapter, {_SCORE} AS score, CASE WHEN kind IN (0, 7) AND t = '' THEN 'empty file,no non-blank line' WHEN kind IN (0, 7) AND NOT regexp_matches(t, '\S') THEN 'no non-blank line' ELSE '' END AS notes,
+  CASE kind WHEN 4 THEN repeat('-', 40) ELSE NULL END AS first_line FROM ({_FILES})""")
 def classify_files(spark, sf_dir):
-    got = detect.classify_files(R.file_heads(spark, sf_dir).filter("length(head) > 0")).join(_with_text(spark, sf_dir), "path")
-    return got.select("path", "adapter", "score", F.array_join("notes", ",").alias("notes"), F.when(F.col("kind") == 4, F.col("first_line")).alias("first_line"))
+    got = detect.classify_files(R.file_heads(spark, sf_dir))
+    block = F.pmod(F.regexp_extract("path", r"d(\d+)", 1).cast("long"), F.lit(8)) == 4
+    return got.select("path", "adapter", "score", F.array_join("notes", ",").alias("notes"), F.when(block, F.col("first_line")).alias("first_line"))
 
 
-def _with_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path and kind of the rendered files whose document has a text."""
-    ext = F.when(F.col("doc_id") % 8 == 0, ".ndjson").when(F.col("doc_id") % 8 == 2, ".json").otherwise(".log")
-    return table(spark, sf_dir, "documents").filter("text <> ''").select(F.concat(F.lit("/land/d"), F.col("doc_id").cast("string"), ext).alias("path"), (F.col("doc_id") % 8).alias("kind"))
-
-
-@query("diagnose", f"""WITH s AS (SELECT path, kind, a.adapter, CASE WHEN a.adapter = coalesce({_ADAPTER}, '') THEN {_SCORE} ELSE 0 END AS score
-  FROM ({_FILES}), (VALUES ('ndjson'), ('parquet'), ('evtx'), ('block'), ('xml'), ('line')) AS a(adapter) WHERE t <> ''),
+@query("diagnose", f"""WITH s AS (SELECT path, kind, t, a.adapter, CASE WHEN a.adapter = coalesce({_ADAPTER}, '') THEN {_SCORE} ELSE 0 END AS score
+  FROM ({_FILES}), (VALUES ('ndjson'), ('parquet'), ('evtx'), ('block'), ('xml'), ('line')) AS a(adapter)),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY path ORDER BY score DESC, adapter) AS INTEGER) AS rank FROM s)
 SELECT path, adapter, score, rank, rank = 1 AND score > 0 AS chosen, CASE
-  WHEN adapter = 'ndjson' THEN CASE WHEN kind = 0 THEN 'extension .ndjson' WHEN kind IN (1, 2) THEN 'first line is a JSON object' ELSE 'first character is not an opening brace' END
+  WHEN adapter = 'ndjson' THEN CASE WHEN kind = 0 THEN 'extension .ndjson' WHEN kind IN (1, 2) THEN 'first line is a JSON object' WHEN kind = 7 AND NOT regexp_matches(t, '\\S') THEN 'file is empty' ELSE 'first character is not an opening brace' END
   WHEN adapter = 'parquet' THEN CASE WHEN kind = 6 THEN 'starts with the Parquet signature' ELSE 'no Parquet signature or extension' END
   WHEN adapter = 'evtx' THEN 'no event log signature'
   WHEN adapter = 'block' THEN CASE WHEN kind = 4 THEN 'sniff pattern of keyvalue-dash-separated matches' ELSE 'no sniff pattern matches' END
   WHEN adapter = 'xml' THEN CASE WHEN kind = 3 THEN 'sniff pattern of repeating-row-element matches' ELSE 'no sniff pattern matches' END
   ELSE CASE WHEN kind = 5 THEN 'line pattern of iso-bracket matches' ELSE 'no line pattern matches' END END AS reason FROM r""")
 def diagnose(spark, sf_dir):
-    return detect.diagnose(R.file_heads(spark, sf_dir).join(_with_text(spark, sf_dir).select("path"), "path")).select("path", "adapter", "score", "rank", "chosen", "reason")
+    return detect.diagnose(R.file_heads(spark, sf_dir)).select("path", "adapter", "score", "rank", "chosen", "reason")
 
 
 @query("parse_audit", """WITH l AS (SELECT 'app' || event_id % 4 AS source, CASE WHEN event_id % 23 = 0 THEN 'blank' WHEN event_id % 29 = 0 THEN 'more' WHEN event_id % 17 = 0 THEN 'bad' ELSE 'good' END AS k FROM events)
@@ -456,9 +451,13 @@ def inferred_rules_parse(spark, sf_dir):
     return lines.audit(rows, tuple(ready.values()), "source").filter("source = rule").join(F.broadcast(layouts), "rule").select("source", "lines", "parsed", "timestamp_errors", "ts_layout")  # one row a source
 
 
-@query("rule_inventory_audit", "SELECT 'app' || event_id % 4 AS source, 'iso-bracket' AS rule, 'line' AS family, 100 AS priority, count(*) FILTER (event_id % 23 <> 0 AND event_id % 29 <> 0) / count(*) AS parsed_share FROM events GROUP BY 1")
+_PRIORITIES = ", ".join(f"('{r.name}', {r.priority})" for r in rules.LINE_RULES)
+
+
+@query("rule_inventory_audit", f"""SELECT 'app' || event_id % 4 AS source, r.name AS rule, 'line' AS family, r.priority, count(*) FILTER (r.name = 'iso-bracket' AND event_id % 23 <> 0 AND event_id % 29 <> 0) / count(*) AS parsed_share
+  FROM events, (VALUES {_PRIORITIES}) AS r(name, priority) GROUP BY ALL""")
 def rule_inventory_audit(spark, sf_dir):
-    audited = lines.audit(R.mixed_lines(spark, sf_dir), rules.LINE_RULES[:1], "source")
+    audited = lines.audit(R.mixed_lines(spark, sf_dir), rules.LINE_RULES, "source")
     return audited.join(F.broadcast(rules.inventory(spark)), audited["rule"] == F.col("name")).select("source", "rule", "family", "priority", (F.col("parsed") / F.col("lines")).alias("parsed_share"))  # one row a rule
 
 
@@ -626,10 +625,10 @@ def enabled_sources(spark, sf_dir):
     return source_counts(_sources(spark, sf_dir).view()).select("source", "records")
 
 
-@query("timestamp_field", "SELECT event_id, CAST(ts AS VARCHAR) AS picked, CAST(user_id AS VARCHAR) AS k FROM events WHERE event_id % 10 = 0")
+@query("timestamp_field", "SELECT event_id, CAST(ts AS VARCHAR) AS picked, CAST(user_id AS VARCHAR) AS k FROM events")
 def timestamp_field(spark, sf_dir):
     """The field that is picked for the timestamp, a field by its struct path, and columns left out."""
-    rows = R.typed_events(spark, sf_dir).filter("event_id % 10 = 0").withColumn("who", F.struct(F.col("user_id").alias("Id")))
+    rows = R.typed_events(spark, sf_dir).withColumn("who", F.struct(F.col("user_id").alias("Id")))
     shown = pages.visible(rows, ["value", "event_type", "user_id"])
     known = list_fields(shown)
     return shown.select("event_id", resolve(shown, pick_timestamp_field(known)).cast("string").alias("picked"), resolve(shown, next(f for f in known if f.lower() == "who.id")).cast("string").alias("k"))
