@@ -15,7 +15,7 @@ from loomlog.operators.predicates import Filter, filters, predicate, preset, sea
 from loomlog.operators.union import source_counts, union_view
 from loomlog.plans import renderings as R
 from loomlog.plans.renderings import table
-from loomlog.sources import loading
+from loomlog.sources import loading, sidecars
 from loomlog.sources.scans import configure, read_decoded_events, read_heads, read_lines, read_ndjson, read_parquet
 from loomlog.sources.source_set import SourceSet
 from loomlog.sources.xml_splits import read_xml_rows
@@ -594,6 +594,33 @@ def fold_in_pieces(spark, sf_dir):
     return records.join(joined, ["file", "seq"], "left").select(F.col("pid").cast("long").alias("doc_id"), "n_more", "n_bytes", "text_sha256")
 
 
+def _indexed(spark: SparkSession, sf_dir: str, name: str, key: str) -> sidecars.Index:
+    """A table written as eight files by ranges of its key, and their index."""
+    path, at = _shared(spark, f"{name}.files"), _shared(spark, f"{name}.index")
+    table(spark, sf_dir, name).repartitionByRange(8, key).write.parquet(path)
+    return sidecars.refresh(spark, [path], at)
+
+
+@query("indexed_search", "SELECT doc_id FROM documents WHERE CAST(doc_id AS VARCHAR) ILIKE '%license%' OR text ILIKE '%license%' OR lang ILIKE '%license%' OR source ILIKE '%license%' OR CAST(n_chars AS VARCHAR) ILIKE '%license%'")
+def indexed_search(spark, sf_dir):
+    """Free text by way of the files' trigram bitmaps."""
+    return sidecars.search_files(spark, _indexed(spark, sf_dir, "documents", "doc_id"), "License").select("doc_id")
+
+
+@query("kept_profile", """SELECT field, CAST(present AS BIGINT) AS present, true AS distinct_within_bound, CAST(total AS BIGINT) AS total, first_ts, last_ts FROM (
+  SELECT 'event_id' AS field, count(event_id) AS present, count(*) AS total, NULL AS first_ts, NULL AS last_ts FROM events UNION ALL
+  SELECT 'ts', count(ts), count(*), CAST(min(ts) AS VARCHAR), CAST(max(ts) AS VARCHAR) FROM events UNION ALL SELECT 'user_id', count(user_id), count(*), NULL, NULL FROM events UNION ALL
+  SELECT 'event_type', count(nullif(event_type, '')), count(*), NULL, NULL FROM events UNION ALL SELECT 'value', count(value), count(*), NULL, NULL FROM events UNION ALL SELECT 'props', count(nullif(props, '')), count(*), NULL, NULL FROM events)""")
+def kept_profile(spark, sf_dir):
+    """Filled values, times and distinct values from the index alone; the sketch against the exact count, within 5 %."""
+    index = _indexed(spark, sf_dir, "events", "event_id")
+    rows = table(spark, sf_dir, "events")
+    exact = profile.profile(rows, exact=True).select("field", F.col("distinct").alias("exactly"))
+    close = (F.abs(F.col("distinct") - F.col("exactly")) <= F.greatest(F.lit(1), 0.05 * F.col("exactly"))).alias("distinct_within_bound")
+    out = sidecars.profile(index).join(exact, "field").join(sidecars.bounds(index), "field", "left")
+    return out.select("field", "present", close, "total", F.col("first_ts").cast("string").alias("first_ts"), F.col("last_ts").cast("string").alias("last_ts"))
+
+
 # --- sources and fields ---------------------------------------------------------
 
 

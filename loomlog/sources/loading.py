@@ -34,7 +34,7 @@ class Loaded(NamedTuple):
     problems: DataFrame
 
 
-def _file() -> Column:
+def file_of_row() -> Column:
     """The path of a row's file, as listings write it."""
     plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     return F.regexp_replace(plain, "^file:/+", "file:///").alias("file")
@@ -73,13 +73,13 @@ def load_parquet(spark: SparkSession, paths: Sequence[str]) -> Loaded:
     if not sound:
         return Loaded(spark.createDataFrame([], "file string"), ends.select("path", "reason"))
     read = spark.read.option("ignoreCorruptFiles", "true").option("mergeSchema", "true").parquet(*sound)
-    counted = read.select(_file(), F.xxhash64(*[F.col(f"`{c}`") for c in read.columns]).alias("row")).groupBy("file").agg(F.count("*").alias("n_read"), F.bit_xor("row").alias("mixed"))
+    counted = read.select(file_of_row(), F.xxhash64(*[F.col(f"`{c}`") for c in read.columns]).alias("row")).groupBy("file").agg(F.count("*").alias("n_read"), F.bit_xor("row").alias("mixed"))
     short = F.concat(F.lit("only "), F.coalesce("n_read", F.lit(0)).cast("string"), F.lit(" of "), F.col("n_rows").cast("string"), F.lit(" rows can be read"))
     # that all values were mixed is asked for, as columns nobody asks for aren't decoded
     less = (F.coalesce("n_read", F.lit(0)) < F.col("n_rows")) | (F.col("mixed").isNull() & (F.col("n_rows") > 0))
     reason = F.coalesce("reason", F.when(less, short)).alias("reason")
     problems = ends.join(counted.withColumnRenamed("file", "path"), "path", "left").select("path", reason).filter("reason IS NOT NULL")
-    return Loaded(_without(read.select("*", _file()), problems), problems)
+    return Loaded(_without(read.select("*", file_of_row()), problems), problems)
 
 
 def load_ndjson(spark: SparkSession, paths: Sequence[str], schema: T.StructType | str | None = None) -> Loaded:
@@ -87,7 +87,7 @@ def load_ndjson(spark: SparkSession, paths: Sequence[str], schema: T.StructType
 
     Without a schema it is inferred from all lines of all files.
     """
-    raw = configure(spark).read.text(list(paths)).select(_file(), "value", F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("seq"))
+    raw = configure(spark).read.text(list(paths)).select(file_of_row(), "value", F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("seq"))
     lines = raw.withColumn("value", F.regexp_replace("value", "^﻿", "")).filter(r"value RLIKE '\\S'")
     kinds = F.ltrim("value").startswith("{") & F.try_parse_json("value").isNotNull()
     bad = lines.withColumn("bad", ~F.coalesce(kinds, F.lit(False)))
@@ -123,5 +123,5 @@ def load_files(spark: SparkSession, paths: str | Sequence[str]) -> tuple[dict[st
     for kind in ("line", "block", "xml", "evtx"):
         mine = [r.path for r in rows if r.format == kind and not r.reason]
         if mine:
-            loaded[kind] = spark.read.text(mine).select("value", _file())
+            loaded[kind] = spark.read.text(mine).select("value", file_of_row())
     return loaded, problems
