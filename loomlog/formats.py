@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,10 +29,10 @@ def register_format(name: str, score: Column, read: Callable[[SparkSession, list
     REGISTRY[name] = Format(name, score, read)
 
 
-def classify(heads: DataFrame) -> DataFrame:
-    """As ``classify_files``, with the registered formats too; a built-in one wins ties."""
+def classify(heads: DataFrame, more: Sequence[Format] = ()) -> DataFrame:
+    """As ``classify_files``, with the registered formats and ``more`` of this call; a built-in one wins ties."""
     base = classify_files(heads)
-    for fmt in REGISTRY.values():
+    for fmt in (*REGISTRY.values(), *more):
         own = with_samples(heads).select("path", fmt.score.cast("int").alias("__score"))
         better = F.col("__score") > F.col("score")
         base = base.join(own, "path").select("path", F.when(better, F.lit(fmt.name)).otherwise(F.col("adapter")).alias("adapter"), F.greatest("score", "__score").alias("score"), "notes", "first_line")

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomlog import formats
 from loomlog.functions.fields import list_fields, pick_timestamp_field, resolve
 from loomlog.functions.times import WIDTHS, present
 from loomlog.operators import blocks, detect, event_records, export, heavy, histogram, infer, jump, lines, pages, profile, rules, xmlrows
@@ -311,13 +312,46 @@ def xml_row_element(spark, sf_dir):
     return xmlrows.row_elements(R.xml_heads(spark, sf_dir))
 
 
-@query("event_flatten", f"SELECT event_id AS id, 'Security' AS channel, user_id AS \"user\", event_type AS tag0, 'x' AS tag1, value AS amount, {_ISO.format('CASE WHEN event_id % 11 = 0 THEN TIMESTAMP ' + repr(R.MTIME) + ' ELSE ts END')} AS ts, 'evtx' AS format FROM events")
+_TAGS = ", ".join(["event_type AS tag0", *[f"CASE WHEN event_id % 6 >= {i} THEN '{c}' END AS tag{i}" for i, c in enumerate("vwxyz", 1)]])
+
+
+@query("event_flatten", f"SELECT event_id AS id, 'Security' AS channel, user_id AS \"user\", {_TAGS}, value AS amount, {_ISO.format('CASE WHEN event_id % 11 = 0 THEN TIMESTAMP ' + repr(R.MTIME) + ' ELSE ts END')} AS ts, 'evtx' AS format FROM events")
 def event_flatten(spark, sf_dir):
+    """Records with lists of one to six items."""
     flat = event_records.flatten_events(R.nested_events(spark, sf_dir), "Event.System.TimeCreated.SystemTime")
-    names = {"Event.System.EventID.Value": "id", "Event.System.Channel": "channel", "Event.EventData.User": "user", "Event.EventData.Tags.0": "tag0", "Event.EventData.Tags.1": "tag1", "Event.EventData.Amount": "amount", "@timestamp": "ts", "_source_format": "format"}
+    names = {"Event.System.EventID.Value": "id", "Event.System.Channel": "channel", "Event.EventData.User": "user", **{f"Event.EventData.Tags.{i}": f"tag{i}" for i in range(6)}, "Event.EventData.Amount": "amount", "@timestamp": "ts", "_source_format": "format"}
     return flat.select(*[F.col(f"`{a}`").alias(b) for a, b in names.items()])
 
 
+@query("preamble_drop", f"SELECT event_id, {_MESSAGE.replace(' AS message', '')} || CASE WHEN event_id % 40 < 4 THEN chr(10) || '  at ' || event_type ELSE '' END AS message FROM events WHERE event_id >= 40")
+def preamble_drop(spark, sf_dir):
+    """Files that begin with lines of no record, which are dropped; some records have a line more."""
+    rows = R.event_lines(spark, sf_dir, "iso-bracket")
+    head = rows.withColumn("value", F.when(F.col("seq") < 40, F.concat(F.lit("banner "), "value")).otherwise(F.col("value")))
+    more = rows.filter("seq % 40 < 4").withColumn("value", F.regexp_replace("value", r"^.*\] (\S+) value .*$", "  at $1")).withColumn("seq", F.col("seq") + 0.5)
+    lines_ = head.withColumn("seq", F.col("seq").cast("double")).unionByName(more)
+    return lines.fold_records(lines_, rules.LINE_RULES[0]).select(F.col("seq").cast("long").alias("event_id"), "message")
+
+
+@query("scan_blocks", """SELECT CAST(conv_id AS VARCHAR) AS conv, CAST(turn AS VARCHAR) AS turn, role FROM conversations""")
+def scan_blocks(spark, sf_dir):
+    """Block records written to files as lines, and read from them in order."""
+    path = _shared(spark, "blocks.log")
+    R.block_lines(spark, sf_dir).repartition("file").sortWithinPartitions("file", "seq").select("value").write.text(path)
+    wide = blocks.widen(blocks.parse_blocks(read_lines(spark, path), rules.BLOCK_RULES[0]), ["Conv", "Turn", "Role"])
+    return wide.select(F.col("Conv").alias("conv"), F.col("Turn").alias("turn"), F.col("Role").alias("role"))
+
+
+@query("timestamp_override", "SELECT count(*) AS n, CAST(CAST(min(o_orderdate) AS DATE) AS VARCHAR) AS first_ts FROM orders WHERE o_orderdate >= '1996-06-01'")
+def timestamp_override(spark, sf_dir):
+    """A time range by another field than the one that would be picked."""
+    sources = SourceSet(spark).add("orders", table(spark, sf_dir, "orders").withColumn("ts", F.lit("2024-01-01 00:00:00"))).add("events", table(spark, sf_dir, "events"))
+    picked, sources.timestamp_field = sources.timestamp_field, "o_orderdate"
+    v = sources.view("typed")
+    found = v.filter(predicate(v, [], sources.timestamp_field, "1996-06-01 00:00:00", "2030-01-01 00:00:00")).filter(F.lit(picked == "ts"))
+    return found.agg(F.count("*").alias("n"), F.min(F.substring(F.col("o_orderdate").cast("string"), 1, 10)).alias("first_ts"))
+
+
 # --- detection, audit, inference ---------------------------------------------
 
 _KIND = "doc_id % 8"
@@ -336,6 +370,13 @@ def classify_files(spark, sf_dir):
     return got.select("path", "adapter", "score", F.array_join("notes", ",").alias("notes"), F.when(block, F.col("first_line")).alias("first_line"))
 
 
+@query("registered_format", f"SELECT path, CASE WHEN kind = 7 AND t <> '' AND strlen(t) % 2 = 0 THEN 'even' ELSE {_ADAPTER} END AS adapter FROM ({_FILES})")
+def registered_format(spark, sf_dir):
+    """A format that a user adds: files of an even number of bytes that no built-in format fits."""
+    even = formats.Format("even", F.when((F.length("head") > 0) & (F.length("head") % 2 == 0), 1).otherwise(0), lambda session, paths: session.read.text(paths))
+    return formats.classify(R.file_heads(spark, sf_dir), [even]).select("path", "adapter")
+
+
 @query("diagnose", f"""WITH s AS (SELECT path, kind, t, a.adapter, CASE WHEN a.adapter = coalesce({_ADAPTER}, '') THEN {_SCORE} ELSE 0 END AS score
   FROM ({_FILES}), (VALUES ('ndjson'), ('parquet'), ('evtx'), ('block'), ('xml'), ('line')) AS a(adapter)),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY path ORDER BY score DESC, adapter) AS INTEGER) AS rank FROM s)

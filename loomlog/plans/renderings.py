@@ -99,7 +99,7 @@ def nested_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decoded event records; every eleventh has no time of its own."""
     seconds = F.when(F.col("event_id") % 11 != 0, F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")) / 1_000_000)
     system = F.struct(F.struct(F.col("event_id").alias("Value")).alias("EventID"), F.struct(seconds.alias("SystemTime")).alias("TimeCreated"), F.lit("Security").alias("Channel"))
-    data = F.struct(F.col("user_id").alias("User"), F.array(F.col("event_type"), F.lit("x")).alias("Tags"), F.col("value").alias("Amount"))
+    data = F.struct(F.col("user_id").alias("User"), F.slice(F.array(F.col("event_type"), *map(F.lit, "vwxyz")), 1, (F.col("event_id") % 6 + 1).cast("int")).alias("Tags"), F.col("value").alias("Amount"))
     return table(spark, sf_dir, "events").select(F.struct(system.alias("System"), data.alias("EventData")).alias("Event"), F.lit(MTIME).cast("timestamp").alias("mtime"))
 
 
