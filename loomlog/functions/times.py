@@ -90,5 +90,10 @@ def pick_width(seconds: int) -> int:
 def bucket(ts: Column, width: int) -> Column:
     """The beginning of the bucket of ``width`` seconds that a naive timestamp is in."""
     origin = F.lit(ORIGIN).cast("timestamp_ntz")
-    seconds = F.floor(F.timestamp_diff("MICROSECOND", origin, ts) / F.lit(1_000_000 * width)) * width
-    return F.timestamp_add("SECOND", seconds.cast("int"), origin)
+    return since_origin(F.floor(F.timestamp_diff("MICROSECOND", origin, ts) / F.lit(1_000_000 * width)) * width)
+
+
+def since_origin(seconds: Column) -> Column:
+    """The naive timestamp so many whole seconds after ORIGIN; days and seconds apart, as either must fit an int."""
+    day = F.timestamp_add("DAY", F.floor(seconds / 86400).cast("int"), F.lit(ORIGIN).cast("timestamp_ntz"))
+    return F.timestamp_add("SECOND", F.pmod(seconds, F.lit(86400)).cast("int"), day)

@@ -192,6 +192,11 @@ def histogram_auto(spark, sf_dir):
     return histogram.histogram(view(spark, sf_dir, "events", "orders"), "ts")
 
 
+@query("histogram_one_pass", _histogram_sql("true"))
+def histogram_one_pass(spark, sf_dir):
+    return histogram.one_pass_histogram(view(spark, sf_dir, "events", "orders"), "ts")
+
+
 @query("histogram_filtered", _histogram_sql("event_type = 'click' AND ts BETWEEN '2024-01-10' AND '2024-01-10 06:00:00'"))
 def histogram_filtered(spark, sf_dir):
     v = table(spark, sf_dir, "events")

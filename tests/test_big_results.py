@@ -4,7 +4,7 @@ import random
 from collections import Counter
 
 import pytest
-from loomlog.operators import heavy, lines, rules
+from loomlog.operators import heavy, histogram, lines, rules
 from loomlog.operators.jump import jump_page
 from loomlog.operators.pages import page
 from loomlog.operators.profile import top_values
@@ -72,3 +72,15 @@ def test_one_long_record_in_pieces(spark):
         more = [t for s, _, t in found if s == r.seq]
         assert "\n".join([r.message, *more]) == want[r.seq] and r.n_bytes == sum(len(t.encode()) + 1 for t in more)
     assert {r.seq: r.n_more for r in records.collect()} == {1: sum(1 for i in range(40_000) if i % 9), 40_002: 0, 40_003: 1}
+
+
+def test_one_pass_histogram_of_any_span(spark):
+    """Spans from none to centuries, dealt so that tasks see parts of different width, times before the origin."""
+    rng = random.Random(1)
+    for span in (0, 1, 100, 250, 5000, 100_000, 10_000_000, 90_000_000, 3_000_000_000):
+        start = rng.choice([0, 500_000_000, 1_700_000_000])
+        near = [start + rng.random() * min(span, 300) for _ in range(200)]
+        seconds = [start, start + span, *near, *[start + rng.random() * span for _ in range(300)]]
+        rows = spark.createDataFrame([(float(x),) for x in sorted(seconds)] + [(None,)], "s double").select(F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts")).repartitionByRange(5, "ts")
+        assert histogram.one_pass_histogram(rows, "ts").collect() == histogram.histogram(rows, "ts").collect(), span
+    assert histogram.one_pass_histogram(rows.limit(0), "ts").count() == 0
