@@ -43,7 +43,7 @@ MAX_ROWS, MAX_TRAIN_CHARS = 1500, 20_000
 #: Windows scored at once.
 BLOCK = 1024
 #: First values of the embedding dimension that starts from counts: per unit of significance, at most.
-START, MOST = 0.25, 6.0
+START, MOST = 0.1, 6.0
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -220,7 +220,7 @@ def first_values(doc, begin, size, words, starts, n_words, bucket, labels, shown
     return np.where(counts.sum(0) > 0, START * z, 0).astype(np.float32)
 
 
-def train(texts: list[str], labels: np.ndarray, share: float | None = None, epochs: tuple[int, int] = (2, 5), batch: int = 128, rate: float = 0.02, decay: float = 0.02, seed: int = 5) -> Network:
+def train(texts: list[str], labels: np.ndarray, share: float | None = None, epochs: tuple[int, int] = (3, 8), batch: int = 128, rate: float = 0.02, decay: float = 0.02, seed: int = 5) -> Network:
     """Of documents with labels 0 and 1; ``share``: of label 1 where scores are to hold (default: as given).
 
     One document in five doesn't train the network but fits the score's curve.
