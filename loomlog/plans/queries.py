@@ -583,15 +583,15 @@ def file_heads(spark, sf_dir):
     return found.groupBy("adapter").agg(F.sum("size").alias("bytes"), F.min("n").cast("long").alias("head_bytes"))
 
 
-@query("load_report", """SELECT CAST(user_id % 5 AS BIGINT) AS part, count(*) AS n_lines, count(*) FILTER (event_id % 10 = 3 AND user_id % 5 < 2) AS n_bad,
-  CASE WHEN count(*) FILTER (event_id % 10 = 3 AND user_id % 5 < 2) = 0 THEN sum(event_id) END AS loaded_ids FROM events GROUP BY 1""")
+@query("load_report", """SELECT CAST(user_id % 5 AS BIGINT) AS part, count(*) AS n_lines, count(*) FILTER (event_id % 10 = 3 AND event_id > 100 AND user_id % 5 < 2) AS n_bad,
+  CASE WHEN count(*) FILTER (event_id % 10 = 3 AND event_id > 100 AND user_id % 5 < 2) = 0 THEN sum(event_id) END AS loaded_ids FROM events GROUP BY 1""")
 def load_report(spark, sf_dir):
     """NDJSON files, some with lines cut short: what is reported of the bad ones, and what the others load."""
     path = _shared(spark, "landing.d")
     text = F.to_json(F.struct("event_id", "event_type"))
-    broken = (F.col("event_id") % 10 == 3) & (F.col("user_id") % 5 < 2)
-    rows = table(spark, sf_dir, "events").select(F.when(broken, F.substring(text, F.lit(1), F.length(text) - 2)).otherwise(text).alias("value"), (F.col("user_id") % 5).alias("part"))
-    rows.repartition(5, "part").write.partitionBy("part").text(path)
+    broken = (F.col("event_id") % 10 == 3) & (F.col("event_id") > 100) & (F.col("user_id") % 5 < 2)  # no file begins with one
+    rows = table(spark, sf_dir, "events").select(F.when(broken, F.substring(text, F.lit(1), F.length(text) - 2)).otherwise(text).alias("value"), (F.col("user_id") % 5).alias("part"), "event_id")
+    rows.repartition(5, "part").sortWithinPartitions("part", "event_id").drop("event_id").write.partitionBy("part").text(path)
     loaded, problems = loading.load_files(spark, path)
     part = lambda c: F.regexp_extract(c, r"/part=(\d+)/", 1).cast("long").alias("part")
     counts = [F.regexp_extract("reason", r"^(\d+) of (\d+) lines", i).cast("long") for i in (2, 1)]
