@@ -56,7 +56,7 @@ def test_pipeline_edges(spark, edge_rows, tmp_path):
 def test_queries_equal_their_sql(spark, sf_dir, name):
     sql = queries.ORACLE_SQL[name]
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels"):
+    for t in ("documents", "benchmark", "labels", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     want = con.sql(sql).df()
     got = queries.QUERIES[name](spark, sf_dir).select(*want.columns)
