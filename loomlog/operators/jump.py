@@ -15,7 +15,7 @@ from loomlog.functions.fields import resolve
 from loomlog.operators.pages import DEFAULT_LIMIT, sort_column
 
 #: Ranges of a round, keys sampled for their boundaries, rows that are sorted without another round, rounds at most.
-RANGES, SAMPLE, FEW, ROUNDS = 64, 4096, 200_000, 4
+RANGES, SAMPLE, FEW, ROUNDS = 16, 4096, 200_000, 4
 
 
 def _key(columns: list[Column], descending: bool) -> Column:
