@@ -1,82 +1,67 @@
 """Pages deep in a sorted view: the range of keys that holds the page is found by counting, and only that is sorted.
 
-A sample of keys gives boundaries, one pass counts the rows between them, and the counts
-tell which ranges the page's first and last row fall into.  A range that is still too large
-is sampled and counted again.  The sample decides how much is sorted, not what
-comes out: counts are of all rows.
+A sorted sample of keys tells about where the page is; the two keys around that place
+cut the rows into three ranges, one pass counts them, and the counts tell which of them the
+page's first and last row fall into.  A range that is still too large is sampled and counted
+again.  The sample decides how much is sorted, not what comes out: counts are of all rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.functions.fields import resolve
 from loomlog.operators.pages import DEFAULT_LIMIT, sort_column
 
-#: Ranges of a round, keys sampled for their boundaries, rows that are sorted without another round, rounds at most.
-RANGES, SAMPLE, FEW, ROUNDS = 16, 4096, 200_000, 4
-
-
-def _key(columns: list[Column], descending: bool) -> Column:
-    """One comparable value a row; the first column's nulls come last either way, so they get a mark of their own."""
-    marks = [F.struct((~c.isNull() if descending and i == 0 else c.isNull()).alias("none"), c.alias("value")) for i, c in enumerate(columns)]
-    return F.struct(*[m.alias(f"k{i}") for i, m in enumerate(marks)])
-
+#: Keys sampled in a round, about; rows that are sorted without another round; rounds at most.
+SAMPLE, FEW, ROUNDS = 16384, 200_000, 8
+#: Standard deviations of a rank in the sample between the page and the keys around it.
+SPREAD = 5
 
-def _placed(rows: DataFrame, bounds: list, kind, descending: bool) -> DataFrame:
-    """``rows`` with __range: how many of ``bounds`` stand before the key in the page's order."""
-    spark = rows.sparkSession
-    held = spark.createDataFrame([(bounds,)], f"bounds array<{kind.simpleString()}>").first().bounds
-    array = F.array(*[F.lit(None).cast(kind) if b is None else _literal(b, kind) for b in held])
-    before = F.filter(array, lambda b: b > F.col("__key") if descending else b < F.col("__key"))
-    return rows.withColumn("__range", F.size(before))
 
-
-def _literal(value, kind) -> Column:
-    parts = [F.struct(F.lit(p["none"]).alias("none"), F.lit(p["value"]).cast(kind[i].dataType["value"].dataType).alias("value")).alias(f"k{i}") for i, p in enumerate(value)]
-    return F.struct(*parts).cast(kind)
+def _before(keys: list[Column], bound: list, kinds: list, descending: bool, equal: bool) -> Column:
+    """Does a row stand before ``bound`` in the page's order, or (``equal``) at it?  Nulls are last either way."""
+    cases, same = [], F.lit(True)
+    for i, (key, value, kind) in enumerate(zip(keys, bound, kinds, strict=True)):
+        at = F.lit(value).cast(kind)
+        ahead = key.isNotNull() if value is None else F.coalesce(key > at if descending and i == 0 else key < at, F.lit(False))
+        cases.append(same & ahead)
+        same = same & key.eqNullSafe(at)
+    return reduce(or_, [*cases, same] if equal else cases)
 
 
 def jump_page(view: DataFrame, field: str | None = None, descending: bool = False, limit: int = DEFAULT_LIMIT, offset: int = 0, ties: list[str] = (), few: int = FEW) -> DataFrame:
     """As ``page``: rows offset .. offset + limit by ``field``, nulls last either way, ``ties`` deciding between equals.
 
-    ``ties`` are ascending, as in ``page``; where they are in another direction than the field, only the
-    field makes ranges.
+    ``ties`` are ascending, as in ``page``.
     """
-    column = sort_column(view, field)
-    deciding = [resolve(view, t) for t in ties]
-    order = [column.desc_nulls_last() if descending else column.asc_nulls_last(), *[c.asc_nulls_last() for c in deciding]]
-    keyed = view.withColumn("__key", _key([column] if descending else [column, *deciding], descending))
-    kind = keyed.schema["__key"].dataType
-    rows, skipped, total = keyed, 0, None
+    keys = [sort_column(view, field), *[resolve(view, t) for t in ties]]
+    order = [keys[0].desc_nulls_last() if descending else keys[0].asc_nulls_last(), *[c.asc_nulls_last() for c in keys[1:]]]
+    names = [f"k{i}" for i in range(len(keys))]
+    kinds = [f.dataType for f in view.select(*[c.alias(n) for c, n in zip(keys, names, strict=True)]).schema]
+    in_sample = [F.col("k0").desc_nulls_last() if descending else F.col("k0").asc_nulls_last(), *[F.col(n).asc_nulls_last() for n in names[1:]]]
+    rows, skipped, total = view, 0, view.count()
+    if offset >= total or limit <= 0:
+        return view.limit(0)
     for _ in range(ROUNDS):
-        total = rows.count() if total is None else total
         if total <= max(few, limit):
             break
-        sample = rows.select("__key").sample(min(1.0, 4 * SAMPLE / total)).limit(SAMPLE).collect()
-        bounds = sorted({r["__key"] for r in sample}, key=_sortable, reverse=descending)
-        bounds = bounds[:: max(1, len(bounds) // RANGES)]
-        if not bounds:
-            break
-        placed = _placed(rows, bounds, kind, descending)
-        counts = dict(placed.groupBy("__range").count().collect())
-        at, first, last, passed = skipped, None, None, 0
-        for i in sorted(counts):
-            if at + counts[i] > offset and first is None:
-                first, passed = i, at
-            if at < offset + limit:
-                last = i
-            at += counts[i]
-        if first is None:
-            return view.limit(0)
-        inside = sum(n for i, n in counts.items() if first <= i <= last)
-        rows, skipped = placed.filter(F.col("__range").between(first, last)).drop("__range"), passed
-        if inside > total * 0.9:
+        some = rows.select(*[c.alias(n) for c, n in zip(keys, names, strict=True)]).sample(min(1.0, SAMPLE / total))
+        sample = some.repartition(1).sortWithinPartitions(*in_sample).collect()  # about SAMPLE keys
+        places = [min(1.0, (n - skipped) / total) for n in (offset, offset + limit)]
+        lo, hi = (int(len(sample) * p + way * (1 + SPREAD * (len(sample) * p * (1 - p) + 1) ** 0.5)) for p, way in zip(places, (-1, 1), strict=True))
+        first, last = (sample[i] if 0 <= i < len(sample) else None for i in (lo, hi))
+        ahead = F.lit(False) if first is None else _before(keys, first, kinds, descending, False)
+        upto = F.lit(True) if last is None else _before(keys, last, kinds, descending, True)
+        ranges = [ahead, ~ahead & upto, ~ahead & ~upto]
+        counts = rows.agg(*[F.count_if(r) for r in ranges]).first()
+        starts = [skipped, skipped + counts[0], skipped + counts[0] + counts[1], skipped + total]
+        wanted = [i for i in range(3) if starts[i] < offset + limit and starts[i + 1] > offset]
+        if len(wanted) == 3 or sum(counts[i] for i in wanted) > 0.9 * total:
             break
-        total = inside
-    return rows.select(*view.columns).orderBy(*order).offset(offset - skipped).limit(limit)
-
-
-def _sortable(key) -> tuple:
-    return tuple((part["none"], part["value"] is not None, part["value"] if part["value"] is not None else 0) for part in key)
+        rows, skipped, total = rows.filter(reduce(or_, [ranges[i] for i in wanted])), starts[wanted[0]], sum(counts[i] for i in wanted)
+    return rows.orderBy(*order).offset(offset - skipped).limit(limit)
