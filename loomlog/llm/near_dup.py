@@ -27,6 +27,12 @@ changed words in a group of some per cent of all texts fall under the threshold.
    hold texts, not pairs, and only links that join classes come out.  So no
    linked pair that shares a bucket is left apart.
 
+What a text shares with any other is at most the weight of its shingles that more
+than one text has.  So texts a and b can be a link only if each one's total weight is
+within the other's ``reach``.  Members that reach no total weight of their bucket
+leave it before anything is paired: most members of a large group of copies that
+are too far from each other, each by words of its own.
+
 Defined results: a null text is never a copy, its row is its own class; texts
 without words are copies only of equal texts; repeated rows share their class;
 the class id is the smallest doc_id in the class, null where all are null.
@@ -235,6 +241,15 @@ def node_of(text: Column) -> Column:
     return F.substring(F.sha2(text.cast("string"), 256), 1, 32)
 
 
+def reach(common: Column, total: Column, threshold: float) -> Column:
+    """The greatest total weight of a text that a text of ``total`` can be linked to.
+
+    Both share at most ``common``, the weight of its shingles that other texts have, too.
+    """
+    least = threshold - 2e-6
+    return common * (1 + least) / least - total
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, n_texts: int, threshold: float) -> DataFrame:
     """``pairs`` (a, b) with their similarity, those of ``threshold`` or more."""
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"), F.col("df").alias("df_a")), "a")
@@ -255,38 +270,42 @@ def _pairs(x: DataFrame, left: str, right: str) -> DataFrame:
 
 
 def _blocks(open_: DataFrame, threshold: float) -> DataFrame:
-    """Where each open member is compared: ``open_`` (bucket, node, label, total) with minor, the
+    """Where each open member is compared: ``open_`` (bucket, node, label, total, reach) with minor, the
     block's group, left, right, i and j, and side (0: compared with those of side 1).
 
     A bucket of one block shares its group with others.  In a larger one a text is compared
-    with those whose total weight, by steps of the threshold, is the same or next.
+    with those whose total weight, by steps of the threshold, is the same or next, if any
+    of these is within its reach and reaches it.
     """
     counts = open_.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     sizes = cut(counts.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.sum("n").alias("size")))
     groups = max(1, open_.count() // BLOCK)
     minor = (F.col("label") != F.col("major")).alias("minor")
     sized = open_.join(sizes, "bucket")
-    sized = sized.select("bucket", "node", "label", "size", minor, F.floor(F.log("total") / F.lit(-1.0001 * float(np.log(threshold)))).alias("cell"))
+    sized = sized.select("bucket", "node", "label", "total", "reach", "size", minor, F.floor(F.log("total") / F.lit(-1.0001 * float(np.log(threshold)))).alias("cell"))
     sized = cut(sized)  # so that Spark can split a hot bucket in the join and counts it in parts
-    small = sized.filter(F.col("size") <= BLOCK).select("bucket", "node", "label", "minor", F.pmod(F.xxhash64("bucket"), F.lit(groups)).alias("group"), *[F.lit(0).cast("long").alias(c) for c in ("left", "right", "i", "j")])
+    small = sized.filter(F.col("size") <= BLOCK).select("bucket", "node", "label", "reach", "minor", F.pmod(F.xxhash64("bucket"), F.lit(groups)).alias("group"), *[F.lit(0).cast("long").alias(c) for c in ("left", "right", "i", "j")])
     sides = [small.filter("minor").withColumn("side", F.lit(0)), small.withColumn("side", F.lit(1))]
     large = sized.filter(F.col("size") > BLOCK)
-    cells = cut(large.groupBy("bucket", "cell").agg(F.count_if("minor").alias("minors"), F.count("*").alias("all")))
+    least = [F.min(F.when(F.col("minor"), F.col("total"))).alias("minors_least"), F.min("total").alias("all_least")]
+    most = [F.max(F.when(F.col("minor"), F.col("reach"))).alias("minors_most"), F.max("reach").alias("all_most")]
+    cells = cut(large.groupBy("bucket", "cell").agg(F.count_if("minor").alias("minors"), F.count("*").alias("all"), *least, *most))
     for side, mine, other, rows in ((0, "minors", "all", large.filter("minor")), (1, "all", "minors", large)):
         own = cells.select("bucket", "cell", F.col(mine).alias("here"))
-        there = cells.filter(F.col(other) > 0).select("bucket", F.col("cell").alias("facing"), F.col(other).alias("there"))
+        there = cells.filter(F.col(other) > 0).select("bucket", F.col("cell").alias("facing"), F.col(other).alias("there"), F.col(f"{other}_least").alias("least"), F.col(f"{other}_most").alias("most"))
         met = rows.join(own, ["bucket", "cell"]).withColumn("facing", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1))).join(there, ["bucket", "facing"])
+        met = met.filter((F.col("least") <= F.col("reach")) & (F.col("total") <= F.col("most")))
         my = F.pmod(F.xxhash64("node", "bucket"), F.ceil(F.col("here") / BLOCK)).cast("long")
         their = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("there") / BLOCK).cast("long") - 1))
         at = (("cell", "left"), ("facing", "right"), (my, "i"), (their, "j")) if side == 0 else (("facing", "left"), ("cell", "right"), (their, "i"), (my, "j"))
         places = [(F.col(c) if isinstance(c, str) else c).alias(name) for c, name in at]
-        sides.append(met.select("bucket", "node", "label", "minor", F.col("bucket").alias("group"), *places).withColumn("side", F.lit(side)))
+        sides.append(met.select("bucket", "node", "label", "reach", "minor", F.col("bucket").alias("group"), *places).withColumn("side", F.lit(side)))
     return sides[0].unionByName(sides[1]).unionByName(sides[2]).unionByName(sides[3])
 
 
 def _compare_blocks(open_: DataFrame, texts: DataFrame, n_texts: int, threshold: float) -> DataFrame:
     """Links between members of one bucket in different classes, of each node the best one to
-    each other class; ``open_``: bucket, node, label, total; ``texts``: node, text, df, keys."""
+    each other class; ``open_``: bucket, node, label, total, reach; ``texts``: node, text, df, keys."""
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values("bucket", kind="stable")
@@ -297,14 +316,15 @@ def _compare_blocks(open_: DataFrame, texts: DataFrame, n_texts: int, threshold:
             from_l, from_r = np.searchsorted(dl, np.arange(len(left) + 1)), np.searchsorted(dr, np.arange(len(right) + 1))
             total = np.bincount(dr, wr, len(right))
             keys_l, keys_r = np.stack(left["keys"]), np.stack(right["keys"])
+            reaches = left["reach"].to_numpy()
             names, labels, minor = right["node"].to_numpy(), right["label"].to_numpy(), right["minor"].to_numpy()
-            buckets = left["bucket"].to_numpy()
+            buckets, far = left["bucket"].to_numpy(), right["reach"].to_numpy()
             bands = (keys_l == buckets[:, None]).argmax(1)
             lows, highs = (np.searchsorted(right["bucket"].to_numpy(), buckets, side) for side in ("left", "right"))
             for i, (node, label, band, lo, hi) in enumerate(zip(left["node"], left["label"], bands, lows, highs, strict=True)):
                 h, w = hl[from_l[i] : from_l[i + 1]], wl[from_l[i] : from_l[i + 1]]
                 mine = w.sum(dtype=np.float64)
-                could = np.minimum(total[lo:hi], mine) >= (threshold - 1e-6) * np.maximum(total[lo:hi], mine)
+                could = (total[lo:hi] <= reaches[i]) & (mine <= far[lo:hi])
                 first = (keys_r[lo:hi] == keys_l[i]).argmax(1) == band
                 here = lo + np.flatnonzero(could & first & (labels[lo:hi] != label) & (~minor[lo:hi] | (names[lo:hi] > node)))
                 if not len(here):
@@ -323,13 +343,13 @@ def _compare_blocks(open_: DataFrame, texts: DataFrame, n_texts: int, threshold:
 
 
 def signatures(texts: DataFrame, bands: int, rows: int) -> tuple[DataFrame, int]:
-    """((node, keys, df, total) of ``texts`` (node, text), texts).
+    """((node, keys, df, total, common) of ``texts`` (node, text), texts).
 
     keys: the bucket in each band, null for a text without words; df: packed document
-    frequencies of its shingles; total: its weight.
+    frequencies of its shingles; total: its weight; common: of its shingles that other texts have, too.
     """
     placed, asked, n_texts = dealt(texts)
-    schema = T.StructType([T.StructField("node", T.StringType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("df", T.BinaryType()), T.StructField("total", T.DoubleType())])
+    schema = T.StructType([T.StructField("node", T.StringType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("df", T.BinaryType()), T.StructField("total", T.DoubleType()), T.StructField("common", T.DoubleType())])
     arrow = to_arrow_schema(schema)
 
     def sign(table, answered):
@@ -339,7 +359,7 @@ def signatures(texts: DataFrame, bands: int, rows: int) -> tuple[DataFrame, int]
         frequency = np.concatenate([np.zeros(0, U), *[unpack(answered.column("df")[int(i)].as_py()) for i in order]])
         if len(found) != len(frequency):
             raise ValueError("a group of texts has other shingles than it asked for")
-        keys, dfs, totals = [], [], []
+        keys, dfs, totals, common = [], [], [], []
         for n, doc, h, times in shingled:
             df = frequency[np.searchsorted(found, h)]
             weight = times.astype(np.float32) * idf_of(df, n_texts)
@@ -353,7 +373,8 @@ def signatures(texts: DataFrame, bands: int, rows: int) -> tuple[DataFrame, int]
             keys.append(pa.compute.if_else(pa.array(some > 0), flat, None))
             dfs += [pack(x) for x in np.split(df, np.cumsum(some)[:-1])]
             totals.append(np.bincount(doc, weight, n))
-        columns = [table.column("node"), pa.chunked_array(keys, arrow.field("keys").type), pa.array(dfs, pa.binary()), pa.array(np.concatenate([np.zeros(0), *totals]))]
+            common.append(np.bincount(doc, np.where(df > 1, weight, 0), n))
+        columns = [table.column("node"), pa.chunked_array(keys, arrow.field("keys").type), pa.array(dfs, pa.binary()), *[pa.array(np.concatenate([np.zeros(0), *x])) for x in (totals, common)]]
         return pa.table([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], arrow)
 
     return placed.groupBy("group").cogroup(answers(asked).groupBy("group")).applyInArrow(sign, schema), n_texts
@@ -376,19 +397,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     signed, n_texts = signatures(distinct, bands, rows)
     signed = cut(signed)
     free_shuffles(docs.sparkSession)
-    members = signed.select("node", F.explode("keys").alias("bucket"))
+    far = reach(F.col("common"), F.col("total"), threshold).alias("reach")
+    members = signed.select("node", "total", far, F.explode("keys").alias("bucket"))
     order = [F.struct(F.xxhash64("node", F.lit(i)), "node") for i in range(2)]
-    leaders = cut(members.groupBy("bucket").agg(F.count("*").alias("size"), *[F.min(o).getField("node").alias(f"leader{i}") for i, o in enumerate(order)]).filter("size > 1"))
-    shared = cut(members.join(leaders, "bucket"))
-    weights = cut(signed.select("node", "total"))
+    leaders = cut(members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("total").alias("least"), *[F.min(o).getField("node").alias(f"leader{i}") for i, o in enumerate(order)]).filter("size > 1"))
+    shared = cut(members.join(leaders, "bucket").filter(F.col("reach") >= F.col("least")).drop("total", "reach", "least"))
+    weights = cut(signed.select("node", "total", far))
     drop(leaders)
     free_shuffles(docs.sparkSession)
 
     def possible(pairs: DataFrame) -> DataFrame:
         """Pairs whose total weights allow the threshold: the others can't be links."""
-        a, b = (weights.select(F.col("node").alias(x), F.col("total").alias(f"total_{x}")) for x in "ab")
+        a, b = (weights.select(F.col("node").alias(x), F.col("total").alias(f"total_{x}"), F.col("reach").alias(f"reach_{x}")) for x in "ab")
         both = pairs.join(a, "a").join(b, "b")
-        return both.filter(F.least("total_a", "total_b") >= (threshold - 1e-6) * F.greatest("total_a", "total_b")).select("a", "b")
+        return both.filter((F.col("total_a") <= F.col("reach_b")) & (F.col("total_b") <= F.col("reach_a"))).select("a", "b")
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         """(node, text, df, keys), cut, of ``nodes`` alone."""

@@ -219,3 +219,29 @@ def test_pairs_are_linked_by_full_weights(spark, monkeypatch):
     d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.class_id for r in near_dup.classify(d).collect()}
     assert got == {i: 0 if i < 2 else i for i in range(len(docs))} == dict(enumerate(brute_classes(docs)))
+
+
+def test_texts_with_much_of_their_own_are_not_compared(spark, monkeypatch):
+    """A large group around one text, each too far from all others by words of its own: none is left to be compared
+    with all others, and two that are copies of each other are still found."""
+    from loomlog.llm import near_dup
+
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(120)]
+
+    def edited(i, words, n):
+        words = list(words)
+        for at in rng.sample(range(len(words)), n):
+            words[at] = f"own{i}x{at}"
+        return words
+
+    texts = [edited(i, base, 5) for i in range(300)]
+    texts.append(edited(999, texts[0], 1))
+    left = []
+    compare = near_dup._compare_blocks
+    monkeypatch.setattr(near_dup, "_compare_blocks", lambda open_, *more: left.append(open_.count()) or compare(open_, *more))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    nodes, _ = near_dup.near_duplicates(docs)
+    classes = {r.doc_id: r.class_id for r in nodes.collect()}
+    assert classes == {i: i for i in range(300)} | {300: 0}
+    assert sum(left) < 100
