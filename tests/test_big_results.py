@@ -4,7 +4,7 @@ import random
 from collections import Counter
 
 import pytest
-from loomlog.operators import heavy, histogram, lines, rules
+from loomlog.operators import export, heavy, histogram, lines, rules, xmlrows
 from loomlog.operators.jump import jump_page
 from loomlog.operators.pages import page
 from loomlog.operators.profile import top_values
@@ -92,3 +92,24 @@ def test_one_pass_histogram_of_any_span(spark):
         rows = spark.createDataFrame([(float(x),) for x in sorted(seconds)] + [(None,)], "s double").select(F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts")).repartitionByRange(5, "ts")
         assert histogram.one_pass_histogram(rows, "ts").collect() == histogram.histogram(rows, "ts").collect(), span
     assert histogram.one_pass_histogram(rows.limit(0), "ts").count() == 0
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_rows_without_the_field_are_dealt_over_files(spark, tmp_path, monkeypatch, descending):
+    monkeypatch.setattr(export, "RANGE_ROWS", 100, raising=False)
+    rows = spark.range(3000).repartition(3).select("id", F.when(F.col("id") % 10 == 0, F.col("id")).alias("ts"))
+    path = str(tmp_path / "o.parquet")
+    assert export.export(rows, path, "ts", descending) == 3000
+    files = [list(map(tuple, spark.read.parquet(str(p)).collect())) for p in sorted((tmp_path / "o.parquet").glob("*.parquet"))]
+    assert max(len(f) for f in files) < 700
+    got = [r for f in files for r in f]
+    assert sorted(i for i, _ in got) == list(range(3000))
+    assert [ts for _, ts in got] == sorted(range(0, 3000, 10), reverse=descending) + [None] * 2700
+
+
+def test_row_elements_without_sorting_tags(spark):
+    """Tags are counted where the head stands; closing tags too many, tags that close themselves, comments."""
+    heads = [("a", "<r><e/><e/><e/></r>"), ("b", "</x></x><e/><e/><e></e>"), ("c", "<!-- <e/> --><r><e/><e/></r>"), ("d", None), ("e", "<r>" + "<p><q/><q/></p>" * 4 + "</r>")]
+    got = xmlrows.row_elements(spark.createDataFrame(heads, "file string, head string"))
+    assert "Window" not in got._jdf.queryExecution().toString()
+    assert sorted(map(tuple, got.collect())) == [("a", "e", 3, 1), ("b", "e", 3, -2), ("e", "p", 4, 1)]
