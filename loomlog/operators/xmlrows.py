@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
+from collections import Counter
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,26 +22,38 @@ MIN_SIBLINGS = 3
 TAG = r"<(?:[!?][^>]*|/?[A-Za-z_][\w:.-]*(?:\s[^<>]*?)?/?)>"
 
 
+ROW_ELEMENT = "row string, siblings long, depth long"
+_tags = re.compile(TAG, re.ASCII).findall
+_name = re.compile(r"</?([\w:.-]+)", re.ASCII).match
+
+
+def row_element(head: str) -> tuple[str, int, int] | None:
+    """(name, siblings, depth) of one head's row element, None where none has MIN_SIBLINGS."""
+    depth, last, counts = 0, {}, Counter()
+    for pos, tag in enumerate(_tags(head)):
+        if tag.startswith(("<!", "<?")):
+            continue
+        if tag.startswith("</"):
+            depth -= 1
+            continue
+        # an element's parent is the last one that opened a level above
+        counts[last.get(depth - 1), _name(tag)[1], depth] += 1
+        last[depth] = pos
+        depth += not tag.endswith("/>")
+    best = min(((-n, at, name) for (_, name, at), n in counts.items() if n >= MIN_SIBLINGS), default=None)
+    return best and (best[2], -best[0], best[1])
+
+
 def row_elements(heads: DataFrame, file: str = "file", head: str = "head") -> DataFrame:
     """(file, row, siblings, depth): the element with the most siblings of its name under one parent.
 
     At least MIN_SIBLINGS of them; ties go to the smaller depth, then name.
-    ``head`` is the beginning of a document, so tags of a file are few enough to
-    be put in order by file.
+    ``head`` is the beginning of a document, one row a file; its tags are counted
+    where it stands, so a task holds one head at a time.
     """
-    tags = heads.select(F.col(file).alias("file"), F.posexplode(F.regexp_extract_all(F.col(head), F.lit(TAG), F.lit(0))).alias("pos", "tag"))
-    tags = tags.filter(~F.col("tag").rlike("^<[!?]"))
-    closes, alone = F.col("tag").startswith("</"), F.col("tag").endswith("/>")
-    tags = tags.select("file", "pos", F.regexp_extract("tag", r"^</?([\w:.-]+)", 1).alias("name"), (~closes).alias("opens"), F.when(closes, -1).when(alone, 0).otherwise(1).alias("step"))
-    before = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    opened = tags.withColumn("depth", F.coalesce(F.sum("step").over(before), F.lit(0))).filter("opens")
-    # an element's parent is the last one that opened a level above: each open tag stands on its level and, as a child, on the one above
-    both = opened.select("file", "pos", "name", "depth", F.inline(F.array(F.struct(F.col("depth").alias("level"), F.lit(False).alias("child")), F.struct((F.col("depth") - 1).alias("level"), F.lit(True).alias("child")))))
-    upto = Window.partitionBy("file", "level").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    parents = both.withColumn("parent", F.last(F.when(~F.col("child"), F.col("pos")), ignorenulls=True).over(upto)).filter("child")
-    counts = parents.groupBy("file", "parent", "name", "depth").agg(F.count("*").alias("siblings")).filter(F.col("siblings") >= MIN_SIBLINGS)
-    best = F.min(F.struct((-F.col("siblings")).alias("less"), "depth", "name")).alias("b")
-    return counts.groupBy("file").agg(best).select("file", F.col("b.name").alias("row"), (-F.col("b.less")).alias("siblings"), F.col("b.depth").cast("long").alias("depth"))
+    found = F.udf(lambda x: row_element(x), ROW_ELEMENT)(F.col(head))
+    rows = heads.filter(F.col(head).isNotNull()).select(F.col(file).alias("file"), found.alias("b"))
+    return rows.filter("b IS NOT NULL").select("file", "b.row", "b.siblings", "b.depth")
 
 
 def leaves(kind: T.DataType, path: str = "") -> list[tuple[str, Callable[[Column], Column], bool]]:

@@ -15,6 +15,7 @@ MTIME = "2026-03-24 10:00:00"
 YEAR_MTIME = "2024-01-15 12:00:00"
 SYSLOG = LineRule("syslog", r"^(?P<ts>[A-Z][a-z]{2} [ 0-9]\d \d{2}:\d{2}:\d{2}) (?P<host>\S+) (?P<proc>\w+): (?P<message>.*)$", "Jan _2 15:04:05", 40, ts_use_mtime_year=True)
 LINES_PER_PART = 2_000
+EVENTS_PER_TASK = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,8 +91,9 @@ def xml_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def xml_heads(spark: SparkSession, sf_dir: str, per_file: int = 200) -> DataFrame:
     """file, head: documents of ``per_file`` events each."""
-    rows = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / per_file).cast("long").alias("file"), "event_id", event_xml().alias("xml"))
-    files = rows.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("event_id", "xml"))).alias("x"))
+    events = table(spark, sf_dir, "events").withColumn("file", F.floor(F.col("event_id") / per_file).cast("long"))
+    dealt = events.repartition(1 + events.count() // EVENTS_PER_TASK, "file")  # what a task sorts stays the same however many there are
+    files = dealt.select("file", "event_id", event_xml().alias("xml")).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("event_id", "xml"))).alias("x"))
     return files.select("file", F.concat(F.lit('<?xml version="1.0"?><Log><Head/>'), F.array_join(F.transform("x", lambda e: e["xml"]), ""), F.lit("</Log>")).alias("head"))
 
 
