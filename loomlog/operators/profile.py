@@ -29,22 +29,34 @@ def profile(view: DataFrame, fields: list[str] | None = None, exact: bool = Fals
     for lo in range(0, len(fields[:MAX_FIELDS]), CHUNK):
         part = fields[lo : min(lo + CHUNK, MAX_FIELDS)]
         texts = view.select(*[F.nullif(text_field(view, f), F.lit("")).alias(f"v{i}") for i, f in enumerate(part)], (F.col(SOURCE) if has_source else F.lit("")).alias("s"))
-        measured = [F.count("*").alias("total"), F.size(F.collect_set("s")).cast("long").alias("sources_total")]
-        for i in range(len(part)):
-            count = F.lit(None).cast("long") if exact else F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(f"v{i}", F.lit(SKETCH_BITS))), F.lit(0))
-            measured += [F.count(f"v{i}").alias(f"p{i}"), count.alias(f"d{i}"), F.size(F.collect_set(F.when(F.col(f"v{i}").isNotNull(), F.col("s")))).alias(f"s{i}")]
-        row = texts.agg(*measured)
-        items = F.array(*[F.struct(F.lit(i).alias("nth"), F.lit(f).alias("field"), F.col(f"p{i}").alias("present"), F.col(f"d{i}").alias("distinct"), F.col(f"s{i}").cast("long").alias("sources"), "sources_total", "total") for i, f in enumerate(part)])
-        rows = row.select(F.inline(items))
         if exact:
-            pairs = texts.select(F.explode(F.filter(F.array(*[F.struct(F.lit(i).alias("nth"), F.col(f"v{i}").alias("value")) for i in range(len(part))]), lambda x: x["value"].isNotNull())).alias("x"))
-            counted = pairs.select("x.nth", "x.value").distinct().groupBy("nth").agg(F.count("*").alias("exactly"))
-            rows = rows.drop("distinct").join(F.broadcast(counted), "nth", "left").withColumn("distinct", F.coalesce("exactly", F.lit(0)))  # CHUNK rows at most
+            rows = _exactly(texts, part)
+        else:
+            measured = [F.count("*").alias("total"), F.size(F.collect_set("s")).cast("long").alias("sources_total")]
+            for i in range(len(part)):
+                count = F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(f"v{i}", F.lit(SKETCH_BITS))), F.lit(0))
+                measured += [F.count(f"v{i}").alias(f"p{i}"), count.alias(f"d{i}"), F.size(F.collect_set(F.when(F.col(f"v{i}").isNotNull(), F.col("s")))).alias(f"s{i}")]
+            items = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"p{i}").alias("present"), F.col(f"d{i}").alias("distinct"), F.col(f"s{i}").cast("long").alias("sources"), "sources_total", "total") for i, f in enumerate(part)])
+            rows = texts.agg(*measured).select(F.inline(items))
         rows = rows.select("field", "present", "distinct", "sources", "sources_total", "total")
         out = rows if out is None else out.unionByName(rows)
     return out.withColumn("fill", F.coalesce(F.try_divide("present", "total"), F.lit(0.0))).withColumn("truncated", F.lit(len(fields) > MAX_FIELDS))
 
 
+def _exactly(texts: DataFrame, fields: list[str]) -> DataFrame:
+    """``texts`` (v0, v1, ... of ``fields``, s): values are counted by source, and a source's rows
+    make pairs only for the fields that it fills."""
+    counted = texts.groupBy("s").agg(F.count("*").alias("n"), *[F.count(f"v{i}").alias(f"p{i}") for i in range(len(fields))])
+    sums = [F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("s").alias("sources_total")]
+    for i in range(len(fields)):
+        sums += [F.coalesce(F.sum(f"p{i}"), F.lit(0)).alias(f"p{i}"), F.count_if((F.col(f"p{i}") > 0) & F.col("s").isNotNull()).alias(f"s{i}")]
+    items = F.array(*[F.struct(F.lit(i).alias("nth"), F.lit(f).alias("field"), F.col(f"p{i}").alias("present"), F.col(f"s{i}").alias("sources"), "sources_total", "total") for i, f in enumerate(fields)])
+    rows = counted.agg(*sums).select(F.inline(items))
+    pairs = texts.select(F.explode(F.array(*[F.struct(F.lit(i).alias("nth"), F.col(f"v{i}").alias("value")) for i in range(len(fields))])).alias("x")).filter(F.col("x.value").isNotNull())
+    exactly = pairs.select("x.nth", "x.value").distinct().groupBy("nth").agg(F.count("*").alias("exactly"))
+    return rows.join(F.broadcast(exactly), "nth", "left").withColumn("distinct", F.coalesce("exactly", F.lit(0)))  # CHUNK rows at most
+
+
 def top_values(view: DataFrame, field: str, k: int = MAX_VALUES) -> DataFrame:
     """(value, n): the ``k`` most frequent non-empty values, ties by value; their sum is the total shown."""
     text = text_field(view, field)
