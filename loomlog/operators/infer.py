@@ -106,14 +106,15 @@ class _Source:
         self.dated = shape in ("dmy-dash", "dmy-dot")
         self.orders: Counter = Counter()  # (kinds of a line's tokens, place of the timestamp): lines
         self.counts = {w: [[0] * len(KINDS) for _ in range(MAX_TOKENS)] for w in ("line", "timestamp")}
-        self.texts: dict[str, list] = {w: [None] * MAX_TOKENS for w in ("line", "timestamp")}
+        self.texts: dict[int, list] = {}  # place of the timestamp: least and greatest text of each position
+        self.forms: Counter = Counter()  # timestamps with their digits made 0, which votes don't look at: lines
         self.votes, self.most, self.stamped = [0] * len(STAMP_VOTES), [None, None], 0
 
     def add(self, value: str, kinds: dict[str, int]) -> None:
         found = self.stamp(value)
         if found:
             lo, hi = found.span()
-            before = _SPLIT(value[:lo])[:MAX_TOKENS]
+            before = _SPLIT(value[:lo])[:MAX_TOKENS] if lo else []
             words, at = (before + [value[lo:hi], *_SPLIT(value[hi:])])[:MAX_TOKENS], len(before)
             self._stamp(value[lo:hi])
         else:
@@ -124,20 +125,23 @@ class _Source:
         self.orders[bytes(order), at] += 1
         if len(self.orders) > REMEMBERED:
             self._settle()
-        for texts, some in ((self.texts["line"], words), (self.texts["timestamp"], words[at:])):
-            for i, w in enumerate(some):
-                held = texts[i]
-                if held is None:
-                    texts[i] = (w, w)
-                elif w < held[0]:
-                    texts[i] = (w, held[1])
-                elif w > held[1]:
-                    texts[i] = (held[0], w)
+        texts = self.texts.get(at)
+        if texts is None:
+            texts = self.texts[at] = [None] * MAX_TOKENS
+        for i, w in enumerate(words):
+            held = texts[i]
+            if held is None:
+                texts[i] = (w, w)
+            elif w < held[0]:
+                texts[i] = (w, held[1])
+            elif w > held[1]:
+                texts[i] = (held[0], w)
 
     def _stamp(self, ts: str) -> None:
         self.stamped += 1
-        for i, rule in enumerate(_VOTES):
-            self.votes[i] += rule(ts) is not None
+        self.forms[ts.translate(_ZEROS)] += 1
+        if len(self.forms) > REMEMBERED:
+            self._settle()
         if self.dated:
             for i, at in enumerate((0, 3)):
                 if (part := ts[at : at + 2]).isascii() and part.isdigit():
@@ -150,17 +154,31 @@ class _Source:
                 for i, k in enumerate(kinds):
                     counts[i][k] += n
         self.orders.clear()
+        for form, n in self.forms.items():
+            for i, rule in enumerate(_VOTES):
+                self.votes[i] += n * (rule(form) is not None)
+        self.forms.clear()
+
+    def _texts(self, way: str) -> list:
+        """Least and greatest text of each position, from the line's beginning or from the timestamp."""
+        out = [None] * MAX_TOKENS
+        for at, texts in self.texts.items():
+            for i, held in enumerate(texts if way == "line" else texts[at:]):
+                if held is not None:
+                    out[i] = held if out[i] is None else (min(held[0], out[i][0]), max(held[1], out[i][1]))
+        return out
 
     def rows(self, source: str) -> Iterator[tuple]:
         self._settle()
         none = [0] * len(STAMP_VOTES)
         for way, counts in self.counts.items():
-            for pos, (by_kind, texts) in enumerate(zip(counts, self.texts[way], strict=True)):
+            for pos, (by_kind, texts) in enumerate(zip(counts, self._texts(way), strict=True)):
                 if texts is not None:
                     yield source, way, pos, sum(by_kind), *by_kind, *none, *texts, None, None
         yield source, "stamp", -1, self.stamped, *[0] * len(KINDS), *self.votes, None, None, *self.most
 
 
+_ZEROS = str.maketrans("123456789", "0" * 9)
 _SPLIT = regex.compile(_TOKEN).findall
 _VOTES = [regex.compile(p, regex.ASCII).search for p in (r"^[\d./-]{8,10}T", r"^\d{2}\.\d{2}\.\d{2}[T ]", r"\d{2}:\d{2}:\d{2}:\d+$", r"(Z|[+-]\d{2}:\d{2})$", r"\d{2}[+-]\d{4}$")]
 _LETTER, _DIGIT = regex.compile(r"[\p{L}_]").match, regex.compile(r"\p{Nd}").match

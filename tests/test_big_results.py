@@ -4,7 +4,7 @@ import random
 from collections import Counter
 
 import pytest
-from loomlog.operators import export, heavy, histogram, lines, rules, xmlrows
+from loomlog.operators import export, heavy, histogram, infer, lines, rules, xmlrows
 from loomlog.operators.jump import jump_page
 from loomlog.operators.pages import page
 from loomlog.operators.profile import top_values
@@ -113,3 +113,16 @@ def test_row_elements_without_sorting_tags(spark):
     got = xmlrows.row_elements(spark.createDataFrame(heads, "file string, head string"))
     assert "Window" not in got._jdf.queryExecution().toString()
     assert sorted(map(tuple, got.collect())) == [("a", "e", 3, 1), ("b", "e", 3, -2), ("e", "p", 4, 1)]
+
+
+def test_timestamps_of_one_form_are_looked_at_once(monkeypatch):
+    calls, votes = [], infer._VOTES
+    monkeypatch.setattr(infer, "_VOTES", [lambda ts, v=v: calls.append(ts) or v(ts) for v in votes])
+    source, kinds = infer._Source("iso"), {}
+    for i in range(500):
+        source.add(f"{'x ' if i % 2 else ''}2024-01-{i % 28 + 1:02d}T00:00:00.{i:03d}+0200 INF n{i}", kinds)
+    got = list(source.rows("a"))
+    assert len(calls) == len(votes)
+    assert got[-1][3] == 500 and dict(zip(infer.STAMP_VOTES, got[-1][10:], strict=False)) == {"between_t": 500, "short": 0, "colon": 0, "zone_colon": 0, "zone_plain": 500}
+    texts = {(r[1], r[2]): r[-4:-2] for r in got}
+    assert texts["line", 0] == ("2024-01-01T00:00:00.000+0200", "x") and texts["timestamp", 0] == ("2024-01-01T00:00:00.000+0200", "2024-01-28T00:00:00.475+0200")
