@@ -58,12 +58,13 @@ def test_pages_anywhere(spark, field, descending):
         assert got.columns == rows.columns and got.collect() == page(rows, field, descending, limit, offset, ["id"]).collect()
 
 
-def test_deep_pages_compare_in_compiled_code(spark):
+@pytest.mark.parametrize("descending", [False, True])
+def test_deep_pages_compare_in_compiled_code(spark, descending):
     """No row is held against a list of boundaries by a lambda."""
     rows = spark.range(5000).select("id", (F.col("id") % 700).alias("n"))
-    got = jump_page(rows, "n", False, 20, 4500, ["id"], few=100)
+    got = jump_page(rows, "n", descending, 20, 4500, ["id"], few=100)
     assert "lambda" not in got._jdf.queryExecution().toString()
-    assert got.collect() == page(rows, "n", False, 20, 4500, ["id"]).collect()
+    assert got.collect() == page(rows, "n", descending, 20, 4500, ["id"]).collect()
 
 
 def test_one_long_record_in_pieces(spark):
