@@ -13,6 +13,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from loomlog.functions.fields import resolve
 from loomlog.operators.pages import DEFAULT_LIMIT, sort_column
@@ -23,11 +24,23 @@ SAMPLE, FEW, ROUNDS = 16384, 200_000, 8
 SPREAD = 5
 
 
+def _sent(key: Column, kind: DataType) -> Column:
+    """``key`` as a value that means the same to a driver in another time zone, and in an hour that a clock shows twice."""
+    if kind.typeName() == "timestamp":
+        return F.unix_micros(key)
+    return key.cast("string") if kind.typeName() == "timestamp_ntz" else key
+
+
+def _literal(value, kind: DataType) -> Column:
+    """What ``_sent`` made ``value`` of."""
+    return F.timestamp_micros(F.lit(value).cast("long")) if kind.typeName() == "timestamp" else F.lit(value).cast(kind)
+
+
 def _before(keys: list[Column], bound: list, kinds: list, descending: bool, equal: bool) -> Column:
     """Does a row stand before ``bound`` in the page's order, or (``equal``) at it?  Nulls are last either way."""
     cases, same = [], F.lit(True)
     for i, (key, value, kind) in enumerate(zip(keys, bound, kinds, strict=True)):
-        at = F.lit(value).cast(kind)
+        at = _literal(value, kind)
         ahead = key.isNotNull() if value is None else F.coalesce(key > at if descending and i == 0 else key < at, F.lit(False))
         cases.append(same & ahead)
         same = same & key.eqNullSafe(at)
@@ -51,7 +64,7 @@ def jump_page(view: DataFrame, field: str | None = None, descending: bool = Fals
         if total <= max(few, limit):
             break
         some = rows.select(*[c.alias(n) for c, n in zip(keys, names, strict=True)]).sample(min(1.0, SAMPLE / total))
-        sample = some.repartition(1).sortWithinPartitions(*in_sample).collect()  # about SAMPLE keys
+        sample = some.repartition(1).sortWithinPartitions(*in_sample).select(*[_sent(F.col(n), k).alias(n) for n, k in zip(names, kinds, strict=True)]).collect()  # about SAMPLE keys
         places = [min(1.0, (n - skipped) / total) for n in (offset, offset + limit)]
         lo, hi = (int(len(sample) * p + way * (1 + SPREAD * (len(sample) * p * (1 - p) + 1) ** 0.5)) for p, way in zip(places, (-1, 1), strict=True))
         first, last = (sample[i] if 0 <= i < len(sample) else None for i in (lo, hi))

@@ -1,6 +1,7 @@
 """Top values, deep pages and long records against their plain counterparts."""
 
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -67,6 +68,25 @@ def test_deep_pages_compare_in_compiled_code(spark, descending):
     assert got.collect() == page(rows, "n", descending, 20, 4500, ["id"]).collect()
 
 
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_deep_pages_of_times_in_any_zone(spark, monkeypatch, kind, descending):
+    """The driver's zone isn't the session's, and its clock shows one of the two hours twice: still one range is sorted."""
+    made = spark.range(7200).select("id", F.timestamp_seconds(F.lit(1730610000) + F.col("id")).alias("t"))  # 2024-11-03 05:00 UTC
+    rows = made.select("id", F.when(F.col("id") % 90 > 0, F.col("t").cast(kind)).alias("t"))
+    want = [r.id for r in page(rows, "t", descending, 20, 6400, ["id"]).collect()]
+    left, order = [], type(rows).orderBy
+    monkeypatch.setenv("TZ", "America/New_York")
+    monkeypatch.setattr(type(rows), "orderBy", lambda df, *columns: left.append(df.count()) or order(df, *columns))
+    time.tzset()
+    try:
+        got = [r.id for r in jump_page(rows, "t", descending, 20, 6400, ["id"], few=500).collect()]
+    finally:
+        monkeypatch.undo()
+        time.tzset()
+    assert got == want and left[0] <= 500
+
+
 def test_one_long_record_in_pieces(spark):
     """A record of 40,000 lines: the pieces are small, and put together they are the folded message."""
     head = "2024-01-01 00:00:00.000 [INF] [DB] [PID:1] begin"
